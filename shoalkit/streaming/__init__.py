@@ -1,0 +1,4 @@
+"""Intentionally empty: the work covered here has no streams.
+
+The only recurrence is a scheduled full rebuild, ``shoalkit.plans.refresh``.
+"""
