@@ -65,10 +65,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str) -> DataFra
         renamed = renamed.withColumnRenamed(key, f"__{key}")
     condition = None
     for key in keys:
-        same = left[key].eqNullSafe(F.col(f"__{key}"))
+        same = F.col(key).eqNullSafe(F.col(f"__{key}"))
         condition = same if condition is None else condition & same
-    if right.isLocal():
-        renamed = renamed.alias("right_side")
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"__{key}" for key in keys])
 
