@@ -43,6 +43,18 @@ def location_deployments(bundle) -> DataFrame:
     )
 
 
+def of_species(df: DataFrame, species) -> DataFrame:
+    """Rows of the chosen species: a list of display names, or a short frame of them."""
+    if isinstance(species, DataFrame):
+        return df.join(F.broadcast(species.select("display_name")), "display_name", "left_semi")
+    return df.where(F.col("display_name").isin(*species))
+
+
+def default_species(bundle, n=1) -> DataFrame:
+    """The picker's default: the first ``n`` names of the ranking."""
+    return species_ranking(bundle["top_species_location"]).limit(n)
+
+
 def species_ranking(top_species_location: DataFrame) -> DataFrame:
     """Total number per display name, largest first."""
     return (
@@ -72,16 +84,12 @@ def depth_histogram(depths: DataFrame, width=5) -> DataFrame:
 LENGTH_GROUPS = ["status", "jurisdiction", "method"]
 
 
-def _lengths_of(lengths, species):
-    return lengths.where(F.col("display_name").isin(*species))
-
-
 def length_histogram(lengths: DataFrame, species, width) -> DataFrame:
-    return histogram(_lengths_of(lengths, species), "length_mm", width, LENGTH_GROUPS)
+    return histogram(of_species(lengths, species), "length_mm", width, LENGTH_GROUPS)
 
 
 def length_density(lengths: DataFrame, species, width) -> DataFrame:
-    return density(_lengths_of(lengths, species), "length_mm", width, LENGTH_GROUPS)
+    return density(of_species(lengths, species), "length_mm", width, LENGTH_GROUPS)
 
 
 def species_by_method(top_species_location: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def species_bubbles(bundle, species, method="video") -> DataFrame:
         "sample_url", "location", "latitude_dd", "longitude_dd"
     )
     points = (
-        bundle["bubble_data" + suffix].where(F.col("display_name").isin(*species))
+        of_species(bundle["bubble_data" + suffix], species)
         .join(sites, ["sample_url", "location"], "full")
         .withColumn("count", F.coalesce("count", F.lit(0)))
     )
@@ -128,4 +136,4 @@ def species_bubbles(bundle, species, method="video") -> DataFrame:
 
 def species_pages(pages: DataFrame, species) -> DataFrame:
     """Distinct page address of the chosen species."""
-    return pages.where(F.col("display_name").isin(*species)).select("url").distinct()
+    return of_species(pages, species).select("url").distinct()

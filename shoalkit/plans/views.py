@@ -117,7 +117,8 @@ def top_species_in_year(top_species_year: DataFrame, region: str, year=None, n=1
         rows = rows.where(F.col("year") == rows.agg(pick("year")).scalar())
     else:
         rows = rows.where(F.col("year").cast("string") == str(year))
-    summed = F.coalesce(F.sum("average_abundance"), F.lit(0.0)).alias("summed")
+    # Sums of doubles depend on their order, so ranks ignore the last digits.
+    summed = F.round(F.coalesce(F.sum("average_abundance"), F.lit(0.0)), 12).alias("summed")
     top = (
         rows.groupBy("display_name").agg(summed)
         .orderBy(F.desc("summed"), F.asc_nulls_last("display_name")).limit(n).select("display_name")

@@ -7,7 +7,12 @@ TAXON = ["family", "genus", "species"]
 
 
 def _struct(text):
-    return T.StructType.fromDDL(text)
+    # "name type, ..." of simple types; fromDDL would need a running session.
+    schema = T.StructType()
+    for field in text.split(","):
+        name, kind = field.split()
+        schema.add(name, kind)
+    return schema
 
 
 DEPLOYMENTS_RAW = _struct(
@@ -24,8 +29,6 @@ LIFE_HISTORY = _struct(
     "family string, genus string, species string, class string, "
     "rls_thermal_niche double, australian_common_name string"
 )
-REGIONS = _struct("feature long, bioregion string, rings array<array<struct<x:double,y:double>>>")
-
 LANDED = {
     "deployments": DEPLOYMENTS_RAW,
     "counts": COUNTS,

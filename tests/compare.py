@@ -1,0 +1,75 @@
+"""Run registered queries against their oracle SQL in DuckDB on the same folder.
+
+``python -m tests.compare FOLDER [NAME ...]``
+"""
+
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+
+def connect(folder):
+    con = duckdb.connect()
+    for file in sorted(os.listdir(folder)):
+        name = file.split(".")[0]
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{os.path.join(folder, file)}')")
+    return con
+
+
+def canonical(rows, columns):
+    """Sorted rows of text, columns in name order, -0 as 0."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+
+    def text(value):
+        if value is None or (isinstance(value, float) and math.isnan(value)):
+            return "NULL"
+        if isinstance(value, float):
+            return f"{value + 0.0:.6f}"
+        return str(value)
+
+    return [columns[i] for i in order], sorted(tuple(text(row[i]) for i in order) for row in rows)
+
+
+def difference(spark, con, folder, run, sql):
+    """None when rows agree, else a short description."""
+    df = run(spark, folder)
+    left_columns, left = canonical([tuple(r) for r in df.collect()], df.columns)
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    right_columns, right = canonical(result.fetchall(), names)
+    if left_columns != right_columns:
+        return f"columns {left_columns} vs {right_columns}"
+    if left != right:
+        only_left = [r for r in left if r not in set(right)][:3]
+        only_right = [r for r in right if r not in set(left)][:3]
+        return f"{len(left)} vs {len(right)} rows; spark only {only_left}; sql only {only_right}"
+    return None
+
+
+def main(folder, names=()):
+    from fixture.oracle import oracle_sql
+    from fixture.registry import queries
+    from shoalkit.session import build_session
+
+    spark = build_session(master="local[8]", extra={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    con, sql, failed = connect(folder), oracle_sql(), 0
+    for name, run in queries().items():
+        if names and name not in names:
+            continue
+        start = time.time()
+        try:
+            found = difference(spark, con, folder, run, sql[name])
+        except Exception as error:  # report and go on with the next query
+            found = f"{type(error).__name__}: {str(error)[:600]}"
+        failed += found is not None
+        print(f"{name:32s} {time.time() - start:6.1f}s {found or 'same'}", flush=True)
+    print(f"{failed} failed", flush=True)
+    return failed
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv[1], sys.argv[2:]) else 0)
