@@ -5,7 +5,7 @@ against every polygon edge and computes the three metrics one by one.
 """
 
 from fixture.bindings import GENUS, POLYGONS, SPECIES
-from fixture.registry import LOCATION, METRIC, REGION, REGIONS
+from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS
 
 TAXON = "family, genus, species"
 SAME_TAXON = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in ("family", "genus", "species"))
@@ -409,4 +409,5 @@ ORACLE = {
 
 
 def oracle_sql():
-    return {name: BASE + text for name, text in ORACLE.items()}
+    # Every rounding to six decimals is shifted off ties, as in the registry.
+    return {name: BASE + text.replace(", 6)", f" + {OFF_TIE}, 6)") for name, text in ORACLE.items()}

@@ -43,8 +43,8 @@ def difference(spark, con, folder, run, sql):
     if left_columns != right_columns:
         return f"columns {left_columns} vs {right_columns}"
     if left != right:
-        only_left = [r for r in left if r not in set(right)][:3]
-        only_right = [r for r in right if r not in set(left)][:3]
+        only_left = sorted(set(left) - set(right))[:3]
+        only_right = sorted(set(right) - set(left))[:3]
         return f"{len(left)} vs {len(right)} rows; spark only {only_left}; sql only {only_right}"
     return None
 
