@@ -7,12 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalkit.operators import abundance, events, metrics, taxa
-from shoalkit.scaling import cut_lineage
+from shoalkit.scaling import cut_lineage, spread
 from shoalkit.schemas import TAXON
 
 # The genus whose species are merged, in the words of the test data.
 GENUS, SPECIES = "gear", "red"
 
+# Declared, so that opening a table runs no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
 POLYGONS = {
     "Square": [(-0.3, -0.3), (-0.1, -0.3), (-0.1, -0.1), (-0.3, -0.1)],
     "Triangle": [(0.0, 0.05), (0.25, 0.05), (0.1, 0.3)],
@@ -30,18 +44,18 @@ class Survey:
         self.folder = folder
 
     def table(self, name) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     @cached_property
     def _orders(self):
-        places = (
-            self.table("customer").select("c_custkey", "c_nationkey")
+        # Customers first, so that each join has one plainly smaller side.
+        return (
+            self.table("orders")
+            .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation").select("n_nationkey", "n_name", "n_regionkey"),
                   F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.table("region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("c_custkey", "n_name", "r_name")
         )
-        return self.table("orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
 
     @cached_property
     def _raw_deployments(self):
@@ -70,7 +84,10 @@ class Survey:
     def _lines(self):
         parts = self.table("part").select("p_partkey", "p_name", "p_type")
         words = F.split("p_name", " ")
-        return self.table("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        lines = spread(self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
+        ))
+        return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").cast("string").alias("sample_url"),
             F.col("p_type").alias("family"), words[1].alias("genus"), words[0].alias("species"),
             F.col("l_quantity").cast("long").alias("count"),
@@ -149,39 +166,47 @@ class Survey:
             rows, "feature long, bioregion string, rings array<array<struct<x:double,y:double>>>"
         )
 
+    # Tables by location (the nation) for the two survey methods.
+
     @cached_property
-    def location_tables(self):
-        """Tables by location (the nation) for the two survey methods."""
-        sites = self._raw_deployments
-        by_sample = sites.select("sample_url", "location", "method", "longitude_dd", "latitude_dd")
-        named = self.counts.transform(taxa.add_common_names, self.life_history).withColumn(
-            "display_name", taxa.display_name()
-        )
-        seen = (
-            named.groupBy("sample_url", "display_name").agg(F.sum("count").alias("count"))
-            .join(by_sample.select("sample_url", "location", "method"), "sample_url")
+    def _sites(self):
+        return self._raw_deployments.select("sample_url", "location", "method", "longitude_dd", "latitude_dd")
+
+    @cached_property
+    def _seen(self):
+        named = taxa.add_common_names(self.counts, self.life_history)
+        return (
+            named.groupBy("sample_url", taxa.display_name().alias("display_name")).agg(F.sum("count").alias("count"))
+            .join(self._sites.select("sample_url", "location", "method"), "sample_url")
         )
-        values = self.metrics.select("sample_url", "metric", "value").join(by_sample, "sample_url")
-        lengths = taxa.keep_fish(self._lines, taxa.fish_taxa(self.life_history))
-        lengths = lengths.transform(taxa.add_common_names, self.life_history).select(
+
+    def _by_method(self, df, name):
+        return df.where(F.col("method") == ("UVC" if name.endswith("_diver") else "stereo-BRUVs"))
+
+    def _lengths_by_place(self):
+        named = taxa.add_common_names(taxa.keep_fish(self._lines, taxa.fish_taxa(self.life_history)), self.life_history)
+        lengths = named.select(
             "sample_url", taxa.display_name().alias("display_name"), "length_mm",
             F.when(F.col("l_returnflag") == "R", "UVC").otherwise("stereo-BRUVs").alias("method"),
             F.when(F.col("l_linestatus") == "F", "Commonwealth").otherwise("State").alias("jurisdiction"),
-        ).join(sites.select("sample_url", "location", "status"), "sample_url").drop("sample_url")
-
-        def split(df, name):
-            video = df.where(F.col("method") == "stereo-BRUVs")
-            diver = df.where(F.col("method") == "UVC")
-            return {name: video, f"{name}_diver": diver}
-
-        return {
-            **split(by_sample, "deployment_locations"),
-            **split(values, "metric_bubble_data"),
-            **split(seen, "bubble_data"),
-            "length_with_jurisdiction": lengths,
-            "top_species_location": seen.groupBy("location", "method", "display_name")
-            .agg(F.sum("count").alias("total_number")),
-            "years_park": sites.groupBy("location", F.year("date_time").alias("year"), "method")
-            .agg(F.count(F.lit(1)).alias("n")),
-            "depth_combined": sites.select("location", "depth_m", "method"),
-        }
+        )
+        places = self._raw_deployments.select("sample_url", "location", "status")
+        return lengths.join(places, "sample_url").drop("sample_url")
+
+    def location_table(self, name) -> DataFrame:
+        kind = name.removesuffix("_diver")
+        if kind == "deployment_locations":
+            return self._by_method(self._sites, name)
+        if kind == "metric_bubble_data":
+            values = self.metrics.select("sample_url", "metric", "value")
+            return self._by_method(values.join(self._sites, "sample_url"), name)
+        if kind == "bubble_data":
+            return self._by_method(self._seen, name)
+        if kind == "length_with_jurisdiction":
+            return self._lengths_by_place()
+        if kind == "top_species_location":
+            return self._seen.groupBy("location", "method", "display_name").agg(F.sum("count").alias("total_number"))
+        if kind == "years_park":
+            year = F.year("date_time").alias("year")
+            return self._raw_deployments.groupBy("location", year, "method").agg(F.count(F.lit(1)).alias("n"))
+        return self._raw_deployments.select("location", "depth_m", "method")

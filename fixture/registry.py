@@ -8,12 +8,14 @@ from shoalkit.functions import slug
 from shoalkit.operators import abundance, events, locations, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
 from shoalkit.plans.refresh import campaign_list
+from shoalkit.scaling import cut_lineage
 from shoalkit.schemas import TAXON
 
 REGION = "ASIA"
 REGIONS = ["ASIA", "EUROPE"]
 LOCATION = "NATION_3"
 METRIC = "total_abundance"
+SITES = ["deployment_locations", "deployment_locations_diver"]
 
 
 # Both engines round after adding this. A value such as 3/128 lies on a rounding tie
@@ -36,12 +38,22 @@ def presented(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _bundle(s):
-    return locations.location_bundle(s.location_tables, LOCATION)
+def _bundle(s, *names):
+    """The named tables (all by default) for one location."""
+    return locations.location_bundle({name: s.location_table(name) for name in names or locations.TABLES}, LOCATION)
+
+
+def _stored(s, *names):
+    """The same, written once, for views that read a table more than once."""
+    return {name: cut_lineage(table) for name, table in _bundle(s, *names).items()}
+
+
+def _place(s, name):
+    return _bundle(s, name)[name]
 
 
 def _species(s):
-    return locations.default_species(_bundle(s), 3)
+    return locations.default_species(_bundle(s, "top_species_location"), 3)
 
 
 QUERIES = {
@@ -106,18 +118,20 @@ QUERIES = {
     "metric_slug": lambda s: s.deployments.select("bioregion").distinct().withColumn("slug", slug(F.col("bioregion"))),
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),
-    "location_deployments": lambda s: locations.location_deployments(_bundle(s)),
-    "location_bounds": lambda s: summaries.bounds(locations.location_deployments(_bundle(s))),
-    "species_ranking": lambda s: locations.species_ranking(_bundle(s)["top_species_location"]),
-    "effort_by_year": lambda s: locations.effort_by_year(_bundle(s)["years_park"]),
-    "depth_hist": lambda s: locations.depth_histogram(_bundle(s)["depth_combined"]),
-    "length_hist": lambda s: locations.length_histogram(_bundle(s)["length_with_jurisdiction"], _species(s), 50),
-    "length_density": lambda s: locations.length_density(_bundle(s)["length_with_jurisdiction"], _species(s), 50),
-    "species_by_method": lambda s: locations.species_by_method(_bundle(s)["top_species_location"]),
-    "bubble_map": lambda s: locations.metric_bubbles(_bundle(s), "Total abundance"),
-    "bubble_map_diver": lambda s: locations.metric_bubbles(_bundle(s), "Species richness", "diver"),
-    "species_map": lambda s: locations.species_bubbles(_bundle(s), _species(s)),
-    "species_map_diver": lambda s: locations.species_bubbles(_bundle(s), _species(s), "diver"),
+    "location_deployments": lambda s: locations.location_deployments(_bundle(s, *SITES)),
+    "location_bounds": lambda s: summaries.bounds(locations.location_deployments(_bundle(s, *SITES))),
+    "species_ranking": lambda s: locations.species_ranking(_place(s, "top_species_location")),
+    "effort_by_year": lambda s: locations.effort_by_year(_place(s, "years_park")),
+    "depth_hist": lambda s: locations.depth_histogram(_place(s, "depth_combined")),
+    "length_hist": lambda s: locations.length_histogram(_place(s, "length_with_jurisdiction"), _species(s), 50),
+    "length_density": lambda s: locations.length_density(_place(s, "length_with_jurisdiction"), _species(s), 50),
+    "species_by_method": lambda s: locations.species_by_method(_place(s, "top_species_location")),
+    "bubble_map": lambda s: locations.metric_bubbles(_stored(s, "metric_bubble_data"), "Total abundance"),
+    "bubble_map_diver": lambda s: locations.metric_bubbles(
+        _stored(s, "metric_bubble_data_diver"), "Species richness", "diver"),
+    "species_map": lambda s: locations.species_bubbles(_stored(s, "bubble_data", SITES[0]), _species(s)),
+    "species_map_diver": lambda s: locations.species_bubbles(
+        _stored(s, "bubble_data_diver", SITES[1]), _species(s), "diver"),
 }
 
 

@@ -24,7 +24,7 @@ SUFFIX = {"video": "", "diver": "_diver"}
 
 def location_bundle(tables, location):
     """Every table of the bundle, filtered to one location."""
-    return {name: tables[name].where(F.col("location") == location) for name in TABLES}
+    return {name: table.where(F.col("location") == location) for name, table in tables.items()}
 
 
 def bundle_sizes(bundle) -> DataFrame:

@@ -37,6 +37,16 @@ def small_side(df: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than there are cores.
+
+    One unsplittable file would keep every step up to the first shuffle in one task.
+    An input with a split per core or more is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read on from there.
 

@@ -1,0 +1,53 @@
+import tempfile
+
+import pytest
+
+from shoalkit.session import build_session
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("tests", "local[8]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def make(spark):
+    """DataFrame from rows and a schema text."""
+    return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture
+def folder():
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+DEPLOYMENTS = (
+    "sample_url string, campaignid string, sample string, date_time timestamp, longitude_dd double, "
+    "latitude_dd double, status string, successful_count boolean, successful_length boolean, depth_m double, "
+    "bioregion string"
+)
+COUNTS = "sample_url string, family string, genus string, species string, count long"
+LENGTHS = "sample_url string, family string, genus string, species string, length_mm double, count long"
+LIFE = (
+    "family string, genus string, species string, class string, rls_thermal_niche double, "
+    "australian_common_name string"
+)
+
+
+def deployment(url, campaign="C1", date=None, status="Fished", ok=True, region="North", sample=None, lon=0.0, lat=0.0,
+               depth=10.0, ok_length=True):
+    from datetime import datetime
+
+    when = datetime.fromisoformat(date) if date else None
+    return (url, campaign, sample or url, when, lon, lat, status, ok, ok_length, depth, region)
+
+
+def rows(df, *columns):
+    """Rows as a sorted list of tuples; None sorts last."""
+    picked = df.select(*columns) if columns else df
+    return sorted((tuple(r) for r in picked.collect()), key=lambda r: [(v is None, str(type(v)), v if v is not None else 0) for v in r])

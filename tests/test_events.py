@@ -1,0 +1,57 @@
+from datetime import date
+
+from shoalkit.operators import events
+from shoalkit.plans.refresh import campaign_list
+from tests.conftest import DEPLOYMENTS, deployment, rows
+
+DATES = ["2020-01-01", "2020-01-15", "2020-01-30", None, None]
+
+
+def dated(make, campaign="C1", dates=DATES):
+    items = [deployment(f"{campaign}{i}", campaign, d) for i, d in enumerate(dates)]
+    return events.prepare_deployments(make(items, DEPLOYMENTS))
+
+
+def test_gap_rule_and_missing_dates(make):
+    lookup = events.campaign_lookup(dated(make))
+    assert rows(lookup, "event_number", "start_date", "new_campaignid", "start_month") == [
+        (1, date(2020, 1, 1), "C1_20200101", "2020-01"),
+        (1, date(2020, 1, 1), "C1_20200101", "2020-01"),
+        (2, date(2020, 1, 30), "C1_20200130", "2020-01"),
+        (3, None, "C1_NA", None),
+        (4, None, "C1_NA", None),
+    ]
+
+
+def test_campaign_without_any_date(make):
+    lookup = events.campaign_lookup(dated(make, dates=[None, None, None]))
+    assert rows(lookup, "event_number", "new_campaignid") == [(1, "C1_NA"), (2, "C1_NA"), (3, "C1_NA")]
+
+
+def test_many_undated_rows_are_numbered_in_blocks(make, monkeypatch):
+    monkeypatch.setattr(events, "_BLOCK", 4)
+    lookup = events.campaign_lookup(dated(make, dates=[None] * 11))
+    assert rows(lookup, "event_number") == [(i,) for i in range(1, 12)]
+
+
+def test_session_windows_give_the_same_events(make):
+    frame = dated(make).unionByName(dated(make, "C2", ["2019-12-31", "2020-01-14", "2020-01-14", "2020-03-01"]))
+    calendar = events.event_calendar(frame).select("campaignid", "event_number", "start_date").distinct()
+    assert rows(calendar) == rows(events.events_by_session_window(frame), *calendar.columns)
+
+
+def test_event_gaps_exceed_the_limit(make):
+    starts = [r[0] for r in rows(events.event_calendar(dated(make)).select("start_date").distinct())]
+    assert all((b - a).days > 14 for a, b in zip(starts, starts[1:]))
+
+
+def test_counts_per_region(make):
+    frame = dated(make).unionByName(dated(make, "C2", ["2021-01-01"]))
+    assert rows(events.events_per_region(frame)) == [("North", 4)]  # two dated, C1_NA, one of C2
+    assert rows(events.years_per_region(frame)) == [("North", 3)]  # 2020, 2021, missing
+
+
+def test_campaigns_are_numbered_in_order(make):
+    items = [deployment(f"s{i}", f"C{i % 37:02d}") for i in range(200)]
+    listed = campaign_list(make(items, DEPLOYMENTS))
+    assert rows(listed) == [(i + 1, f"C{i:02d}") for i in range(37)]

@@ -1,0 +1,126 @@
+from datetime import date
+
+import pytest
+
+from shoalkit.operators import events, metrics, taxa
+from tests.conftest import COUNTS, DEPLOYMENTS, LIFE, deployment, rows
+
+LIFE_ROWS = [
+    ("F", "G", "a", "Actinopterygii", 10.0, "Alpha"),
+    ("F", "G", "b", "Elasmobranchii", 20.0, None),
+    ("F", "G", None, "Actinopterygii", None, None),
+    ("F", "H", "x", "Actinopterygii", None, "Ex"),
+    ("M", "W", "w", "Mammalia", 30.0, "Whale"),
+]
+
+
+def prepared(make, *items):
+    return events.prepare_deployments(make(list(items), DEPLOYMENTS))
+
+
+def test_missing_count_poisons_or_is_skipped(make):
+    samples = prepared(make, deployment("s1"), deployment("s2"))
+    counts = make([("s1", "F", "G", "a", 3), ("s1", "F", "G", "b", None)], COUNTS)
+    total = metrics.total_abundance(counts, samples)
+    assert rows(total, "sample_url", "value") == [("s1", 0.0), ("s2", 0.0)]
+    skipped = metrics.total_abundance(counts, samples, null_counts="skip")
+    assert rows(skipped, "sample_url", "value") == [("s1", 3.0), ("s2", 0.0)]
+
+
+def test_partly_named_taxon_counts_for_richness_and_matches_fish(make):
+    samples = prepared(make, deployment("s1"))
+    counts = make([("s1", "F", "G", "a", 1), ("s1", "F", "G", None, 1), ("s1", "F", "G", None, 2)], COUNTS)
+    fish = taxa.keep_fish(counts, taxa.fish_taxa(make(LIFE_ROWS, LIFE)))
+    assert fish.count() == 3
+    assert rows(metrics.species_richness(fish, samples), "value") == [(2.0,)]
+
+
+def test_class_filter_and_recode(make):
+    counts = make([("s1", "M", "W", "w", 1), ("s1", "F", "G", "zzz", 1), ("s1", "F", None, "q", 1)], COUNTS)
+    recoded = taxa.recode_taxon(counts, "G", "a")
+    assert rows(recoded, "genus", "species") == [("G", "a"), ("W", "w"), (None, "q")]
+    fish = taxa.fish_counts(counts, make(LIFE_ROWS, LIFE), "G", "a")
+    assert rows(fish, "genus", "species") == [("G", "a")]
+
+
+def test_default_recode(make):
+    counts = make([("s", "Carangidae", "Pseudocaranx", "spp", 1)], COUNTS)
+    assert rows(taxa.recode_taxon(counts), "species") == [("georgianus",)]
+
+
+def test_temperature_index(make):
+    samples = prepared(make, deployment("s1"), deployment("s2"), deployment("s3"))
+    counts = make(
+        [("s1", "F", "G", "a", 3), ("s1", "F", "G", "b", 1), ("s1", "F", "H", "x", 9), ("s2", "F", "H", "x", 5)], COUNTS
+    )
+    life = make(LIFE_ROWS, LIFE)
+    cti = metrics.community_temperature(counts, samples, life)
+    assert rows(cti, "sample_url", "value") == [("s1", 12.5)]
+    assert rows(metrics.samples_missing_cti(counts, samples, life), "sample_url", "species", "count") == [("s2", "x", 5)]
+    # A weight of zero leaves nothing to divide by.
+    zero = make([("s1", "F", "G", "a", 0)], COUNTS)
+    assert metrics.community_temperature(zero, samples, life).count() == 0
+
+
+def test_unsuccessful_samples_with_counts_stay(make):
+    samples = prepared(
+        make, deployment("s1", date="2020-01-01"), deployment("s2", ok=False, date="2020-01-01"), deployment("s3", ok=None)
+    )
+    counts = make([("s2", "F", "G", "a", 4)], COUNTS)
+    total = metrics.total_abundance(counts, samples)
+    assert rows(total, "campaignid", "sample_url", "value") == [("C1", "s1", 0.0), (None, "s2", 4.0)]
+
+
+def test_fused_metrics_equal_the_three_apart(make):
+    samples = prepared(
+        make, deployment("s1", date="2020-01-01"), deployment("s2", ok=False), deployment("s3", status=None),
+        deployment("s4", date="2020-03-01", status="No-Take"), deployment("s5", ok=False),
+    )
+    counts = make(
+        [("s1", "F", "G", "a", 3), ("s1", "F", "G", "a", 2), ("s2", "F", "G", "b", 1), ("s3", "F", "H", "x", None),
+         ("s4", "F", "G", None, 7), ("s4", "F", "G", "b", 7)], COUNTS
+    )
+    life = make(LIFE_ROWS, LIFE)
+    for null_counts, weight in (("poison", "count"), ("skip", "log")):
+        apart = (
+            metrics.total_abundance(counts, samples, null_counts)
+            .unionByName(metrics.species_richness(counts, samples))
+            .unionByName(metrics.community_temperature(counts, samples, life, weight))
+        )
+        fused = metrics.metrics_long(counts, samples, life, null_counts, weight)
+        left, right = rows(fused, *metrics.COLUMNS), rows(apart, *metrics.COLUMNS)
+        assert [r[:4] for r in left] == [r[:4] for r in right]
+        assert [r[4] for r in left] == pytest.approx([r[4] for r in right])
+    dated = rows(fused.where("sample_url = 's4' and metric = 'cti'"), "date", "event_number", "start_month", "status")
+    assert dated == [(date(2020, 3, 1), 2, "2020-03", "No-Take")]
+    # An undated sample has no event.
+    assert rows(fused.where("sample_url = 's3'"), "event_number") == [(None,), (None,)]
+
+
+def test_twice_listed_taxon_is_an_error(make):
+    counts = make([("s1", "F", "G", "a", 3)], COUNTS)
+    twice = make([LIFE_ROWS[0], LIFE_ROWS[0]], LIFE)
+    with pytest.raises(Exception, match="taxon listed twice"):
+        metrics.community_temperature(counts, prepared(make, deployment("s1")), twice).collect()
+
+
+def test_in_region(make):
+    counts = make([("s1", "F", "G", "a", 3), ("s9", "F", "G", "a", 3)], COUNTS)
+    assert rows(metrics.in_region(counts, prepared(make, deployment("s1"))), "sample_url") == [("s1",)]
+
+
+def test_labels(make):
+    counts = make([("s1", "F", "G", "a", 3), ("s1", "F", "G", "b", 1), ("s1", "F", "Q", "q", 1)], COUNTS)
+    labelled = taxa.add_labels(counts, make(LIFE_ROWS, LIFE))
+    assert rows(labelled, "display_name", "sci", "common", "label") == [
+        ("G a (Alpha)", "G a", "Alpha", "*G a*<br>(Alpha)"),
+        ("G b (NA)", "G b", "NA", "*G b*<br>(NA)"),
+        ("Q q (NA)", "Q q", "NA", "*Q q*<br>(NA)"),
+    ]
+    odd = make([("A b (C (D))",), ("no brackets",), (None,)], "display_name string")
+    split = taxa.split_display_name(odd).withColumn("label", taxa.markdown_label())
+    assert rows(split) == [
+        ("A b (C (D))", "A b", "C (D)", "*A b*<br>(C (D))"),
+        ("no brackets", None, None, "*NA*<br>(NA)"),
+        (None, None, None, "*NA*<br>(NA)"),
+    ]
