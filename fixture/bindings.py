@@ -128,9 +128,13 @@ class Survey:
     def lengths(self):
         return taxa.fish_lengths(self.raw_lengths, self.life_history)
 
+    @cached_property
+    def per_taxon(self):
+        return metrics.sample_taxa(self.counts)
+
     @cached_property
     def metrics(self):
-        return metrics.metrics_long(self.counts, self.deployments, self.life_history)
+        return metrics.metrics_long(self.per_taxon, self.deployments, self.life_history)
 
     @cached_property
     def stored_metrics(self):
@@ -139,15 +143,23 @@ class Survey:
 
     @cached_property
     def cube(self):
-        return abundance.grid_cube(self.counts, self.deployments)
+        return abundance.grid_cube(self.per_taxon, self.deployments)
+
+    @cached_property
+    def top_overall(self):
+        return cut_lineage(abundance.top_overall(self.cube))
+
+    @cached_property
+    def top_region(self):
+        return cut_lineage(abundance.top_by_region(self.cube))
 
     @cached_property
     def top_species(self):
-        return abundance.top_species(self.cube, self.life_history)
+        return abundance.top_species(self.cube, self.top_overall, self.top_region, self.life_history)
 
     @cached_property
     def top_species_year(self):
-        return abundance.top_by_region_status_year(self.cube, self.life_history)
+        return abundance.top_by_region_status_year(self.cube, self.top_region, self.life_history)
 
     @cached_property
     def points(self):

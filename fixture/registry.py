@@ -87,8 +87,8 @@ QUERIES = {
     "abundance_region_status_year": lambda s: abundance.mean_abundance(s.cube, ["bioregion", "status", "year"]),
     "top_species_overall": lambda s: abundance.top_overall(s.cube),
     "top_species_region": lambda s: abundance.top_by_region(s.cube),
-    "top_species_overall_status": lambda s: abundance.top_overall_status(s.cube),
-    "top_species_region_status": lambda s: abundance.top_by_region_status(s.cube),
+    "top_species_overall_status": lambda s: abundance.top_overall_status(s.cube, s.top_overall),
+    "top_species_region_status": lambda s: abundance.top_by_region_status(s.cube, s.top_region),
     "top_species_year": lambda s: s.top_species_year,
     "top_species": lambda s: s.top_species,
     "top_species_check": lambda s: abundance.rows_per_region(s.top_species),

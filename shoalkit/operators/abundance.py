@@ -24,8 +24,8 @@ def _strata(deployments):
     )
 
 
-def grid_cube(counts: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Sums per (bioregion, status, year, taxon), checkpointed.
+def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Sums per (bioregion, status, year, taxon) out of ``sample_taxa``, checkpointed.
 
     ``n_rows``, ``total`` and ``total_sq`` describe the rows present (a missing count is
     0), ``n_with`` the samples they come from, and ``n_samples`` adds up over the taxa
@@ -33,16 +33,11 @@ def grid_cube(counts: DataFrame, deployments: DataFrame) -> DataFrame:
     The result has one row per stratum and observed taxon, so it is small whatever
     the number of samples, and every ranking reads it instead of the counts.
     """
-    count = F.coalesce("count", F.lit(0)).cast("long")
     first = F.row_number().over(Window.partitionBy("sample_url").orderBy("sample_url")) == 1
-    per_taxon = (
-        counts.groupBy("sample_url", *TAXON)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(count).alias("total"), F.sum(count * count).alias("total_sq"))
-        .withColumn("is_first", first)
-    )
+    flagged = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq", first.alias("is_first"))
     once = F.coalesce("is_first", F.lit(True)).cast("long")
     cube = (
-        _strata(deployments).join(per_taxon, "sample_url", "full")
+        _strata(deployments).join(flagged, "sample_url", "full")
         .where(F.col("ok") | F.col("n_rows").isNotNull())
         .groupBy(*STRATA, *TAXON)
         .agg(
@@ -129,30 +124,28 @@ def _tagged(df, group, by_status):
     return df.drop("n").withColumns({"group": F.lit(group), "by_status": F.lit(by_status)})
 
 
-def top_overall_status(cube: DataFrame, n=50) -> DataFrame:
-    """The overall top taxa, by status."""
-    cells = top_overall(cube, n).select(*TAXON)
-    return _tagged(mean_abundance(cube, ["status"], cells), "overall", True)
+def top_overall_status(cube: DataFrame, top: DataFrame) -> DataFrame:
+    """The taxa of ``top_overall``, by status."""
+    return _tagged(mean_abundance(cube, ["status"], top.select(*TAXON)), "overall", True)
 
 
-def top_by_region_status(cube: DataFrame, n=50) -> DataFrame:
-    """Every bioregion's top taxa, by status."""
-    cells = top_by_region(cube, n).select("bioregion", *TAXON)
+def top_by_region_status(cube: DataFrame, top: DataFrame) -> DataFrame:
+    """The taxa of ``top_by_region``, by status."""
+    cells = top.select("bioregion", *TAXON)
     return _tagged(mean_abundance(cube, ["bioregion", "status"], cells), "bioregion", True)
 
 
-def top_by_region_status_year(cube: DataFrame, life_history: DataFrame, n=50) -> DataFrame:
-    """Every bioregion's top taxa, by status and year, with labels."""
-    cells = top_by_region(cube, n).select("bioregion", *TAXON)
+def top_by_region_status_year(cube: DataFrame, top: DataFrame, life_history: DataFrame) -> DataFrame:
+    """The taxa of ``top_by_region``, by status and year, with labels."""
+    cells = top.select("bioregion", *TAXON)
     rows = _tagged(mean_abundance(cube, ["bioregion", "status", "year"], cells), "bioregion", True)
     return add_labels(rows, life_history)
 
 
-def top_species(cube: DataFrame, life_history: DataFrame, n=50) -> DataFrame:
-    """The four ranked lists in one table, with labels."""
-    parts = [top_overall(cube, n), top_by_region(cube, n), top_overall_status(cube, n), top_by_region_status(cube, n)]
-    rows = parts[0]
-    for part in parts[1:]:
+def top_species(cube: DataFrame, overall: DataFrame, region: DataFrame, life_history: DataFrame) -> DataFrame:
+    """The two ranked lists and their splits by status in one table, with labels."""
+    rows = overall
+    for part in (region, top_overall_status(cube, overall), top_by_region_status(cube, region)):
         rows = rows.unionByName(part, allowMissingColumns=True)
     return add_labels(rows, life_history)
 

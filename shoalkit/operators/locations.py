@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoalkit.functions import bubble_radius, slug
 from shoalkit.operators.histograms import density, histogram
 from shoalkit.operators.taxa import html_label, split_display_name
+from shoalkit.scaling import small_side
 
 TABLES = [
     "deployment_locations", "deployment_locations_diver",
@@ -46,7 +47,7 @@ def location_deployments(bundle) -> DataFrame:
 def of_species(df: DataFrame, species) -> DataFrame:
     """Rows of the chosen species: a list of display names, or a short frame of them."""
     if isinstance(species, DataFrame):
-        return df.join(F.broadcast(species.select("display_name")), "display_name", "left_semi")
+        return df.join(small_side(species.select("display_name")), "display_name", "left_semi")
     return df.where(F.col("display_name").isin(*species))
 
 

@@ -57,11 +57,6 @@ def species_richness(counts: DataFrame, deployments: DataFrame) -> DataFrame:
     return _zero_filled(values, deployments, "species_richness")
 
 
-def _weight(weight):
-    count = F.col("count").cast("double")
-    return {"count": count, "log": F.log1p(count)}[weight]
-
-
 def _cti(niche, weight):
     known = F.when(niche.isNotNull(), weight)
     return F.try_divide(F.sum(known * niche), F.sum(known))
@@ -78,9 +73,11 @@ def community_temperature(counts, deployments, life_history, weight="count") ->
     ``weight`` is ``count`` or ``log`` (log of count + 1). Taxa without a niche do not
     take part. Campaign and sample come from the deployment of the sample.
     """
+    count = F.col("count").cast("double")
+    weighted = {"count": count, "log": F.log1p(count)}[weight]
     values = (
         null_safe_join(counts, thermal_niche(life_history), TAXON, "left")
-        .groupBy("sample_url").agg(_cti(F.col("rls_thermal_niche"), _weight(weight)).alias("value"))
+        .groupBy("sample_url").agg(_cti(F.col("rls_thermal_niche"), weighted).alias("value"))
         .where(F.col("value").isNotNull())
     )
     return (
@@ -89,42 +86,48 @@ def community_temperature(counts, deployments, life_history, weight="count") ->
     )
 
 
-def sample_measures(counts, life_history, null_counts="poison", weight="count") -> DataFrame:
-    """All three measures of every sample with counts, in one pass over the counts.
+def sample_taxa(counts: DataFrame) -> DataFrame:
+    """Sums per sample and taxon: the one pass over the counts that the metrics and the
+    abundance rankings share.
 
-    Counts are first summed per sample and taxon, so a sample holding a large share of
-    the rows reaches the second shuffle with one row per taxon.
+    A sample holding a large share of all rows leaves it with one row per taxon, so the
+    later shuffles by sample are even. Missing counts add nothing but are flagged.
     """
-    per_taxon = (
-        counts.groupBy("sample_url", *TAXON)
-        .agg(
-            F.sum("count").alias("individuals"),
-            F.bool_or(F.col("count").isNull()).alias("has_missing"),
-            F.sum(_weight(weight)).alias("weight"),
-        )
+    count = F.coalesce("count", F.lit(0)).cast("long")
+    return counts.groupBy("sample_url", *TAXON).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(count).alias("total"),
+        F.sum(count * count).alias("total_sq"),
+        F.sum(F.log1p(count.cast("double"))).alias("log_total"),
+        F.bool_or(F.col("count").isNull()).alias("has_missing"),
     )
-    individuals = F.sum("individuals")
+
+
+def sample_measures(per_taxon, life_history, null_counts="poison", weight="count") -> DataFrame:
+    """All three measures of every sample with counts, from ``sample_taxa``."""
+    total = F.sum("total")
     if null_counts == "poison":
-        individuals = F.when(F.bool_or("has_missing"), F.lit(None)).otherwise(individuals)
+        total = F.when(F.bool_or("has_missing"), F.lit(0)).otherwise(total)
+    weighted = F.col({"count": "total", "log": "log_total"}[weight]).cast("double")
     return (
         null_safe_join(per_taxon, thermal_niche(life_history), TAXON, "left")
         .groupBy("sample_url")
         .agg(
-            F.coalesce(individuals, F.lit(0)).cast("double").alias("total_abundance"),
+            total.cast("double").alias("total_abundance"),
             F.count(F.lit(1)).cast("double").alias("species_richness"),
-            _cti(F.col("rls_thermal_niche"), F.col("weight")).alias("cti"),
+            _cti(F.col("rls_thermal_niche"), weighted).alias("cti"),
         )
     )
 
 
 def metrics_long(
-    counts, deployments, life_history, null_counts="poison", weight="count", gap_days=GAP_DAYS
+    per_taxon, deployments, life_history, null_counts="poison", weight="count", gap_days=GAP_DAYS
 ) -> DataFrame:
     """The three metrics in long form with region, status, date and sampling event.
 
     Equals the union of ``total_abundance``, ``species_richness`` and
-    ``community_temperature`` joined to the sample attributes, computed with a single
-    scan of the counts and one full outer join.
+    ``community_temperature`` joined to the sample attributes, but comes from the sums
+    of ``sample_taxa`` and one full outer join.
     """
     ok = F.coalesce("successful_count", F.lit(False))
     events = event_calendar(deployments, gap_days)
@@ -134,7 +137,7 @@ def metrics_long(
         .join(events, ["campaignid", "date"], "left")
     )
     joined = (
-        samples.join(sample_measures(counts, life_history, null_counts, weight), "sample_url", "full")
+        samples.join(sample_measures(per_taxon, life_history, null_counts, weight), "sample_url", "full")
         .withColumn("ok", F.coalesce("ok", F.lit(False)))
         .where(F.col("ok") | F.col("species_richness").isNotNull())
     )
@@ -169,7 +172,7 @@ def samples_missing_cti(counts, deployments, life_history, null_counts="poison",
     pass, so samples without an index are a filter away.
     """
     missing = (
-        sample_measures(counts, life_history, null_counts, weight)
+        sample_measures(sample_taxa(counts), life_history, null_counts, weight)
         .where(F.col("cti").isNull() & (F.col("total_abundance") > 0))
         .select("sample_url", F.col("total_abundance").alias("value"))
     )

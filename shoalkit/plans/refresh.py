@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
-from shoalkit.scaling import numbered
+from shoalkit.scaling import cut_lineage, numbered
 from shoalkit.session import build_session
 from shoalkit.sources.bundle import log_success, run_folder
 from shoalkit.sources.geojson import read_polygons
@@ -57,12 +57,15 @@ def refresh(spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, c
     lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
 
     write_table(events.campaign_lookup(deployments), folder, "campaign_lookup")
+    write_table(metrics.sample_taxa(counts), folder, "sample_taxa")
+    per_taxon = stored("sample_taxa")
     write_table(
-        metrics.metrics_long(counts, deployments, life_history, weight=weight), folder, "metrics", ["metric"]
+        metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), folder, "metrics", ["metric"]
     )
-    cube = abundance.grid_cube(counts, deployments)
-    write_table(abundance.top_species(cube, life_history), folder, "top_species")
-    write_table(abundance.top_by_region_status_year(cube, life_history), folder, "top_species_year")
+    cube = abundance.grid_cube(per_taxon, deployments)
+    overall, region = cut_lineage(abundance.top_overall(cube)), cut_lineage(abundance.top_by_region(cube))
+    write_table(abundance.top_species(cube, overall, region, life_history), folder, "top_species")
+    write_table(abundance.top_by_region_status_year(cube, region, life_history), folder, "top_species_year")
     write_table(summaries.overview_stats(deployments, counts, lengths), folder, "overview_stats")
     write_table(summaries.region_stats(deployments, counts, lengths), folder, "bioregion_stats")
     (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoalkit import scaling
 from shoalkit.operators import abundance, events
+from shoalkit.operators.metrics import sample_taxa
 from tests.conftest import COUNTS, DEPLOYMENTS, LIFE, deployment, rows
 
 TAXA = [("F", "G", "a"), ("F", "G", "b"), ("F", "H", None), ("E", "K", "k")]
@@ -28,6 +29,10 @@ def survey(make, seed=1, n=60):
     return events.prepare_deployments(make(items, DEPLOYMENTS)), make(counts, COUNTS), items, counts
 
 
+def cube_of(counts, deployments):
+    return abundance.grid_cube(sample_taxa(counts), deployments)
+
+
 def grid(items, counts):
     """The whole grid by brute force: (sample attributes, taxon, count)."""
     by_url = {r[0]: r for r in items}
@@ -50,7 +55,7 @@ def test_moments_equal_the_grid(make, keys):
     expected = {}
     for group, taxon, count in grid(items, raw):
         expected.setdefault((*[group[k] for k in keys], *taxon), []).append(count)
-    result = abundance.mean_abundance(abundance.grid_cube(counts, deployments), keys).collect()
+    result = abundance.mean_abundance(cube_of(counts, deployments), keys).collect()
     assert len(result) == len(expected)
     for row in result:
         values = expected[tuple(row[: len(keys) + 3])]
@@ -68,7 +73,7 @@ def test_frequency_table_equals_the_grid(make):
     for group, taxon, count in grid(items, raw):
         key = (group["bioregion"], group["status"], *taxon, count)
         expected[key] = expected.get(key, 0) + 1
-    table = abundance.complete_counts(counts, deployments, abundance.grid_cube(counts, deployments))
+    table = abundance.complete_counts(counts, deployments, cube_of(counts, deployments))
     assert {tuple(r[:6]): r[6] for r in table.collect()} == expected
 
 
@@ -91,7 +96,7 @@ def test_long_group_lists_are_paired_in_chunks(make):
 def test_ties_are_ranked_by_taxon(make):
     deployments = events.prepare_deployments(make([deployment("s1"), deployment("s2")], DEPLOYMENTS))
     counts = make([("s1", "F", "G", s, 2) for s in "dcba"], COUNTS)
-    cube = abundance.grid_cube(counts, deployments)
+    cube = cube_of(counts, deployments)
     assert rows(abundance.top_overall(cube, 2), "species") == [("a",), ("b",)]
     assert rows(abundance.top_by_region(cube, 3), "species") == [("a",), ("b",), ("c",)]
 
@@ -101,10 +106,10 @@ def test_lists_by_status_keep_absent_taxa(make):
         make([deployment("s1"), deployment("s2", status="No-Take"), deployment("s3", region="South")], DEPLOYMENTS)
     )
     counts = make([("s1", "F", "G", "a", 2), ("s1", "F", "G", "b", 1)], COUNTS)
-    cube = abundance.grid_cube(counts, deployments)
-    by_status = abundance.top_overall_status(cube, 1)
+    cube = cube_of(counts, deployments)
+    by_status = abundance.top_overall_status(cube, abundance.top_overall(cube, 1))
     assert rows(by_status, "status", "species", "average_abundance") == [("Fished", "a", 1.0), ("No-Take", "a", 0.0)]
-    by_region = abundance.top_by_region_status(cube, 2)
+    by_region = abundance.top_by_region_status(cube, abundance.top_by_region(cube, 2))
     assert rows(by_region, "bioregion", "status", "species", "average_abundance") == [
         ("North", "Fished", "a", 2.0), ("North", "Fished", "b", 1.0),
         ("North", "No-Take", "a", 0.0), ("North", "No-Take", "b", 0.0),
@@ -115,8 +120,8 @@ def test_lists_by_status_keep_absent_taxa(make):
 def test_union_of_lists(make):
     deployments, counts, _, _ = survey(make, 4)
     life = make([(*t, "Actinopterygii", 1.0, "Name") for t in TAXA], LIFE)
-    cube = abundance.grid_cube(counts, deployments)
-    top = abundance.top_species(cube, life, 2)
+    cube = cube_of(counts, deployments)
+    top = abundance.top_species(cube, abundance.top_overall(cube, 2), abundance.top_by_region(cube, 2), life)
     assert rows(top.select("group", "by_status").distinct()) == [
         ("bioregion", False), ("bioregion", True), ("overall", False), ("overall", True)]
     per_region = abundance.rows_per_region(top).where(~F.col("by_status"))
@@ -128,7 +133,7 @@ def test_hot_sample_and_large_sums_stay_exact(make):
     deployments = events.prepare_deployments(make([deployment("s1"), deployment("s2")], DEPLOYMENTS))
     big = 3_000_000_000
     counts = make([("s1", "F", "G", "a", big)] + [("s2", "F", "G", "a", 1)] * 500, COUNTS)
-    row = abundance.mean_abundance(abundance.grid_cube(counts, deployments), []).first()
+    row = abundance.mean_abundance(cube_of(counts, deployments), []).first()
     values = [big] + [1] * 500
     assert row["n"] == 501
     assert row["se"] == pytest.approx(statistics.stdev(values) / math.sqrt(501), rel=1e-12)

@@ -1,0 +1,33 @@
+import pytest
+from pyspark.sql import functions as F
+
+from shoalkit.operators.histograms import density, histogram
+from tests.conftest import rows
+
+
+def test_bins_are_centred_and_closed_on_the_right(make):
+    values = make([(v,) for v in (-3.0, 0.0, 2.5, 2.6, 7.5, None)], "x double")
+    assert rows(histogram(values, "x", 5)) == [(-5.0, 1), (0.0, 2), (5.0, 2)]
+
+
+def test_smallest_value_on_an_edge_goes_up(make):
+    # The range of the bins starts at the smallest value, which its first bin includes.
+    values = make([(v,) for v in (-2.5, -2.5, 0.0, 2.5, 2.6, 7.5)], "x double")
+    assert rows(histogram(values, "x", 5)) == [(0.0, 4), (5.0, 2)]
+    grouped = make([("a", -2.5), ("a", 0.0), ("b", 2.5)], "g string, x double")
+    assert rows(histogram(grouped, "x", 5, ["g"])) == [("a", 0.0, 2), ("b", 0.0, 1)]
+
+
+def test_rounding_noise_at_edges(make):
+    values = make([(0.0,), (0.1 + 0.2 + 0.05,), (0.35,)], "x double")
+    assert [n for _, n in rows(histogram(values, "x", 0.1))] == [1, 2]
+
+
+def test_empty_input(make):
+    assert histogram(make([], "x double"), "x", 5).count() == 0
+
+
+def test_density_sums_to_one(make):
+    data = make([(g, float(i % 17)) for i in range(200) for g in ("a", "b") if g == "a" or i % 3], "g string, x double")
+    total = density(data, "x", 3, ["g"]).groupBy("g").agg(F.sum("density").alias("s"))
+    assert [s * 3 for _, s in rows(total)] == pytest.approx([1.0, 1.0])

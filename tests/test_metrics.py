@@ -87,7 +87,7 @@ def test_fused_metrics_equal_the_three_apart(make):
             .unionByName(metrics.species_richness(counts, samples))
             .unionByName(metrics.community_temperature(counts, samples, life, weight))
         )
-        fused = metrics.metrics_long(counts, samples, life, null_counts, weight)
+        fused = metrics.metrics_long(metrics.sample_taxa(counts), samples, life, null_counts, weight)
         left, right = rows(fused, *metrics.COLUMNS), rows(apart, *metrics.COLUMNS)
         assert [r[:4] for r in left] == [r[:4] for r in right]
         assert [r[4] for r in left] == pytest.approx([r[4] for r in right])
