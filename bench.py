@@ -1,6 +1,8 @@
 """Time the headline queries and print one JSON line.
 
-``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores.
+``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores. Every query
+runs once untimed, so that class loading and code generation are not measured, and then
+once timed, plan building included.
 """
 
 import json
@@ -28,13 +30,18 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     known, timings = queries(), {}
-    known["region_choices"](spark, folder).count()  # starts the session and code generation
     names = HEADLINE if len(sys.argv) < 2 else (list(known) if sys.argv[1] == "all" else sys.argv[1:])
-    for name in names:
+
+    def seconds(name):
         start = time.perf_counter()
         # The whole result is computed and thrown away row by row.
         known[name](spark, folder).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - start, 3)
+        return round(time.perf_counter() - start, 3)
+
+    for name in names:
+        seconds(name)
+    for name in names:
+        timings[name] = seconds(name)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

@@ -82,14 +82,16 @@ class Survey:
 
     @cached_property
     def _lines(self):
-        parts = self.table("part").select("p_partkey", "p_name", "p_type")
         words = F.split("p_name", " ")
+        # The taxon is worked out once per part, not once per line.
+        parts = self.table("part").select(
+            "p_partkey", F.col("p_type").alias("family"), words[1].alias("genus"), words[0].alias("species")
+        )
         lines = spread(self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
         ))
         return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("l_orderkey").cast("string").alias("sample_url"),
-            F.col("p_type").alias("family"), words[1].alias("genus"), words[0].alias("species"),
+            F.col("l_orderkey").cast("string").alias("sample_url"), *TAXON,
             F.col("l_quantity").cast("long").alias("count"),
             (F.col("l_extendedprice") / 100).alias("length_mm"),
             "l_returnflag", "l_linestatus",

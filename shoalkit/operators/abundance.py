@@ -43,8 +43,8 @@ def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
         .agg(
             F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
             F.count("n_rows").alias("n_with"),
-            # Decimals: squares of sums outgrow a long, and stay exact here.
-            F.coalesce(F.sum(F.col("total").cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias("total"),
+            F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+            # A decimal: sums of squares outgrow a long, and stay exact here.
             F.coalesce(F.sum(F.col("total_sq").cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias("total_sq"),
             F.sum(once).alias("n_samples"),
         )

@@ -24,6 +24,26 @@ def test_agrees(spark, con, name):
     assert difference(spark, con, SMALL, QUERIES[name], SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_product_join_and_no_python(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups"):
+        assert word not in plan
+
+
+def test_top_k_is_pushed_into_the_window(spark):
+    from fixture.bindings import Survey
+    from shoalkit.operators import abundance
+
+    plan = abundance.top_by_region(Survey(spark, SMALL).cube)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = QUERIES["metric_total_abundance"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 

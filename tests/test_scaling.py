@@ -1,0 +1,32 @@
+from shoalkit import scaling
+from tests.conftest import rows
+
+
+def test_row_numbers_follow_the_order(make):
+    data = make([(f"k{(i * 7919) % 1000:04d}",) for i in range(1000)], "k string")
+    assert rows(scaling.numbered(data, ["k"])) == [(f"k{i:04d}", i + 1) for i in range(1000)]
+
+
+def test_null_safe_join(make):
+    left = make([("a", None, 1), ("b", "x", 2), (None, None, 3)], "p string, q string, n int")
+    right = make([("a", None, 10), (None, None, 30)], "p string, q string, m int")
+    assert rows(scaling.null_safe_join(left, right, ["p", "q"], "left")) == [
+        ("a", None, 1, 10), ("b", "x", 2, None), (None, None, 3, 30)]
+    assert rows(scaling.null_safe_join(left, right, ["p", "q"], "left_semi"), "n") == [(1,), (3,)]
+    assert rows(scaling.null_safe_join(left, right, ["p", "q"], "left_anti"), "n") == [(2,)]
+
+
+def test_only_checked_sides_are_broadcast(spark, monkeypatch):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    small, large = spark.range(10), spark.range(1000)
+    assert hinted(scaling.small_side(small))
+    monkeypatch.setattr(scaling, "BROADCAST_BYTES", 1)
+    assert hinted(scaling.small_side(large, max_rows=1000))
+    assert not hinted(scaling.small_side(large, max_rows=999))
+
+
+def test_inputs_with_few_splits_are_spread(spark):
+    assert scaling.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
+    assert scaling.spread(spark.range(0, 100, 1, 20)).rdd.getNumPartitions() == 20
