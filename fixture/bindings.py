@@ -1,5 +1,6 @@
 """The driver's Parquet tables read as survey tables (see FIXTURES.md)."""
 
+import json
 import os
 from functools import cached_property
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shoalkit.operators import abundance, events, metrics, taxa
 from shoalkit.scaling import cut_lineage, spread
-from shoalkit.schemas import TAXON
+from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
+from shoalkit.sources.landed import write_table
 
 # The genus whose species are merged, in the words of the test data.
 GENUS, SPECIES = "gear", "red"
@@ -36,6 +38,11 @@ POLYGONS = {
 }
 
 
+# Two regions of the deployments, as (west, east) longitudes; the rest lies in neither.
+# No deployment lies on a border.
+STRIPS = {"West": (149.0, 155.005), "East": (155.005, 159.005)}
+
+
 class Survey:
     """Survey tables over one directory of test data; everything is built on first use."""
 
@@ -122,6 +129,26 @@ class Survey:
             )
         )
 
+    def land(self, folder) -> str:
+        """Write the inputs of a refresh below ``folder``; returns the path of its regions."""
+        raw = [*DEPLOYMENTS_RAW.names]
+        tables = {
+            "deployments": self._raw_deployments.select(*raw), "counts": self.raw_counts,
+            "lengths": self.raw_lengths, "life_history": self.life_history,
+        }
+        for name, table in tables.items():
+            write_table(table, folder, name)
+        features = [
+            {"type": "Feature", "properties": {"Bioregion": name},
+             "geometry": {"type": "Polygon",
+                          "coordinates": [[[w, -40], [e, -40], [e, -29], [w, -29], [w, -40]]]}}
+            for name, (w, e) in STRIPS.items()
+        ]
+        path = os.path.join(folder, "regions")
+        lines = [(json.dumps(feature),) for feature in features]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+        return path
+
     @cached_property
     def counts(self):
         return taxa.fish_counts(self.raw_counts, self.life_history, GENUS, SPECIES)

@@ -4,7 +4,7 @@ Unlike the Spark jobs, the SQL builds the whole sample x taxon grid, tests every
 against every polygon edge and computes the three metrics one by one.
 """
 
-from fixture.bindings import GENUS, POLYGONS, SPECIES
+from fixture.bindings import GENUS, POLYGONS, SPECIES, STRIPS
 from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS
 
 TAXON = "family, genus, species"
@@ -288,6 +288,32 @@ def _bundle_sizes():
     return " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n FROM {text}" for name, text in parts.items())
 
 
+def _refresh_tables():
+    """Row counts of the refresh: deployments in two strips of longitude, the rest dropped."""
+    west, east = STRIPS["West"][1], STRIPS["East"][1]
+    groups = "(SELECT count(*) FROM (SELECT DISTINCT {} FROM sampled)) * taxa"
+    parts = {
+        "deployments": "count(*) FROM placed", "bioregions": "2", "overview_stats": "1", "run_log": "1",
+        "bioregion_stats": "count(DISTINCT place) FROM placed WHERE successful_count",
+        "metrics": "count(*) FROM metrics WHERE sample_url IN (SELECT sample_url FROM placed)",
+        "campaign_lookup": "count(*) FROM (SELECT DISTINCT campaignid, date FROM placed)",
+        "campaigns_csv": "count(DISTINCT campaignid) FROM placed",
+        "sample_taxa": f"""count(*) FROM (SELECT DISTINCT sample_url, {TAXON} FROM counts
+            WHERE sample_url IN (SELECT sample_url FROM placed))""",
+        "top_species": f"""taxa + {groups.format('place')} + {groups.format('status')}
+            + {groups.format('place, status')} FROM listed""",
+        "top_species_year": f"{groups.format('place, status, y')} FROM listed",
+    }
+    return f""", placed AS (
+        SELECT *, CASE WHEN longitude_dd < {west} THEN 'West' ELSE 'East' END AS place FROM dep
+        WHERE longitude_dd < {east}),
+    sampled AS (SELECT *, CASE WHEN successful_count THEN year END AS y FROM placed
+        WHERE successful_count OR sample_url IN (SELECT sample_url FROM counts)),
+    listed AS (SELECT least(50, count(*)) AS taxa FROM (SELECT DISTINCT {TAXON} FROM counts
+        WHERE sample_url IN (SELECT sample_url FROM placed)))
+    """ + " UNION ALL ".join(f"SELECT '{name}' AS table_name, CAST(({'SELECT ' + text}) AS BIGINT) AS n" for name, text in parts.items())
+
+
 HTML = r"""'<i>' || regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 1) || '</i><span> ('
     || regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 2) || ')</span>'"""
 
@@ -382,6 +408,7 @@ ORACLE = {
         WHEN 'species_richness' THEN 'Average no. species'
         WHEN 'cti' THEN 'Community temperature index (°C)' ELSE metric END AS label FROM metrics""",
     "metric_slug": "SELECT DISTINCT bioregion, replace(lower(bioregion), ' ', '_') AS slug FROM dep",
+    "refresh_tables": _refresh_tables(),
     "location_bundle": _bundle_sizes(),
     "location_deployments": """SELECT sample_url, location, method, round(longitude_dd, 6) AS longitude_dd,
         round(latitude_dd, 6) AS latitude_dd FROM park""",

@@ -1,5 +1,8 @@
 """Every query by name: ``(spark, folder) -> DataFrame``, on whole tables."""
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,9 +10,10 @@ from fixture.bindings import GENUS, SPECIES, Survey
 from shoalkit.functions import slug
 from shoalkit.operators import abundance, events, locations, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
-from shoalkit.plans.refresh import campaign_list
-from shoalkit.scaling import cut_lineage
+from shoalkit.plans.refresh import campaign_list, refresh
+from shoalkit.scaling import cut_lineage, shared_folder
 from shoalkit.schemas import TAXON
+from shoalkit.sources import bundle
 
 REGION = "ASIA"
 REGIONS = ["ASIA", "EUROPE"]
@@ -56,6 +60,19 @@ def _species(s):
     return locations.default_species(_bundle(s, "top_species_location"), 3)
 
 
+def _refreshed(s):
+    """Rows of every table a refresh writes, read back from its run folder."""
+    folder = os.path.join(shared_folder(s.spark), f"refresh-{uuid.uuid4().hex}")
+    run = refresh(s.spark, folder, os.path.join(folder, "out"), s.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
+    tables = dict(bundle.read_bundle(s.spark, os.path.join(folder, "out"), run))
+    run_dir = bundle.run_folder(os.path.join(folder, "out"), run)
+    for name in ("campaign_lookup", "sample_taxa"):
+        tables[name] = s.spark.read.parquet(os.path.join(run_dir, name))
+    tables["campaigns_csv"] = s.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
+    tables["run_log"] = bundle.read_run_log(s.spark, os.path.join(folder, "out"))
+    return locations.bundle_sizes(tables)
+
+
 QUERIES = {
     # Samples and metrics
     "deployments_prepared": lambda s: s.deployments,
@@ -116,6 +133,8 @@ QUERIES = {
     "metric_map": lambda s: views.metric_map(s.stored_metrics, s.deployments, REGION, METRIC),
     "metric_labels": lambda s: views.metric_labels(s.metrics),
     "metric_slug": lambda s: s.deployments.select("bioregion").distinct().withColumn("slug", slug(F.col("bioregion"))),
+    # The batch job
+    "refresh_tables": _refreshed,
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),
     "location_deployments": lambda s: locations.location_deployments(_bundle(s, *SITES)),

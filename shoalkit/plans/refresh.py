@@ -33,7 +33,10 @@ def restrict_to_regions(spark, in_dir, folder, polygons, cell_size) -> None:
         write_table(metrics.in_region(read_landed(spark, in_dir, name), kept), folder, f"{name}_in_region")
 
 
-def refresh(spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count") -> str:
+def refresh(
+    spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
+    genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES,
+) -> str:
     """Rebuild every result table under a new run folder and log the run; returns its id.
 
     A run that fails leaves no log row, so readers keep using the run before.
@@ -53,7 +56,7 @@ def refresh(spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, c
     life_history = read_landed(spark, in_dir, "life_history")
     write_table(events.prepare_deployments(stored("deployments_in_region")), folder, "deployments")
     deployments = stored("deployments")
-    counts = taxa.fish_counts(stored("counts_in_region"), life_history)
+    counts = taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)
     lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
 
     write_table(events.campaign_lookup(deployments), folder, "campaign_lookup")
