@@ -20,24 +20,23 @@ def prepare_deployments(deployments: DataFrame) -> DataFrame:
     )
 
 
-def _dates(deployments):
-    # Repeated dates have gap 0, so one row per campaign and date gives the same
-    # events, and a campaign holding most of the rows is no larger than its calendar.
-    return deployments.where(F.col("date").isNotNull()).select("campaignid", "date").distinct()
+def _events(deployments, gap_days):
+    """One row per campaign and date with its event and the number ``n`` of deployments.
 
-
-def event_calendar(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
-    """Event of every dated (campaignid, date): number, start, identifier and month."""
-    by_date = Window.partitionBy("campaignid").orderBy("date")
+    Repeated dates have gap 0, so numbering distinct dates gives the same events, and a
+    campaign holding most of the rows is no larger than its calendar. Deployments
+    without a date share one row that sorts last.
+    """
+    by_date = Window.partitionBy("campaignid").orderBy(F.asc_nulls_last("date"))
     so_far = by_date.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.datediff("date", F.lag("date").over(by_date))
+    started = F.last(F.when(F.col("new_event"), F.col("date")), ignorenulls=True).over(so_far)
     return (
-        _dates(deployments)
+        deployments.groupBy("campaignid", "date").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("days_since_previous", gap)
         .withColumn("new_event", F.coalesce(F.col("days_since_previous") > gap_days, F.lit(True)))
         .withColumn("event_number", F.sum(F.col("new_event").cast("long")).over(so_far))
-        .withColumn("start_date", F.last(F.when(F.col("new_event"), F.col("date")), ignorenulls=True).over(so_far))
-        .select("campaignid", "date", "event_number", "start_date", *_event_labels())
+        .withColumn("start_date", F.when(F.col("date").isNotNull(), started))
     )
 
 
@@ -49,30 +48,31 @@ def _event_labels():
     )
 
 
+def event_calendar(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
+    """Event of every dated (campaignid, date): number, start, identifier and month."""
+    return _events(deployments.where(F.col("date").isNotNull()), gap_days).select(
+        "campaignid", "date", "event_number", "start_date", *_event_labels()
+    )
+
+
 def campaign_lookup(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
     """The calendar plus one event for every deployment without a date.
 
-    Undated deployments sort last in their campaign and each opens its own event, so
-    they only need counting: their numbers follow the last dated event.
+    Each undated deployment opens its own event after the dated ones, so the row that
+    counts them is repeated with rising numbers, in blocks that keep arrays short.
     """
-    dated = event_calendar(deployments, gap_days)
-    undated = (
-        deployments.where(F.col("date").isNull()).groupBy("campaignid").agg(F.count(F.lit(1)).alias("n"))
-    )
-    last = dated.groupBy("campaignid").agg(F.max("event_number").alias("last"))
+    copies = F.when(F.col("date").isNull(), F.col("n")).otherwise(F.lit(1)).cast("long")
     block = F.lit(_BLOCK).cast("long")
-    first_in_block = F.col("block") * block + 1
-    last_in_block = F.least(F.col("n"), (F.col("block") + 1) * block)
-    numbers = (
-        undated.join(last, "campaignid", "left")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_BLOCK}"))))
-        .withColumn("k", F.explode(F.sequence(first_in_block, last_in_block)))
-        .withColumn("event_number", F.coalesce("last", F.lit(0)) + F.col("k"))
-        .withColumn("start_date", F.lit(None).cast("date"))
-        .withColumn("date", F.lit(None).cast("date"))
+    first = F.col("block") * block
+    last = F.least(F.col("copies"), first + block) - 1
+    return (
+        _events(deployments, gap_days)
+        .withColumn("copies", copies)
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {_BLOCK}"))))
+        .withColumn("offset", F.explode(F.sequence(first, last)))
+        .withColumn("event_number", F.col("event_number") + F.col("offset"))
         .select("campaignid", "date", "event_number", "start_date", *_event_labels())
     )
-    return dated.unionByName(numbers)
 
 
 def events_by_session_window(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
@@ -84,7 +84,7 @@ def events_by_session_window(deployments: DataFrame, gap_days=GAP_DAYS) -> DataF
     order = Window.partitionBy("campaignid").orderBy("start_date")
     session = F.session_window(F.col("date").cast("timestamp"), f"{gap_days} days")
     return (
-        _dates(deployments)
+        deployments.where(F.col("date").isNotNull()).select("campaignid", "date").distinct()
         .groupBy("campaignid", session)
         .agg(F.min("date").alias("start_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_dates"))
         .withColumn("event_number", F.row_number().over(order).cast("long"))

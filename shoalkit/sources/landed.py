@@ -1,4 +1,4 @@
-"""Landed input tables: one Parquet directory per table, read with declared schemas."""
+"""Landed input tables: one Parquet directory per table, read as declared schemas."""
 
 import os
 
@@ -9,15 +9,15 @@ from shoalkit.schemas import LANDED, require_columns
 
 
 def read_landed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One landed table, with the columns of its schema in order and of its types.
+    """One landed table, with the columns of its schema, in order and of its types.
 
-    The file's own schema is read first (footers only) so that a missing column is an
-    error and not a column of NULLs.
+    The files' own schema decides whether a column is missing, which is an error and not
+    a column of NULLs. Casts to a type the files already have vanish from the plan.
     """
-    path = os.path.join(folder, name)
+    found = spark.read.parquet(os.path.join(folder, name))
     schema = LANDED[name]
-    require_columns(spark.read.parquet(path), schema.names, name)
-    return spark.read.schema(schema).parquet(path)
+    require_columns(found, schema.names, name)
+    return found.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema])
 
 
 def read_life_history_csv(spark: SparkSession, path: str) -> DataFrame:
