@@ -1,0 +1,69 @@
+"""One sample, campaign and grid cell hold a third of all rows; results stay whole."""
+
+import random
+from collections import defaultdict
+
+from shoalkit.operators import abundance, events, metrics, spatial
+from tests.conftest import COUNTS, DEPLOYMENTS, LIFE, deployment, rows
+
+
+def hot(rng, i, values):
+    return values[0] if i % 3 == 0 else rng.choice(values)
+
+
+def test_hot_sample_and_campaign(make):
+    rng = random.Random(5)
+    urls, campaigns = [f"s{i}" for i in range(40)], [f"C{i}" for i in range(9)]
+    items = [
+        deployment(u, hot(rng, i, campaigns), f"2020-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", ok=i % 5 != 0,
+                   region=rng.choice(["N", "S"]))
+        for i, u in enumerate(urls)
+    ]
+    counts = [(hot(rng, i, urls), "F", "G", rng.choice("abcdefgh"), rng.randint(0, 9)) for i in range(3000)]
+    sites = events.prepare_deployments(make(items, DEPLOYMENTS))
+    per_taxon = metrics.sample_taxa(make(counts, COUNTS))
+    life = make([("F", "G", s, "Actinopterygii", float(ord(s)), None) for s in "abcdefgh"], LIFE)
+
+    total, seen, cells = defaultdict(int), defaultdict(set), defaultdict(list)
+    for url, _, _, species, n in counts:
+        total[url] += n
+        seen[url].add(species)
+        cells[url, species].append(n)
+    present = {r[0] for r in items if r[7]} | set(total)
+    long = metrics.metrics_long(per_taxon, sites, life)
+    assert rows(long.where("metric = 'total_abundance'"), "sample_url", "value") == sorted(
+        (u, float(total[u])) for u in present)
+    assert rows(long.where("metric = 'species_richness'"), "sample_url", "value") == sorted(
+        (u, float(len(seen[u]))) for u in present)
+
+    by_campaign = defaultdict(set)
+    for r in items:
+        by_campaign[r[1]].add(r[3].date())
+    expected = []
+    for campaign, dates in by_campaign.items():
+        number, previous = 0, None
+        for day in sorted(dates):
+            number += previous is None or (day - previous).days > 14
+            expected.append((campaign, day, number))
+            previous = day
+    assert rows(events.event_calendar(sites), "campaignid", "date", "event_number") == sorted(expected)
+
+    region, grid = {r[0]: r[10] for r in items}, defaultdict(list)
+    for u in present:
+        for species in "abcdefgh":
+            grid[region[u], species] += cells.get((u, species), [0])
+    means = abundance.mean_abundance(abundance.grid_cube(per_taxon, sites), ["bioregion"])
+    found = {(r["bioregion"], r["species"]): (r["n"], r["average_abundance"]) for r in means.collect()}
+    assert found == {k: (len(v), sum(v) / len(v)) for k, v in grid.items()}
+
+
+def test_hot_cell_with_salted_index(make):
+    rng = random.Random(6)
+    box = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    polygons = make([(1, "Box", [box])], "feature long, bioregion string, rings array<array<struct<x:double,y:double>>>")
+    points = [
+        (str(i), 0.5, 0.5) if i % 3 == 0 else (str(i), rng.uniform(-4, 8), rng.uniform(-4, 8)) for i in range(1500)
+    ]
+    found = spatial.assign_regions(
+        make(points, "id string, longitude_dd double, latitude_dd double"), polygons, 1.0, max_rows=1)
+    assert rows(found, "id") == sorted((k,) for k, x, y in points if 0 <= x <= 4 and 0 <= y <= 4)
