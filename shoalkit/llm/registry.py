@@ -2,14 +2,21 @@
 
 from pathlib import Path
 
-from shoalkit.llm import decontamination, licenses, near_duplicates, rules, substrings
+from shoalkit.llm import (
+    decontamination, language, licenses, near_duplicates, packing, personal_data, quality, rules, substrings, toxicity,
+)
 from shoalkit.llm.common import table
 
 QUERIES = {
     "op1_simhash": lambda s, d: near_duplicates.near_duplicates(table(s, d, "documents")).drop("class"),
+    "op2_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")).drop("evidence"),
+    "op3_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+    "op4_language": lambda s, d: language.language_id(table(s, d, "documents")),
     "op5_substrings": lambda s, d: substrings.repeated_passages(table(s, d, "documents")),
     "op6_decontamination": lambda s, d: decontamination.contamination(
         table(s, d, "documents"), table(s, d, "benchmark")),
+    "op7_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+    "op8_personal_data": lambda s, d: personal_data.personal_data(table(s, d, "documents")),
     "op9_rules": lambda s, d: rules.quality_rules(table(s, d, "documents")),
     "op10_licenses": lambda s, d: licenses.license_scan(table(s, d, "documents")),
 }
