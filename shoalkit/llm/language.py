@@ -145,7 +145,9 @@ def fit(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -> Classi
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grams").limit(sample_rows).collect()
     )
     names = sorted({r.lang for r in rows})
-    grams = np.array([np.unpackbits(np.frombuffer(r.grams, np.uint8)).view(bool) for r in rows]).reshape(len(rows), -1)
+    grams = np.zeros((len(rows), 1 << GRAM_BITS), bool)
+    for i, r in enumerate(rows):
+        grams[i] = np.unpackbits(np.frombuffer(r.grams, np.uint8))
     return Classifier(grams, names, np.array([names.index(r.lang) for r in rows], np.int64), landmarks)
 
 

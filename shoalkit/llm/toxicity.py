@@ -105,7 +105,7 @@ class Model:
         if not len(near):
             return np.nan, near, cosines
         weight = cosines / (1.001 - cosines) * self.class_weight[self.labels[near]]
-        return float(weight @ self.labels[near] / weight.sum()), near, cosines
+        return round(float(weight @ self.labels[near] / weight.sum()), 6), near, cosines
 
     def _calibrate(self, votes, labels):
         """Pool adjacent violators over the left-out votes, so that more votes never mean less."""
@@ -120,8 +120,8 @@ class Model:
             while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2] or pools[-2][0] == pools[-1][0]):
                 _, a, b = pools.pop()
                 pools[-1] = [pools[-1][0], pools[-1][1] + a, pools[-1][2] + b]
-        self.vote_points = np.array([p[0] for p in pools])
-        self.chances = np.array([p[1] / p[2] for p in pools])
+        self.vote_points = np.array([p[0] for p in pools] or [0.0])
+        self.chances = np.array([p[1] / p[2] for p in pools] or [self.alone])
 
     def score(self, text: bytes):
         """Probability of label 1 and the nearest examples of one whole text."""
@@ -129,8 +129,7 @@ class Model:
         vote, near, cosines = self._vote(self._vector(counts.items()))
         if np.isnan(vote):
             return self.alone, near, cosines
-        at = max(int(np.searchsorted(self.vote_points, vote, "right")) - 1, 0)
-        return float(self.chances[at]), near, cosines
+        return float(np.interp(vote, self.vote_points, self.chances)), near, cosines
 
 
 def _term_counts(docs, label):

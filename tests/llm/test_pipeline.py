@@ -1,0 +1,36 @@
+"""The pipeline against the plain versions of its filtering stages, and its queries."""
+
+import duckdb
+
+import corpus_pipeline
+from shoalkit.llm import common, language
+from tests.conftest import SMALL
+from tests.llm import brute
+
+
+def test_stages_against_plain_versions(spark):
+    rows = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall())
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
+    docs = common.table(spark, SMALL, "documents")
+    columns, got = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, SMALL), name)
+        got.append(docs)
+    assert all(d.columns == columns for d in got[:-1])
+    kept = [sorted(r.doc_id for r in d.select("doc_id").collect()) for d in got]
+
+    known = {r.doc_id: r.lang_pred for r in language.language_id(common.table(spark, SMALL, "documents")).collect()}
+    assert kept[0] == sorted(d for d in rows if known[d] != "und")
+    assert kept[1] == sorted({c for _, _, c in brute.near_duplicates([(d, rows[d]) for d in kept[0]])})
+    clean = [r[0] for r in brute.contamination([(d, rows[d]) for d in kept[1]], items) if not r[5]]
+    assert kept[2] == sorted(clean) and kept[3] == kept[2]
+    # Nothing that the base patterns find is left in the texts.
+    left = brute.personal([(r.doc_id, r.text) for r in got[3].collect()])
+    assert not any(r[1] or r[2] or r[3] or r[4] for r in left)
+    assert {r.doc_id for r in got[4].collect()} == set(kept[3])
+
+
+def test_run_is_the_stages(spark):
+    assert len(corpus_pipeline.STAGES) == 5
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.filter("n_tokens > 0").count() > 0 and "batch" in out.columns
