@@ -2,14 +2,16 @@
 
 A polygon layer has few polygons and points are many. The layer is cut into square
 cells. A cell no edge passes through lies wholly inside or outside, so points in it
-need no test; in the other cells a point is tested against the edges of the cell's
-row alone. Edges are planar and polygons are closed sets: a point on an edge is inside.
+need no test. In the other cells a point is tested against the edges that pass through
+its own cell; what lies to the right of the cell in the same row only matters by the
+heights at which the number of edges met changes between odd and even. Edges are planar
+and polygons are closed sets: a point on an edge is inside.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.scaling import BROADCAST_ROWS, cut_lineage
+from shoalkit.scaling import BROADCAST_ROWS, cut_lineage, null_safe_join
 
 # Copies of the cell index and salts of the points when the index is too large to broadcast.
 SALTS = 16
@@ -37,8 +39,8 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
     )
 
 
-def covers(x, y, edges):
-    """True where (x, y) is inside or on the polygon whose relevant edges are given."""
+def covers(x, y, edges, turns):
+    """True where (x, y) is inside or on the polygon with these edges in and turns right of its cell."""
     def crosses(e):
         at = e.x1 + F.try_divide((e.x2 - e.x1) * (y - e.y1), e.y2 - e.y1)
         return F.coalesce(((e.y1 > y) != (e.y2 > y)) & (x < at), F.lit(False)).cast("int")
@@ -50,36 +52,66 @@ def covers(x, y, edges):
         return in_box & ((e.x2 - e.x1) * (y - e.y1) == (e.y2 - e.y1) * (x - e.x1))
 
     crossings = F.aggregate(edges, F.lit(0), lambda total, e: total + crosses(e))
+    crossings += F.aggregate(turns, F.lit(0), lambda total, t: total + (t <= y).cast("int"))
     return (crossings % 2 == 1) | F.exists(edges, touches)
 
 
+# Share of a cell by which an edge is taken to reach further, against rounding.
+REACH = 1e-9
+
+
 def cell_index(polygons: DataFrame, cell_size) -> DataFrame:
-    """Cells that meet a polygon: (cx, cy, feature, bioregion, edges).
+    """Cells that meet a polygon: (cx, cy, feature, bioregion, edges, turns).
 
-    ``edges`` is NULL in a cell wholly inside the polygon.
+    ``edges`` are those that pass through the cell, NULL in a cell wholly inside the
+    polygon. ``turns`` are heights inside the cell's row. An edge to the right of the
+    cell is met by the rays of all points between its lower end (included) and its
+    upper one (not), so its two ends, cut to the row, are turns; turns that occur an
+    even number of times cancel, which leaves little of a long chain of edges.
     """
     edges = polygon_edges(polygons)
     size = F.lit(float(cell_size))
-    low_x, high_x = F.least("x1", "x2"), F.greatest("x1", "x2")
     low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    by_row = edges.withColumn("cy", F.explode(F.sequence(_cell(low_y, cell_size), _cell(high_y, cell_size))))
-    row_edges = by_row.groupBy("feature", "bioregion", "cy").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-        F.min(_cell(low_x, cell_size)).alias("first"), F.max(_cell(high_x, cell_size)).alias("last"),
+    rows = F.sequence(_cell(low_y, cell_size), _cell(high_y, cell_size))
+    bottom, top = F.col("cy") * size, (F.col("cy") + 1) * size
+
+    def x_at(height):
+        # Where the edge is at a height within its own range; its ends where it is level.
+        inside = F.least(F.greatest(height, low_y), high_y)
+        return F.col("x1") + F.try_divide((F.col("x2") - F.col("x1")) * (inside - F.col("y1")), F.col("y2") - F.col("y1"))
+
+    # The part of an edge inside a row reaches from cell first to cell last.
+    level = F.col("y1") == F.col("y2")
+    ends = [F.when(level, F.col("x1")).otherwise(x_at(bottom)), F.when(level, F.col("x2")).otherwise(x_at(top))]
+    by_row = edges.withColumn("cy", F.explode(rows)).withColumns({
+        "first": _cell(F.least(*ends) - REACH * size, cell_size), "last": _cell(F.greatest(*ends) + REACH * size, cell_size),
+    })
+    own = (
+        by_row.withColumn("cx", F.explode(F.sequence("first", "last")))
+        .groupBy("feature", "bioregion", "cx", "cy")
+        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    )
+    odd = F.count(F.lit(1)) % 2 == 1
+    turn = F.explode(F.array(F.greatest(low_y, bottom), high_y)).alias("turn")
+    turns = (
+        by_row.where(~level).select("feature", "bioregion", "cy", "first", top.alias("limit"), turn)
+        .where(F.col("turn") < F.col("limit"))
+        .groupBy("feature", "bioregion", "cy", "first", "turn").agg(odd.alias("odd")).where("odd")
     )
-    touched = (
-        by_row.withColumn("cx", F.explode(F.sequence(_cell(low_x, cell_size), _cell(high_x, cell_size))))
-        .select("feature", "cx", "cy").distinct().withColumn("touched", F.lit(True))
+    # Cells of a row that have something of the polygon to their right, with what is left there.
+    spans = by_row.groupBy("feature", "bioregion", "cy").agg(F.min("first").alias("from_x"), F.max("last").alias("to_x"))
+    cells = spans.select("feature", "bioregion", "cy", F.explode(F.sequence("from_x", "to_x")).alias("cx"))
+    keys = ["feature", "bioregion", "cy"]
+    right = (
+        null_safe_join(cells, turns, keys, "left").where(F.col("first") > F.col("cx"))
+        .groupBy(*keys, "cx", "turn").agg(odd.alias("odd")).where("odd")
+        .groupBy(*keys, "cx").agg(F.collect_list("turn").alias("turns"))
     )
-    centre_x, centre_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    left_border = F.col("cx") * size
-    # A ray runs towards larger x, so edges left of the cell can never be met.
-    ahead = F.filter("edges", lambda e: F.greatest(e.x1, e.x2) >= left_border)
+    found = null_safe_join(null_safe_join(cells, own, [*keys, "cx"], "left"), right, [*keys, "cx"], "left")
+    turns = F.coalesce("turns", F.array().cast("array<double>"))
     return (
-        row_edges.withColumn("cx", F.explode(F.sequence("first", "last")))
-        .join(touched, ["feature", "cx", "cy"], "left")
-        .where(F.col("touched") | covers(centre_x, centre_y, F.col("edges")))
-        .select("cx", "cy", "feature", "bioregion", F.when(F.col("touched"), ahead).alias("edges"))
+        found.select("cx", "cy", "feature", "bioregion", "edges", turns.alias("turns"))
+        .where(F.col("edges").isNotNull() | (F.size("turns") % 2 == 1))
     )
 
 
@@ -89,13 +121,13 @@ def assign_regions(
 ) -> DataFrame:
     """Points with the ``bioregion`` of every polygon that covers them.
 
-    A point in two polygons gives two rows; a point in none, or without coordinates,
-    is dropped. The index is written once and its size (cells plus edges) checked:
-    below ``max_rows`` it is broadcast, above it points and index are joined by cell
-    with the points of a cell spread over salts.
+    A point in two polygons gives two rows; a point in none, in polygons without a name
+    only, or without coordinates, is dropped. The index is written once and its size
+    (cells, edges and turns) checked: below ``max_rows`` it is broadcast, above it points
+    and index are joined by cell with the points of a cell spread over salts.
     """
-    index = cut_lineage(cell_index(polygons, cell_size))
-    weight = index.agg(F.sum(1 + F.coalesce(F.size("edges"), F.lit(0)))).first()[0] or 0
+    index = cut_lineage(cell_index(polygons.where(F.col("bioregion").isNotNull()), cell_size))
+    weight = index.agg(F.sum(1 + F.coalesce(F.size("edges"), F.lit(0)) + F.size("turns"))).first()[0] or 0
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     located = points.where(px.isNotNull() & py.isNotNull()).withColumns(
         {"cx": _cell(px, cell_size), "cy": _cell(py, cell_size)}
@@ -106,5 +138,5 @@ def assign_regions(
         salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
         copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         candidates = located.withColumn("salt", salt).join(copies, ["cx", "cy", "salt"])
-    inside = F.col("edges").isNull() | covers(px, py, F.col("edges"))
+    inside = F.col("edges").isNull() | covers(px, py, F.col("edges"), F.col("turns"))
     return candidates.where(inside).select(*points.columns, "bioregion")

@@ -35,7 +35,7 @@ def restrict_to_regions(spark, in_dir, folder, polygons, cell_size) -> None:
 
 def refresh(
     spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
-    genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES,
+    genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion",
 ) -> str:
     """Rebuild every result table under a new run folder and log the run; returns its id.
 
@@ -46,7 +46,7 @@ def refresh(
 
     run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     folder = run_folder(out_dir, run_id)
-    polygons = read_polygons(spark, regions_path)
+    polygons = read_polygons(spark, regions_path, name_property)
     write_table(polygons, folder, "bioregions")
     restrict_to_regions(spark, in_dir, folder, polygons, cell_size)
 

@@ -101,3 +101,51 @@ def test_life_history_from_csv(spark, folder):
     with open(path, "w") as out:
         out.write("family,genus,species,class,rls_thermal_niche,australian_common_name\nF,G,a,Actinopterygii,10.5,NA\n")
     assert rows(landed.read_life_history_csv(spark, path)) == [("F", "G", "a", "Actinopterygii", 10.5, None)]
+
+
+def feature(name, coordinates=BOX, **more):
+    return {"type": "Feature", "properties": {"BIOREGION": name, **more}, "geometry": {"type": "Polygon", "coordinates": coordinates}}
+
+
+def written(folder, **files):
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w") as out:
+            out.write(text)
+    return folder
+
+
+def test_geojson_is_read_by_the_content_of_each_file(spark, folder):
+    lines = "\n".join(json.dumps(feature(n, note='a "FeatureCollection" here')) for n in "ABC")
+    pretty = json.dumps(feature("D"), indent=1).replace('{\n "type"', '{ "type"', 1)
+    whole = json.dumps({"type": "FeatureCollection", "features": [feature("E"), feature("E")]}, indent=2)
+    path = written(folder, one=lines, two=pretty, three=whole, four=json.dumps(collection()) + "\n\n",
+                   five='{\n"type": "FeatureCollection",\n"features": [\n' + ",\n".join(json.dumps(feature(n)) for n in "FG") + "\n]\n}\n")
+    layer = geojson.read_polygons(spark, path)
+    assert rows(layer, "bioregion") == [(n,) for n in ("A", "B", "C", "D", "E", "E", "East", "F", "G", "West")]
+    assert layer.select("feature").distinct().count() == 10
+    assert pretty.startswith('{ "type": "Feature",')
+    for name, n in (("one", 3), ("two", 1), ("three", 2), ("four", 2), ("five", 2)):
+        assert geojson.read_polygons(spark, os.path.join(path, name)).count() == n
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps({"type": "Feature", "properties": {"bioregion": "A"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}),
+    json.dumps(feature("A")) + "\n{broken", json.dumps(feature("A"), indent=1) * 2, "not JSON", "{}", json.dumps({"type": "FeatureCollection", "features": []}),
+])
+def test_geojson_that_cannot_be_read_is_an_error(spark, folder, text):
+    path = written(folder, good=json.dumps(feature("B")), bad=text)
+    with pytest.raises(ValueError, match="give no polygon"):
+        geojson.read_polygons(spark, path)
+
+
+def test_geojson_without_the_name_is_an_error(spark, make, folder):
+    regions = land(make, folder)
+    with pytest.raises(ValueError, match="no feature has the property zone"):
+        geojson.read_polygons(spark, regions, "zone")
+    out = os.path.join(folder, "out")
+    with pytest.raises(ValueError, match="no feature has the property zone"):
+        refresh(spark, folder, out, regions, name_property="zone")
+    assert not os.path.exists(os.path.join(out, bundle.RUN_LOG))
+    # A feature without a name keeps its polygon; its deployments are in no region.
+    path = written(folder, mixed=json.dumps(feature("A")) + "\n" + json.dumps(feature(None, EAST)))
+    assert rows(geojson.read_polygons(spark, os.path.join(path, "mixed")), "bioregion") == [("A",), (None,)]

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -62,3 +63,34 @@ def test_bounds_and_centre(make):
     points = make([("a", 1.0, -2.0), ("b", 4.0, 6.0), ("c", None, None)], POINTS)
     assert rows(summaries.bounds(points)) == [(1.0, -2.0, 4.0, 6.0)]
     assert rows(summaries.map_centre(points)) == [(2.5, 2.0)]
+
+
+def test_polygon_listed_twice_and_polygon_without_a_name(make):
+    again = (9, *SQUARE[1:])
+    points = make([("in", 0.5, 0.5), ("out", 2.5, 0.5)], POINTS)
+    found = spatial.assign_regions(points, make([SQUARE, again, (5, None, SQUARE[2])], SHAPES), 0.7)
+    assert rows(found, "id", "bioregion") == [("in", "Square"), ("in", "Square")]
+
+
+def coast(n):
+    """A ring of ``n`` vertices that winds in and out."""
+    points = []
+    for i in range(n):
+        angle, radius = 2 * math.pi * i / n, 3 + 0.4 * math.sin(17 * 2 * math.pi * i / n) + 0.01 * (i % 7)
+        points.append((radius * math.cos(angle), radius * math.sin(angle)))
+    return ring(*points)
+
+
+@pytest.mark.parametrize("cell_size", [0.25, 0.6])
+def test_edges_of_a_long_ring_stay_in_their_cells(make, cell_size):
+    shape = (1, "Coast", [coast(20_000)])
+    index = spatial.cell_index(make([shape], SHAPES), cell_size).collect()
+    tested = sum(len(r.edges or []) + len(r.turns) for r in index)
+    # Every edge is listed in the few cells it passes through, and long chains leave few turns.
+    assert tested < 1.5 * 20_000 and max(len(r.turns) for r in index) < 200
+    rng = random.Random(3)
+    data = [(str(i), rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(300)]
+    data += [("on a corner", *shape[2][0][77]), ("cell corner", 0.0, 0.0), ("cell edge", 3 * cell_size, 0.1)]
+    expected = sorted(k for k, x, y in data if inside(x, y, shape[2]) or (x, y) in shape[2][0])
+    found = spatial.assign_regions(make(data, POINTS), make([shape], SHAPES), cell_size)
+    assert [r[0] for r in rows(found, "id")] == expected
