@@ -11,16 +11,49 @@ from pyspark.sql import functions as F
 from shoalkit.llm.common import in_fold, labelled_sample, learnable, normal_words, stored
 
 FOLDS, HELD_OUT = 4, 2
-PER_CLASS = 3000
-TERMS = 1024
-# Least chi-square statistic of a term between the two labels, and documents it must be in.
-MIN_CHI_SQUARE, MIN_DOCUMENTS = 15.0, 5
+PER_CLASS = 2000
+TERMS = 256
+# Least chi-square statistic of a term between the two labels, texts it must be in, and
+# how many times larger its share must be in one label than in the other.
+MIN_CHI_SQUARE, MIN_TEXTS, MIN_RATIO = 30.0, 5, 4.0
+# Beginnings of words that are terms too, so that inflected words are recognised.
+BEGINNINGS = (4, 5, 6)
+KNOWN_WORDS = 300_000
 NEIGHBOURS = 40
 THRESHOLD = 0.3
 # Examples in a block of a posting list, and blocks scored in one step.
 BLOCK, STEP = 64, 8
 
 
+def terms_of(word: bytes):
+    """The terms of one word: itself and its beginnings."""
+    return [word] + [word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]
+
+
+class _Wanted(dict):
+    """Numbers of the wanted terms of each word seen; emptied when it has grown too large."""
+
+    def __init__(self, terms):
+        self.number = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word):
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        return found
+
+    def __reduce__(self):
+        return _Wanted, (list(self.number),)
+
+    def count(self, text: bytes):
+        """How often a whole text holds each wanted term."""
+        counts = Counter()
+        for found in map(self.__getitem__, normal_words(text)):
+            if found:
+                counts.update(found)
+        return counts
+
+
 class Index:
     """Posting lists of weighted terms over the examples, with the largest weight in each block."""
 
@@ -52,7 +85,7 @@ class Index:
         return found, np.bincount(where, products, len(found))
 
     def nearest(self, terms, weights, k, leave_out=-1):
-        """The ``k`` most similar examples and their cosines; of equal ones the first.
+        """The ``k`` most similar examples and their cosines; of equal ones those first in the index.
 
         Blocks are visited by falling upper bound, the query's weights times the largest
         weights of the block. No block whose bound is below the k-th cosine is scored.
@@ -82,10 +115,13 @@ class Model:
     """Terms, their weights, the index, and the map from votes to probabilities."""
 
     def __init__(self, terms, idf, ids, labels, counts, share):
-        """``counts``: for each example its terms and how often it holds them."""
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.ids, self.labels = np.array(idf), ids, labels
+        """``counts``: for each example the numbers of its terms and how often it holds them."""
+        self.wanted, self.idf = _Wanted(terms), np.array(idf)
+        # Like vectors stand together, so that the largest weights of a block say much.
         vectors = [self._vector(c) for c in counts]
+        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), ids[i]))
+        vectors, ids, labels = [vectors[i] for i in order], ids[order], labels[order]
+        self.ids, self.labels = ids, labels
         self.index = Index(vectors, len(terms))
         # Each label weighs as much as it does among all labelled documents.
         n = np.bincount(labels, minlength=2)
@@ -94,7 +130,7 @@ class Model:
         self._calibrate(votes, labels)
 
     def _vector(self, counts):
-        held = sorted((self.number[t], n) for t, n in counts if t in self.number)
+        held = sorted(counts.items())
         terms = np.array([t for t, _ in held], np.int64)
         weights = (1 + np.log(np.array([n for _, n in held], float))) * self.idf[terms] if held else np.empty(0)
         return terms, weights / (np.sqrt(weights @ weights) or 1.0)
@@ -125,54 +161,59 @@ class Model:
 
     def score(self, text: bytes):
         """Probability of label 1 and the nearest examples of one whole text."""
-        counts = Counter(w for w in normal_words(text) if w in self.number)
-        vote, near, cosines = self._vote(self._vector(counts.items()))
+        vote, near, cosines = self._vote(self._vector(self.wanted.count(text)))
         if np.isnan(vote):
             return self.alone, near, cosines
         return float(np.interp(vote, self.vote_points, self.chances)), near, cosines
 
 
-def _term_counts(docs, label):
-    """``doc_id, label, terms``: distinct words of each whole text with their counts."""
+def _terms(docs, label):
+    """``doc_id, label, terms`` with the distinct terms, and the text."""
 
-    @F.pandas_udf("array<struct<term:binary,n:int>>")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": w, "n": n} for w, n in Counter(normal_words(t or b"")).items()])
+    @F.pandas_udf("array<binary>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({term for w in set(normal_words(t or b"")) for term in terms_of(w)}))
 
-    return docs.select("doc_id", label, count(F.col("text").cast("binary")).alias("terms"))
+    return docs.select("doc_id", label, "text", find(F.col("text").cast("binary")).alias("terms"))
 
 
 def _document_frequencies(docs, terms):
     """Number of documents, over the whole corpus, that hold each of ``terms``, and of all documents."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    wanted = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
 
     def count(batches):
         total = Counter()
         for batch in batches:
-            total[None] += batch.num_rows
+            total[-1] += batch.num_rows
             for text in batch.column(0):
-                total.update(wanted.value.intersection(normal_words(text.as_py() or b"")))
+                total.update(wanted.value.count(text.as_py() or b"").keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+            [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
     rows = (
-        docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "term binary, n long")
+        docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "term int, n long")
         .groupBy("term").agg(F.sum("n").alias("n")).collect()
     )
-    found = {None if r.term is None else bytes(r.term): r.n for r in rows}
-    return found.pop(None, 0), found
+    found = {r.term: r.n for r in rows}
+    return found.pop(-1, 0), [found.get(i, 0) for i in range(len(terms))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, n_terms=TERMS):
     """Learn from at most ``per_class`` documents of each label; None if one is missing.
 
-    The dimensions are the at most ``n_terms`` words that differ most between the
-    labels of the sample (chi-square). Their document frequencies are counted over the
-    whole corpus.
+    The dimensions are the at most ``n_terms`` words and beginnings of words that differ most between the
+    labels of the sample (chi-square); equal texts are one example, so copies do not
+    add to a word. Document frequencies are counted over the whole corpus.
     """
     chosen = labelled_sample(labels, "toxic", FOLDS, HELD_OUT, per_class)
+    texts = (
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy(F.xxhash64("text").alias("key"), "label").agg(F.min("doc_id").alias("doc_id"))
+    )
     sample = stored(
-        _term_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label")
+        _terms(
+            docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+            .join(F.broadcast(texts), ["doc_id", "key"]).dropDuplicates(["key", "label"]), "label")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * per_class), "examples")
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -181,17 +222,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, n_terms=TERMS):
     all_one, all_zero = float(sizes[1]), float(sizes[0])
     both, total = one + zero, all_one + all_zero
     chi = total * F.pow(one * (all_zero - zero) - zero * (all_one - one), 2) / (both * (total - both) * all_one * all_zero)
+    uneven = F.greatest(one / all_one, zero / all_zero) >= MIN_RATIO * F.least(one / all_one, zero / all_zero)
     terms = [bytes(r.term) for r in (
-        sample.select("label", F.explode("terms.term").alias("term")).groupBy("term")
+        sample.select("label", F.explode("terms").alias("term")).groupBy("term")
         .agg(F.sum(F.col("label")).alias("one"), F.sum(1 - F.col("label")).alias("zero"))
-        .filter((both >= MIN_DOCUMENTS) & (both < total)).select("term", chi.alias("chi"))
+        .filter((both >= MIN_TEXTS) & (both < total) & uneven).select("term", chi.alias("chi"))
         .filter(F.col("chi") >= MIN_CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(n_terms).collect())]
-    n, frequency = _document_frequencies(docs, terms)
-    kept = F.filter("terms", lambda t: t["term"].isin(*[F.lit(t) for t in terms])) if terms else F.array()
-    rows = sample.select("doc_id", "label", kept.alias("terms")).orderBy("doc_id", "label").collect()
+    n, frequencies = _document_frequencies(docs, terms)
+    wanted = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
+
+    @F.pandas_udf("array<struct<term:int,n:int>>")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"term": i, "n": n} for i, n in sorted(wanted.value.count(t or b"").items())])
+
+    # Numbers of the few chosen terms, not texts, come to the driver.
+    rows = sample.select("doc_id", "label", count(F.col("text").cast("binary")).alias("terms")).orderBy("doc_id", "label").collect()
     share = labels.filter(learnable(FOLDS, HELD_OUT)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    idf = [np.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for t in terms]
-    counts = [[(bytes(t["term"]), t["n"]) for t in r.terms] for r in rows]
+    idf = [np.log((1 + n) / (1 + f)) + 1 for f in frequencies]
+    counts = [{t.term: t.n for t in r.terms} for r in rows]
     ids = np.array([r.doc_id for r in rows], np.int64)
     return Model(terms, idf, ids, np.array([r.label for r in rows], np.int64), counts, share)
 
@@ -221,7 +269,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> DataFra
 
     The nearest labelled examples by TF-IDF cosine vote, weighted by nearness and by
     their label's weight in the corpus. Votes become probabilities by an isotonic map
-    learned on the examples, each left out of its own vote. Ties go to the smaller id.
+    learned on the examples, each left out of its own vote. Ties go to the example that
+    stands first in the index, which is sorted by vector and id.
 
     A text without any of the terms, so also a null or empty one, gets the probability
     of such texts among the examples. If a label is missing among the learnable rows all

@@ -182,8 +182,9 @@ def test_toxicity_does_not_use_held_out_labels(tables):
 
 
 def test_document_frequencies_cover_all_documents(docs):
-    n, found = toxicity._document_frequencies(docs([(1, "A b a"), (2, "b"), (3, None), (3, "b c")]), [b"a", b"b", b"z"])
-    assert n == 4 and found == {b"a": 1, b"b": 3}
+    rows = [(1, "A b a"), (2, "b"), (3, None), (3, "b longer"), (4, "LONG")]
+    n, found = toxicity._document_frequencies(docs(rows), [b"a", b"b", b"z", b"long*"])
+    assert n == 5 and found == [1, 3, 0, 2]
 
 
 def test_toxicity_edges(docs, labels):
