@@ -13,11 +13,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixture.registry import queries  # noqa: E402
-from shoalkit.session import build_session  # noqa: E402
+from shoalkit.session import build_session, use_own_folder  # noqa: E402
 
 HEADLINE = [
     "metrics_long", "sampling_events", "abundance_region_status_year", "complete_counts",
-    "top_species_region", "top_species", "region_stats", "region_assign", "metric_timeseries", "length_density",
+    "top_species_region", "top_species", "region_stats", "region_assign_sites", "metric_timeseries", "length_density",
 ]
 
 
@@ -26,9 +26,11 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
+        {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+         # One file of some megabytes is read by all cores.
+         "spark.sql.files.maxPartitionBytes": "2m"},
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    use_own_folder(spark).sparkContext.setLogLevel("ERROR")
     known, timings = queries(), {}
     names = HEADLINE if len(sys.argv) < 2 else (list(known) if sys.argv[1] == "all" else sys.argv[1:])
 

@@ -2,14 +2,18 @@
 
 import json
 import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalkit.operators import abundance, events, metrics, taxa
-from shoalkit.scaling import cut_lineage, spread
+from shoalkit.plans.refresh import refresh
+from shoalkit.scaling import cut_lineage, shared_folder
 from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
+from shoalkit.sources import bundle
+from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import write_table
 
 # The genus whose species are merged, in the words of the test data.
@@ -41,6 +45,10 @@ POLYGONS = {
 # Two regions of the deployments, as (west, east) longitudes; the rest lies in neither.
 # No deployment lies on a border.
 STRIPS = {"West": (149.0, 155.005), "East": (155.005, 159.005)}
+STRIP_RINGS = {name: [(w, -40), (e, -40), (e, -29), (w, -29)] for name, (w, e) in STRIPS.items()}
+
+# Tables of the refresh made for a session and folder.
+_RUNS = {}
 
 
 class Survey:
@@ -94,9 +102,9 @@ class Survey:
         parts = self.table("part").select(
             "p_partkey", F.col("p_type").alias("family"), words[1].alias("genus"), words[0].alias("species")
         )
-        lines = spread(self.table("lineitem").select(
+        lines = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
-        ))
+        )
         return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").cast("string").alias("sample_url"), *TAXON,
             F.col("l_quantity").cast("long").alias("count"),
@@ -138,17 +146,46 @@ class Survey:
         }
         for name, table in tables.items():
             write_table(table, folder, name)
-        features = [
-            {"type": "Feature", "properties": {"Bioregion": name},
-             "geometry": {"type": "Polygon",
-                          "coordinates": [[[w, -40], [e, -40], [e, -29], [w, -29], [w, -40]]]}}
-            for name, (w, e) in STRIPS.items()
+        return self._layer(os.path.join(folder, "regions"), STRIP_RINGS)
+
+    def _layer(self, path, rings) -> str:
+        """Write polygons as GeoJSON, a feature per line; returns the path."""
+        lines = [
+            (json.dumps({"type": "Feature", "properties": {"Bioregion": name},
+                         "geometry": {"type": "Polygon", "coordinates": [[*ring, ring[0]]]}}),)
+            for name, ring in rings.items()
         ]
-        path = os.path.join(folder, "regions")
-        lines = [(json.dumps(feature),) for feature in features]
         self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
         return path
 
+    def _own_folder(self, kind):
+        """A new folder below the shared one, removed when the session's JVM ends."""
+        path = os.path.join(shared_folder(self.spark), f"{kind}-{uuid.uuid4().hex}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        return path
+
+    def polygons_read(self, rings):
+        """Polygons that went through a GeoJSON layer and its reader."""
+        return read_polygons(self.spark, self._layer(self._own_folder("layer"), rings))
+
+    @property
+    def served(self):
+        """Tables of a refresh over this folder; one run serves all queries of a session."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _RUNS:
+            folder = self._own_folder("refresh")
+            out = os.path.join(folder, "out")
+            run = refresh(self.spark, folder, out, self.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
+            tables = dict(bundle.read_bundle(self.spark, out, run))
+            run_dir = bundle.run_folder(out, run)
+            for name in ("campaign_lookup", "sample_taxa"):
+                tables[name] = self.spark.read.parquet(os.path.join(run_dir, name))
+            tables["campaigns_csv"] = self.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
+            tables["run_log"] = bundle.read_run_log(self.spark, out)
+            _RUNS[key] = tables
+        return _RUNS[key]
+
     @cached_property
     def counts(self):
         return taxa.fish_counts(self.raw_counts, self.life_history, GENUS, SPECIES)
@@ -165,11 +202,6 @@ class Survey:
     def metrics(self):
         return metrics.metrics_long(self.per_taxon, self.deployments, self.life_history)
 
-    @cached_property
-    def stored_metrics(self):
-        """Metrics as a written table, as views that read them more than once find them."""
-        return cut_lineage(self.metrics)
-
     @cached_property
     def cube(self):
         return abundance.grid_cube(self.per_taxon, self.deployments)
@@ -197,6 +229,16 @@ class Survey:
             "vec_id", vector[0].cast("double").alias("longitude_dd"), vector[1].cast("double").alias("latitude_dd")
         )
 
+    @cached_property
+    def sites(self):
+        return self._raw_deployments.select("sample_url", "longitude_dd", "latitude_dd")
+
+    @cached_property
+    def species_pages(self):
+        """Page address of every species, by its display name."""
+        named = taxa.add_common_names(self.life_history.select(*TAXON), self.life_history)
+        return named.select(taxa.display_name().alias("display_name"), F.concat_ws("/", F.lit("pages"), "family", "genus").alias("url"))
+
     @cached_property
     def polygons(self):
         rows = [

@@ -5,7 +5,7 @@ against every polygon edge and computes the three metrics one by one.
 """
 
 from fixture.bindings import GENUS, POLYGONS, SPECIES, STRIPS
-from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS
+from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS, STRIP
 
 TAXON = "family, genus, species"
 SAME_TAXON = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in ("family", "genus", "species"))
@@ -23,7 +23,7 @@ def _edges():
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS e(bioregion, x1, y1, x2, y2)"
 
 
-BASE = rf"""
+BASE_OF_REGION = rf"""
 WITH dep AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS sample_url, CAST(o_custkey AS VARCHAR) AS campaignid,
          CAST(o_orderkey % 100 AS VARCHAR) AS sample, o_orderdate AS date_time,
@@ -31,16 +31,18 @@ WITH dep AS (
          CASE o_orderstatus WHEN 'F' THEN 'Fished' WHEN 'O' THEN 'No-Take' END AS status,
          o_orderpriority <> '5-LOW' AS successful_count,
          o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED') AS successful_length,
-         o_totalprice / 10000 AS depth_m, r_name AS bioregion, n_name AS location,
+         o_totalprice / 10000 AS depth_m, @region AS bioregion, n_name AS location,
          CASE WHEN o_orderkey % 3 = 0 THEN 'UVC' ELSE 'stereo-BRUVs' END AS method,
          strftime(o_orderdate, '%Y') AS year, CAST(o_orderdate AS DATE) AS date
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE @region IS NOT NULL
 ), lines AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS sample_url, p_type AS family,
          split_part(p_name, ' ', 2) AS genus, split_part(p_name, ' ', 1) AS species,
          CAST(l_quantity AS BIGINT) AS count, l_extendedprice / 100 AS length_mm, l_returnflag, l_linestatus
   FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT sample_url FROM dep)
 ), life0 AS (
   SELECT p_type AS family, split_part(p_name, ' ', 2) AS genus, split_part(p_name, ' ', 1) AS species,
          min(p_partkey) AS k, min(p_brand) AS brand FROM part GROUP BY ALL
@@ -178,13 +180,23 @@ WITH dep AS (
 )
 """
 
+BASE = BASE_OF_REGION.replace("@region", "r_name")
+# The same over two strips of longitude; the deployments beyond them are dropped.
+_LONGITUDE = "(150 + (o_orderkey % 1000) / 100)"
+STRIP_BASE = BASE_OF_REGION.replace("@region", f"""(CASE WHEN {_LONGITUDE} < {STRIPS['West'][1]} THEN 'West'
+  WHEN {_LONGITUDE} < {STRIPS['East'][1]} THEN 'East' END)""")
+
 PARK_LENGTHS = "SELECT * FROM park_lengths WHERE display_name IN (SELECT display_name FROM picked)"
 
 
-def _abundance(keys):
+OF_TOP_REGION = f"""WHERE EXISTS (SELECT 1 FROM top_region t
+    WHERE t.bioregion IS NOT DISTINCT FROM grid.bioregion AND {_same_taxon('t', 'grid')})"""
+
+
+def _abundance(keys, where=""):
     keys = f"{keys}, " if keys else ""
     return f"""SELECT {keys}{TAXON}, round(avg(count), 6) AS average_abundance,
-        round(stddev_samp(count) / sqrt(count(*)), 6) AS se, count(*) AS n FROM grid GROUP BY ALL"""
+        round(stddev_samp(count) / sqrt(count(*)), 6) AS se, count(*) AS n FROM grid {where} GROUP BY ALL"""
 
 
 def _histogram(source, value, width, by):
@@ -195,11 +207,11 @@ def _histogram(source, value, width, by):
                      min({value}) OVER () AS lowest FROM ({source}) WHERE {value} IS NOT NULL) GROUP BY ALL"""
 
 
-def _mean_se(column, alias):
+def _mean_se(column, alias, region=REGION):
     return f"""SELECT *, round(m - s, 6) AS lower, round(m + s, 6) AS upper FROM (
         SELECT {column} AS {alias}, count(value) AS n, avg(value) AS m,
                CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END AS s
-        FROM metrics WHERE bioregion = '{REGION}' AND metric = '{METRIC}' GROUP BY ALL)"""
+        FROM metrics WHERE bioregion = '{region}' AND metric = '{METRIC}' GROUP BY ALL)"""
 
 
 def _kpis(source, keep=""):
@@ -234,8 +246,24 @@ def _tagged(source, keys, group, by_status):
     return f"SELECT {keys} {TAXON}, {ROUNDED}, '{group}' AS \"group\", {by_status} AS by_status FROM {source}"
 
 
-def _top_view(by_status):
-    return f""", base AS (SELECT * FROM top_species WHERE "group" = 'bioregion' AND bioregion = '{REGION}'),
+def _timeseries(region):
+    month = "TRY_CAST(start_month || '-01' AS DATE) AS start_month, status"
+    return f"""SELECT CAST(start_month AS VARCHAR) AS start_month, status, n, round(m, 6) AS mean,
+        round(s, 6) AS se, lower, upper FROM ({_mean_se(month, "status", region)})"""
+
+
+def _metric_map(region):
+    return f"""SELECT sample_url, round(longitude_dd, 6) AS longitude_dd, round(latitude_dd, 6) AS latitude_dd,
+        round(value, 6) AS value, status, round(round_even(value, 2), 6) AS shown_value,
+        round(CASE WHEN low = high THEN 8 ELSE 4 + 10 * (value - low) / (high - low) END, 6) AS radius
+        FROM (SELECT m.sample_url, d.longitude_dd, d.latitude_dd, m.value, m.status,
+                     min(m.value) OVER () AS low, max(m.value) OVER () AS high
+              FROM metrics m JOIN dep d ON m.sample_url = d.sample_url
+              WHERE m.bioregion = '{region}' AND m.metric = '{METRIC}' AND m.value IS NOT NULL)"""
+
+
+def _top_view(by_status, region=REGION):
+    return f""", base AS (SELECT * FROM top_species WHERE "group" = 'bioregion' AND bioregion = '{region}'),
     best AS (SELECT DISTINCT display_name FROM (SELECT * FROM base WHERE NOT by_status
              ORDER BY average_abundance DESC, {TAXON} LIMIT 10)),
     ordered AS (SELECT label, row_number() OVER (ORDER BY p) AS order_index FROM (
@@ -341,6 +369,9 @@ ORACLE = {
               (SELECT 1 FROM cti_rows m WHERE m.sample_url = d.sample_url)) s
         JOIN abundance_rows a ON s.sample_url = a.sample_url AND a.value > 0
         LEFT JOIN counts c ON s.sample_url = c.sample_url""",
+    "taxa_missing_cti": f"""SELECT DISTINCT {TAXON} FROM counts c WHERE EXISTS
+        (SELECT 1 FROM abundance_rows a WHERE a.sample_url = c.sample_url AND a.value > 0)
+        AND NOT EXISTS (SELECT 1 FROM cti_rows m WHERE m.sample_url = c.sample_url)""",
     "sampling_events": """SELECT campaignid, CAST(date AS VARCHAR) AS date, event_number,
         CAST(start_date AS VARCHAR) AS start_date, new_campaignid, start_month FROM calendar""",
     "sampling_events_session": """SELECT campaignid, event_number, CAST(start_date AS VARCHAR) AS start_date,
@@ -357,8 +388,8 @@ ORACLE = {
     "abundance_overall": _abundance(""),
     "abundance_region": _abundance("bioregion"),
     "abundance_status": _abundance("status"),
-    "abundance_region_status": _abundance("bioregion, status"),
-    "abundance_region_status_year": _abundance("bioregion, status, year"),
+    "abundance_region_status": _abundance("bioregion, status", OF_TOP_REGION),
+    "abundance_region_status_year": _abundance("bioregion, status, year", OF_TOP_REGION),
     "top_species_overall": _tagged("top_overall", "", "overall", "false"),
     "top_species_region": _tagged("top_region", "bioregion,", "bioregion", "false"),
     "top_species_overall_status": _tagged("top_overall_status", "status,", "overall", "true"),
@@ -382,6 +413,9 @@ ORACLE = {
                  OR bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
                             AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS inside
           FROM points, edges GROUP BY ALL) WHERE inside""",
+    "region_assign_sites": f"""SELECT sample_url, round(longitude_dd, 6) AS longitude_dd,
+        round(latitude_dd, 6) AS latitude_dd, CASE WHEN longitude_dd < {STRIPS['West'][1]} THEN 'West' ELSE 'East' END AS bioregion
+        FROM dep WHERE longitude_dd < {STRIPS['East'][1]}""",
     "overview_kpis": _kpis("overview"),
     "region_kpis": _kpis(f"region_figures WHERE bioregion = '{REGION}'", "bioregion,"),
     "region_choices": "SELECT DISTINCT bioregion FROM ok ORDER BY 1",
@@ -393,23 +427,23 @@ ORACLE = {
     "top_species_view_status": _top_view("true"),
     "top_species_in_year": _year_view("'1997'"),
     "top_species_last_year": _year_view(f"(SELECT max(year) FROM top_species_year WHERE bioregion = '{REGION}')"),
-    "metric_timeseries": f"""SELECT CAST(start_month AS VARCHAR) AS start_month, status, n, round(m, 6) AS mean,
-        round(s, 6) AS se, lower, upper
-        FROM ({_mean_se("TRY_CAST(start_month || '-01' AS DATE) AS start_month, status", "status")})""",
+    "metric_timeseries": _timeseries(REGION),
     "metric_mean_se": f"SELECT grp, n, round(m, 6) AS mean, round(s, 6) AS se, lower, upper FROM ({_mean_se('status', 'grp')})",
-    "metric_map": f"""SELECT sample_url, round(longitude_dd, 6) AS longitude_dd, round(latitude_dd, 6) AS latitude_dd,
-        round(value, 6) AS value, status, round(round_even(value, 2), 6) AS shown_value,
-        round(CASE WHEN low = high THEN 8 ELSE 4 + 10 * (value - low) / (high - low) END, 6) AS radius
-        FROM (SELECT m.sample_url, d.longitude_dd, d.latitude_dd, m.value, m.status,
-                     min(m.value) OVER () AS low, max(m.value) OVER () AS high
-              FROM metrics m JOIN dep d ON m.sample_url = d.sample_url
-              WHERE m.bioregion = '{REGION}' AND m.metric = '{METRIC}' AND m.value IS NOT NULL)""",
+    "metric_map": _metric_map(REGION),
+    "metric_map_bounds": f"""SELECT {BOUNDS} FROM dep WHERE sample_url IN
+        (SELECT sample_url FROM metrics WHERE bioregion = '{REGION}' AND metric = '{METRIC}' AND value IS NOT NULL)""",
     "metric_labels": """SELECT DISTINCT metric, CASE metric WHEN 'total_abundance' THEN 'Average no. individuals'
         WHEN 'species_richness' THEN 'Average no. species'
         WHEN 'cti' THEN 'Community temperature index (°C)' ELSE metric END AS label FROM metrics""",
     "metric_slug": "SELECT DISTINCT bioregion, replace(lower(bioregion), ' ', '_') AS slug FROM dep",
     "refresh_tables": _refresh_tables(),
     "location_bundle": _bundle_sizes(),
+    "location_bubbles": "SELECT sample_url, location, method, display_name, count FROM seen WHERE method = 'stereo-BRUVs'",
+    "location_metric_bubbles": f"SELECT {METRIC_BUBBLE_COLUMNS} FROM park_metrics WHERE method = 'stereo-BRUVs'",
+    "location_lengths": """SELECT display_name, round(length_mm, 6) AS length_mm, method, jurisdiction, location, status
+        FROM park_lengths""",
+    "species_pages": """SELECT DISTINCT 'pages/' || family || '/' || genus AS url FROM names
+        WHERE display_name IN (SELECT display_name FROM picked)""",
     "location_deployments": """SELECT sample_url, location, method, round(longitude_dd, 6) AS longitude_dd,
         round(latitude_dd, 6) AS latitude_dd FROM park""",
     "location_bounds": f"SELECT {BOUNDS} FROM park",
@@ -435,6 +469,26 @@ ORACLE = {
 }
 
 
+ORACLE["region_assign_geojson"] = ORACLE["region_assign"]
+
+# Tables of the refresh and views on them, over the strips.
+SERVED = {
+    "refresh_deployments": ORACLE["all_deployments"].replace(", 'BRUVs' AS method", ""),
+    "refresh_metrics": ORACLE["metrics_long"].replace(
+        "FROM metrics", """, (SELECT round(longitude_dd, 6) FROM dep d WHERE d.sample_url = metrics.sample_url) AS longitude_dd,
+        (SELECT round(latitude_dd, 6) FROM dep d WHERE d.sample_url = metrics.sample_url) AS latitude_dd FROM metrics"""),
+    "refresh_top_species": ORACLE["top_species"],
+    "refresh_top_species_year": ORACLE["top_species_year"],
+    "refresh_overview_stats": ORACLE["overview_stats"],
+    "refresh_region_stats": ORACLE["region_stats"],
+    "refresh_campaign_lookup": ORACLE["sampling_events"],
+    "served_metric_timeseries": _timeseries(STRIP),
+    "served_metric_map": _metric_map(STRIP),
+    "served_top_species_view": _top_view("false", STRIP),
+}
+
+
 def oracle_sql():
     # Every rounding to six decimals is shifted off ties, as in the registry.
-    return {name: BASE + text.replace(", 6)", f" + {OFF_TIE}, 6)") for name, text in ORACLE.items()}
+    texts = {**{name: BASE + text for name, text in ORACLE.items()}, **{name: STRIP_BASE + text for name, text in SERVED.items()}}
+    return {name: text.replace(", 6)", f" + {OFF_TIE}, 6)") for name, text in texts.items()}

@@ -1,24 +1,21 @@
 """Every query by name: ``(spark, folder) -> DataFrame``, on whole tables."""
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixture.bindings import GENUS, SPECIES, Survey
+from fixture.bindings import GENUS, POLYGONS, SPECIES, STRIP_RINGS, Survey
 from shoalkit.functions import slug
 from shoalkit.operators import abundance, events, locations, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
-from shoalkit.plans.refresh import campaign_list, refresh
-from shoalkit.scaling import cut_lineage, shared_folder
+from shoalkit.plans.refresh import campaign_list
 from shoalkit.schemas import TAXON
-from shoalkit.sources import bundle
+from shoalkit.session import use_own_folder
 
 REGION = "ASIA"
 REGIONS = ["ASIA", "EUROPE"]
 LOCATION = "NATION_3"
 METRIC = "total_abundance"
+STRIP = "West"
 SITES = ["deployment_locations", "deployment_locations_diver"]
 
 
@@ -47,11 +44,6 @@ def _bundle(s, *names):
     return locations.location_bundle({name: s.location_table(name) for name in names or locations.TABLES}, LOCATION)
 
 
-def _stored(s, *names):
-    """The same, written once, for views that read a table more than once."""
-    return {name: cut_lineage(table) for name, table in _bundle(s, *names).items()}
-
-
 def _place(s, name):
     return _bundle(s, name)[name]
 
@@ -60,19 +52,6 @@ def _species(s):
     return locations.default_species(_bundle(s, "top_species_location"), 3)
 
 
-def _refreshed(s):
-    """Rows of every table a refresh writes, read back from its run folder."""
-    folder = os.path.join(shared_folder(s.spark), f"refresh-{uuid.uuid4().hex}")
-    run = refresh(s.spark, folder, os.path.join(folder, "out"), s.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
-    tables = dict(bundle.read_bundle(s.spark, os.path.join(folder, "out"), run))
-    run_dir = bundle.run_folder(os.path.join(folder, "out"), run)
-    for name in ("campaign_lookup", "sample_taxa"):
-        tables[name] = s.spark.read.parquet(os.path.join(run_dir, name))
-    tables["campaigns_csv"] = s.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
-    tables["run_log"] = bundle.read_run_log(s.spark, os.path.join(folder, "out"))
-    return locations.bundle_sizes(tables)
-
-
 QUERIES = {
     # Samples and metrics
     "deployments_prepared": lambda s: s.deployments,
@@ -88,6 +67,7 @@ QUERIES = {
     "metric_cti_log": lambda s: metrics.community_temperature(s.counts, s.deployments, s.life_history, "log"),
     "metrics_long": lambda s: s.metrics,
     "samples_missing_cti": lambda s: metrics.samples_missing_cti(s.counts, s.deployments, s.life_history),
+    "taxa_missing_cti": lambda s: metrics.taxa_missing_cti(s.counts, s.deployments, s.life_history),
     # Sampling events
     "sampling_events": lambda s: events.campaign_lookup(s.deployments),
     "sampling_events_session": lambda s: events.events_by_session_window(s.deployments),
@@ -100,8 +80,8 @@ QUERIES = {
     "abundance_overall": lambda s: abundance.mean_abundance(s.cube, []),
     "abundance_region": lambda s: abundance.mean_abundance(s.cube, ["bioregion"]),
     "abundance_status": lambda s: abundance.mean_abundance(s.cube, ["status"]),
-    "abundance_region_status": lambda s: abundance.mean_abundance(s.cube, ["bioregion", "status"]),
-    "abundance_region_status_year": lambda s: abundance.mean_abundance(s.cube, ["bioregion", "status", "year"]),
+    "abundance_region_status": lambda s: abundance.region_top_by(s.cube, s.top_region, ["bioregion", "status"]),
+    "abundance_region_status_year": lambda s: abundance.region_top_by(s.cube, s.top_region, ["bioregion", "status", "year"]),
     "top_species_overall": lambda s: abundance.top_overall(s.cube),
     "top_species_region": lambda s: abundance.top_by_region(s.cube),
     "top_species_overall_status": lambda s: abundance.top_overall_status(s.cube, s.top_overall),
@@ -116,6 +96,8 @@ QUERIES = {
     "map_centre": lambda s: summaries.map_centre(s.deployments),
     # Spatial join
     "region_assign": lambda s: spatial.assign_regions(s.points, s.polygons, 0.05),
+    "region_assign_geojson": lambda s: spatial.assign_regions(s.points, s.polygons_read(POLYGONS), 0.05),
+    "region_assign_sites": lambda s: spatial.assign_regions(s.sites, s.polygons_read(STRIP_RINGS), 1.0),
     # Views
     "overview_kpis": lambda s: views.overview_kpis(summaries.overview_stats(s.deployments, s.counts, s.lengths)),
     "region_kpis": lambda s: views.region_kpis(summaries.region_stats(s.deployments, s.counts, s.lengths), REGION),
@@ -130,13 +112,29 @@ QUERIES = {
     "top_species_last_year": lambda s: views.top_species_in_year(s.top_species_year, REGION, n=10, side="right"),
     "metric_timeseries": lambda s: views.metric_timeseries(s.metrics, REGION, METRIC),
     "metric_mean_se": lambda s: views.metric_mean_se(s.metrics, REGION, METRIC),
-    "metric_map": lambda s: views.metric_map(s.stored_metrics, s.deployments, REGION, METRIC),
+    "metric_map": lambda s: views.metric_map(s.metrics, s.deployments, REGION, METRIC),
+    "metric_map_bounds": lambda s: views.metric_map_bounds(s.metrics, s.deployments, REGION, METRIC),
     "metric_labels": lambda s: views.metric_labels(s.metrics),
     "metric_slug": lambda s: s.deployments.select("bioregion").distinct().withColumn("slug", slug(F.col("bioregion"))),
     # The batch job
-    "refresh_tables": _refreshed,
+    "refresh_tables": lambda s: locations.bundle_sizes(s.served),
+    "refresh_deployments": lambda s: s.served["deployments"],
+    "refresh_metrics": lambda s: s.served["metrics"],
+    "refresh_top_species": lambda s: s.served["top_species"],
+    "refresh_top_species_year": lambda s: s.served["top_species_year"],
+    "refresh_overview_stats": lambda s: s.served["overview_stats"],
+    "refresh_region_stats": lambda s: s.served["bioregion_stats"],
+    "refresh_campaign_lookup": lambda s: s.served["campaign_lookup"],
+    # Views on the tables of the batch job
+    "served_metric_timeseries": lambda s: views.metric_timeseries(s.served["metrics"], STRIP, METRIC),
+    "served_metric_map": lambda s: views.metric_map(s.served["metrics"], s.served["deployments"], STRIP, METRIC),
+    "served_top_species_view": lambda s: views.top_species_view(s.served["top_species"], STRIP, 10),
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),
+    "location_bubbles": lambda s: _place(s, "bubble_data"),
+    "location_metric_bubbles": lambda s: _place(s, "metric_bubble_data"),
+    "location_lengths": lambda s: _place(s, "length_with_jurisdiction"),
+    "species_pages": lambda s: locations.species_pages(s.species_pages, _species(s)),
     "location_deployments": lambda s: locations.location_deployments(_bundle(s, *SITES)),
     "location_bounds": lambda s: summaries.bounds(locations.location_deployments(_bundle(s, *SITES))),
     "species_ranking": lambda s: locations.species_ranking(_place(s, "top_species_location")),
@@ -145,17 +143,17 @@ QUERIES = {
     "length_hist": lambda s: locations.length_histogram(_place(s, "length_with_jurisdiction"), _species(s), 50),
     "length_density": lambda s: locations.length_density(_place(s, "length_with_jurisdiction"), _species(s), 50),
     "species_by_method": lambda s: locations.species_by_method(_place(s, "top_species_location")),
-    "bubble_map": lambda s: locations.metric_bubbles(_stored(s, "metric_bubble_data"), "Total abundance"),
+    "bubble_map": lambda s: locations.metric_bubbles(_bundle(s, "metric_bubble_data"), "Total abundance"),
     "bubble_map_diver": lambda s: locations.metric_bubbles(
-        _stored(s, "metric_bubble_data_diver"), "Species richness", "diver"),
-    "species_map": lambda s: locations.species_bubbles(_stored(s, "bubble_data", SITES[0]), _species(s)),
+        _bundle(s, "metric_bubble_data_diver"), "Species richness", "diver"),
+    "species_map": lambda s: locations.species_bubbles(_bundle(s, "bubble_data", SITES[0]), _species(s)),
     "species_map_diver": lambda s: locations.species_bubbles(
-        _stored(s, "bubble_data_diver", SITES[1]), _species(s), "diver"),
+        _bundle(s, "bubble_data_diver", SITES[1]), _species(s), "diver"),
 }
 
 
 def _runner(build):
-    return lambda spark, folder: presented(build(Survey(spark, folder)))
+    return lambda spark, folder: presented(build(Survey(use_own_folder(spark), folder)))
 
 
 def queries():

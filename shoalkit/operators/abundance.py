@@ -33,12 +33,13 @@ def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
     The result has one row per stratum and observed taxon, so it is small whatever
     the number of samples, and every ranking reads it instead of the counts.
     """
-    first = F.row_number().over(Window.partitionBy("sample_url").orderBy("sample_url")) == 1
-    flagged = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq", first.alias("is_first"))
-    once = F.coalesce("is_first", F.lit(True)).cast("long")
+    # One more row per sample carries the sample itself, so each is counted once.
+    samples = per_taxon.select("sample_url").distinct().withColumn("once", F.lit(1))
+    rows = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq").unionByName(samples, allowMissingColumns=True)
+    once = F.when(F.col("n_rows").isNull(), 1).otherwise(0)
     cube = (
-        _strata(deployments).join(flagged, "sample_url", "full")
-        .where(F.col("ok") | F.col("n_rows").isNotNull())
+        _strata(deployments).join(rows, "sample_url", "full")
+        .where(F.col("ok") | F.col("once").isNotNull() | F.col("n_rows").isNotNull())
         .groupBy(*STRATA, *TAXON)
         .agg(
             F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
@@ -135,6 +136,11 @@ def top_by_region_status(cube: DataFrame, top: DataFrame) -> DataFrame:
     return _tagged(mean_abundance(cube, ["bioregion", "status"], cells), "bioregion", True)
 
 
+def region_top_by(cube: DataFrame, top: DataFrame, keys) -> DataFrame:
+    """Means of the taxa of ``top_by_region`` on a finer grouping that has the region in it."""
+    return mean_abundance(cube, keys, top.select("bioregion", *TAXON))
+
+
 def top_by_region_status_year(cube: DataFrame, top: DataFrame, life_history: DataFrame) -> DataFrame:
     """The taxa of ``top_by_region``, by status and year, with labels."""
     cells = top.select("bioregion", *TAXON)

@@ -7,8 +7,8 @@ from shoalkit.functions import text_or_na
 
 GAP_DAYS = 14
 
-# Longest run of event numbers made inside one row.
-_BLOCK = 100_000
+# Longest run of event numbers made inside one row, and so in one piece by one task.
+_BLOCK = 2_000
 
 
 def prepare_deployments(deployments: DataFrame) -> DataFrame:
@@ -59,16 +59,20 @@ def campaign_lookup(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
     """The calendar plus one event for every deployment without a date.
 
     Each undated deployment opens its own event after the dated ones, so the row that
-    counts them is repeated with rising numbers, in blocks that keep arrays short.
+    counts them is repeated with rising numbers. It is first cut into blocks, which are
+    dealt to all tasks before they grow, so one campaign may hold most undated rows.
     """
     copies = F.when(F.col("date").isNull(), F.col("n")).otherwise(F.lit(1)).cast("long")
     block = F.lit(_BLOCK).cast("long")
     first = F.col("block") * block
     last = F.least(F.col("copies"), first + block) - 1
+    # A number, as the small rows before they grow would be put together again otherwise.
+    tasks = int(deployments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         _events(deployments, gap_days)
         .withColumn("copies", copies)
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {_BLOCK}"))))
+        .repartition(tasks, "campaignid", "date", "block")
         .withColumn("offset", F.explode(F.sequence(first, last)))
         .withColumn("event_number", F.col("event_number") + F.col("offset"))
         .select("campaignid", "date", "event_number", "start_date", *_event_labels())

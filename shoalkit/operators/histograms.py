@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalkit.scaling import cut_lineage
-
 # Share of a bin width by which bin edges are moved up, against rounding noise.
 FUZZ = 1e-8
 
@@ -19,17 +17,16 @@ def histogram(df: DataFrame, value: str, width, by=()) -> DataFrame:
     w = F.lit(float(width))
     x = F.col(value).cast("double")
     index = F.ceil((x - w / 2) / w - FUZZ).cast("long")
-    # The bins are written once: they are few, and looking for the lowest one must not
-    # scan the data again.
-    first = cut_lineage(
+    # After the aggregation the bins are few, so a window over all of them is small.
+    first = (
         df.where(x.isNotNull())
         .groupBy(*by, index.alias("index"))
         .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("smallest"))
+        .withColumn("lowest", F.min("smallest").over(Window.partitionBy()))
     )
-    lowest = first.agg(F.min("smallest")).scalar()
     # All rows of the lowest bin sit on its upper edge exactly when the smallest does.
     upper_edge = (F.col("index") + 0.5) * w
-    on_lowest_edge = (F.col("smallest") == lowest) & (F.abs(F.col("smallest") - upper_edge) <= w * FUZZ)
+    on_lowest_edge = (F.col("smallest") == F.col("lowest")) & (F.abs(F.col("smallest") - upper_edge) <= w * FUZZ)
     moved = F.when(on_lowest_edge, F.col("index") + 1).otherwise(F.col("index"))
     return first.groupBy(*by, (moved * w).alias("bin")).agg(F.sum("n").alias("n"))
 

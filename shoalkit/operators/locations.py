@@ -4,6 +4,8 @@ Tables come as a dict of DataFrames. Diver-survey variants carry the suffix
 ``_diver``; tables that hold both methods have a ``method`` column.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,9 +129,13 @@ def species_bubbles(bundle, species, method="video") -> DataFrame:
     sites = bundle["deployment_locations" + suffix].select(
         "sample_url", "location", "latitude_dd", "longitude_dd"
     )
+    keys = ["sample_url", "location"]
+    renamed = sites.withColumnsRenamed({key: f"__{key}" for key in keys})
+    # A missing location matches a missing location.
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in keys])
     points = (
-        of_species(bundle["bubble_data" + suffix], species)
-        .join(sites, ["sample_url", "location"], "full")
+        of_species(bundle["bubble_data" + suffix], species).join(renamed, same, "full")
+        .withColumns({key: F.coalesce(key, f"__{key}") for key in keys}).drop(*[f"__{key}" for key in keys])
         .withColumn("count", F.coalesce("count", F.lit(0)))
     )
     return _bubbles(points, "count")

@@ -165,6 +165,11 @@ def metrics_long(
     )
 
 
+def taxa_missing_cti(counts, deployments, life_history) -> DataFrame:
+    """Distinct taxa of the samples that have fish but no temperature index."""
+    return samples_missing_cti(counts, deployments, life_history).select(*TAXON).distinct()
+
+
 def samples_missing_cti(counts, deployments, life_history, null_counts="poison", weight="count") -> DataFrame:
     """Count rows of the samples that have fish but no temperature index.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalkit.operators.metrics import count_samples
+from shoalkit.scaling import null_safe_join
 
 
 def _sample_figures():
@@ -62,13 +63,13 @@ def region_length_stats(lengths: DataFrame, deployments: DataFrame) -> DataFrame
 
 
 def region_stats(deployments: DataFrame, counts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row per region with successful samples; 0 fish where none were seen."""
+    """One row per region with successful samples, those without a region as one more; 0 fish where none were seen."""
     parts = [
         region_sample_stats(deployments),
         region_count_stats(counts, deployments),
         region_length_stats(lengths, deployments),
     ]
-    joined = reduce(lambda a, b: a.join(b, "bioregion", "left"), parts)
+    joined = reduce(lambda a, b: null_safe_join(a, b, ["bioregion"], "left"), parts)
     return joined.withColumn("num_fish", F.coalesce("num_fish", F.lit(0)))
 
 

@@ -11,7 +11,7 @@ from shoalkit.schemas import TAXON
 FISH_CLASSES = ("Actinopterygii", "Elasmobranchii")
 MERGED_GENUS, MERGED_SPECIES = "Pseudocaranx", "georgianus"
 
-# "Genus species (common name)" and its two parts.
+# Fixed values: "Genus species (common name)", its two parts, and the two forms of label below.
 NAME_PARTS = r"^(.*?)\s*\((.*?)\)$"
 
 

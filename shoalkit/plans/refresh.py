@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
+from shoalkit.plans.views import attach_coordinates
 from shoalkit.scaling import cut_lineage, numbered
 from shoalkit.session import build_session
 from shoalkit.sources.bundle import log_success, run_folder
@@ -33,6 +34,14 @@ def restrict_to_regions(spark, in_dir, folder, polygons, cell_size) -> None:
         write_table(metrics.in_region(read_landed(spark, in_dir, name), kept), folder, f"{name}_in_region")
 
 
+def by_region(df: DataFrame, *more) -> DataFrame:
+    """Rows of a region side by side, so that a filter on it skips files and row groups.
+
+    The further columns cut a region that holds most rows into several ranges.
+    """
+    return df.repartitionByRange("bioregion", *more).sortWithinPartitions("bioregion", *more)
+
+
 def refresh(
     spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
     genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion",
@@ -54,7 +63,7 @@ def refresh(
         return spark.read.parquet(os.path.join(folder, name))
 
     life_history = read_landed(spark, in_dir, "life_history")
-    write_table(events.prepare_deployments(stored("deployments_in_region")), folder, "deployments")
+    write_table(by_region(events.prepare_deployments(stored("deployments_in_region")), "sample_url"), folder, "deployments")
     deployments = stored("deployments")
     counts = taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)
     lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
@@ -62,13 +71,12 @@ def refresh(
     write_table(events.campaign_lookup(deployments), folder, "campaign_lookup")
     write_table(metrics.sample_taxa(counts), folder, "sample_taxa")
     per_taxon = stored("sample_taxa")
-    write_table(
-        metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), folder, "metrics", ["metric"]
-    )
+    long = attach_coordinates(metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), deployments)
+    write_table(by_region(long, "metric", "sample_url"), folder, "metrics", ["metric"])
     cube = abundance.grid_cube(per_taxon, deployments)
     overall, region = cut_lineage(abundance.top_overall(cube)), cut_lineage(abundance.top_by_region(cube))
     write_table(abundance.top_species(cube, overall, region, life_history), folder, "top_species")
-    write_table(abundance.top_by_region_status_year(cube, region, life_history), folder, "top_species_year")
+    write_table(by_region(abundance.top_by_region_status_year(cube, region, life_history), "year"), folder, "top_species_year")
     summed = per_taxon.withColumnRenamed("total", "count")  # same sums, far fewer rows
     write_table(summaries.overview_stats(deployments, summed, lengths), folder, "overview_stats")
     write_table(summaries.region_stats(deployments, summed, lengths), folder, "bioregion_stats")

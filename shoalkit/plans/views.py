@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoalkit.functions import mean_se, plain_number, rescaled, text_or_na, thousands, whole_number
 from shoalkit.operators.summaries import bounds, choices
+from shoalkit.scaling import small_side
 from shoalkit.schemas import require_columns
 
 # Metric names and axis labels shown to users.
@@ -23,6 +24,7 @@ METRIC_AXES = {
     "blt": "Biomass (kg)",
 }
 
+# Columns looked for, in this order.
 STATUS_COLUMNS = ["status", "period", "protection_status", "zone", "mp_zone"]
 ID_COLUMNS = ["sample_url", "deployment_id", "sample_id", "sample", "sample_name", "deployment"]
 
@@ -88,7 +90,7 @@ def top_species_view(top_species: DataFrame, region: str, n=10, by_status=False)
     taxon = [F.asc_nulls_last(name) for name in ("family", "genus", "species")]
     top = overall.orderBy(F.desc_nulls_last("average_abundance"), *taxon).limit(n).select("display_name").distinct()
     # At most n names, so every frame below holds a handful of rows.
-    names = F.broadcast(top)
+    names = small_side(top)
     rising = Window.orderBy(F.asc_nulls_last("average_abundance"), *taxon)
     order = (
         overall.join(names, "display_name", "left_semi")
@@ -99,7 +101,7 @@ def top_species_view(top_species: DataFrame, region: str, n=10, by_status=False)
     shown = rows.where(F.col("by_status")) if by_status else overall
     return (
         shown.join(names, "display_name", "left_semi")
-        .join(F.broadcast(order), "label", "left")
+        .join(small_side(order), "label", "left")
         .withColumns(_ends())
         .select("family", "genus", "species", "status", "display_name", "label",
                 "average_abundance", "se", "lower", "upper", "order_index")
@@ -123,14 +125,14 @@ def top_species_in_year(top_species_year: DataFrame, region: str, year=None, n=1
         rows.groupBy("display_name").agg(summed)
         .orderBy(F.desc("summed"), F.asc_nulls_last("display_name")).limit(n).select("display_name")
     )
-    shown = rows.join(F.broadcast(top), "display_name", "left_semi")
+    shown = rows.join(small_side(top), "display_name", "left_semi")
     # At most n labels reach the unpartitioned window.
     order = (
         shown.groupBy("label").agg(summed)
         .select("label", F.row_number().over(Window.orderBy("summed", "label")).alias("order_index"))
     )
     return (
-        shown.join(F.broadcast(order), "label", "left")
+        shown.join(small_side(order), "label", "left")
         .withColumns(_ends())
         .select("year", "status", "family", "genus", "species", "display_name", "label",
                 "average_abundance", "se", "lower", "upper", "order_index")
@@ -172,6 +174,12 @@ def attach_coordinates(metrics: DataFrame, deployments: DataFrame, ids=ID_COLUMN
     return metrics.join(deployments.select(shared[0], *wanted), shared[0], "left")
 
 
+def metric_map_bounds(metrics: DataFrame, deployments: DataFrame, region, metric: str) -> DataFrame:
+    """Bounding box of the map points of a metric."""
+    points = attach_coordinates(metric_rows(metrics, region, metric), deployments)
+    return bounds(points.where(F.col("latitude_dd").isNotNull() & F.col("longitude_dd").isNotNull() & F.col("value").isNotNull()))
+
+
 def metric_map(metrics: DataFrame, deployments: DataFrame, region, metric: str) -> DataFrame:
     """Map points of a metric: value, rounded value, status and a radius from 4 to 14."""
     points = attach_coordinates(metric_rows(metrics, region, metric), deployments).where(

@@ -1,18 +1,13 @@
 """Helpers that keep plans safe when tables grow: checked broadcasts, lineage cuts,
 row numbers and products without a single hot task."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A join side is broadcast only below one of these two bounds.
+# A join side is broadcast only below this bound, a polygon index below that many entries.
 BROADCAST_BYTES = 10 * 1024 * 1024
 BROADCAST_ROWS = 200_000
 
-# Longest array a single row may carry when groups are paired with taxa.
-GROUPS_PER_ARRAY = 10_000
-
 
 def planned_bytes(df: DataFrame):
     """Catalyst's size estimate, or None where the session does not expose it."""
@@ -22,41 +17,22 @@ def planned_bytes(df: DataFrame):
         return None
 
 
-def small_side(df: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
-    """Mark a join side for broadcast after checking its size.
+def small_side(df: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
+    """Mark a join side for broadcast if the planner's estimate of its size allows it.
 
-    The planner's estimate is enough when it is already below the bound. Otherwise
-    the rows are counted, stopping just past the bound. A side above both bounds is
-    returned unmarked: Spark then shuffles both sides and AQE splits skewed keys.
+    A side above the bound, or of unknown size, is returned unmarked: Spark then
+    shuffles both sides, and AQE still broadcasts one that turns out small and splits
+    skewed keys. No job runs for the check.
     """
     size = planned_bytes(df)
-    if size is not None and size <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than there are cores.
-
-    One unsplittable file would keep every step up to the first shuffle in one task.
-    An input with a split per core or more is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def shared_folder(spark) -> str:
-    """A folder every executor reaches: the one named in ``spark.checkpoint.dir``.
-
-    Only where that is unset, and only on a local master, is a temporary folder used.
-    """
+    """The folder every executor reaches, named in ``spark.checkpoint.dir`` or set on the context."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="shoalkit-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return folder
 
 
@@ -101,35 +77,18 @@ def numbered(df: DataFrame, order, name="row") -> DataFrame:
     )
     inside = Window.partitionBy("__part").orderBy(*order)
     return (
-        fixed.join(F.broadcast(offsets), "__part")
+        fixed.join(small_side(offsets), "__part")
         .withColumn(name, F.row_number().over(inside).cast("long") + F.col("__before"))
         .drop("__part", "__before")
     )
 
 
-def pair_with_groups(rows: DataFrame, groups: DataFrame, per_array=GROUPS_PER_ARRAY) -> DataFrame:
+def pair_with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Give every row of ``rows`` one copy per row of ``groups``.
 
-    Used where the result itself has a row per group and taxon. Both inputs are
-    summaries, never fact tables. The group list travels as an array held by a scalar
-    subquery; a list longer than ``per_array`` is cut into chunks that are joined by
-    chunk number, so no single row or task carries all of it.
+    Used only where the result itself has a row per group and taxon, and the groups are
+    the regions or statuses of a survey. Both inputs are summaries, never fact tables;
+    the list of groups travels as an array held by a scalar subquery.
     """
-    entry = F.struct(*[F.col(name) for name in groups.columns])
-    n_groups = groups.count()
-    if n_groups <= per_array:
-        listed = groups.agg(F.collect_list(entry)).scalar()
-        exploded = rows.select("*", F.explode(listed).alias("__group"))
-    else:
-        n_chunks = -(-n_groups // per_array)
-        chunk = F.pmod(F.xxhash64(*groups.columns), F.lit(n_chunks))
-        chunks = (
-            groups.withColumn("__chunk", chunk)
-            .groupBy("__chunk").agg(F.collect_list(entry).alias("__groups"))
-        )
-        exploded = (
-            rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-            .join(chunks, "__chunk")
-            .select(*rows.columns, F.explode("__groups").alias("__group"))
-        )
-    return exploded.select(*rows.columns, "__group.*")
+    listed = groups.agg(F.collect_list(F.struct(*[F.col(name) for name in groups.columns]))).scalar()
+    return rows.select("*", F.explode(listed).alias("__group")).select(*rows.columns, "__group.*")

@@ -1,5 +1,7 @@
 """Session settings the jobs rely on."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +26,15 @@ def build_session(app_name="shoalkit", master=None, extra=None):
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def use_own_folder(spark):
+    """Give a local session a checkpoint folder if none is set, as tests and trials need.
+
+    On a cluster the folder must be one that all executors share, so it is never chosen here.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shoalkit-"))
+    return spark

@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 
-from shoalkit.session import build_session
+from shoalkit.session import build_session, use_own_folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -11,6 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[8]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
+    use_own_folder(session)
     yield session
     session.stop()
 

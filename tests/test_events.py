@@ -1,5 +1,7 @@
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from shoalkit.operators import events
 from shoalkit.plans.refresh import campaign_list
 from tests.conftest import DEPLOYMENTS, deployment, rows
@@ -55,3 +57,11 @@ def test_campaigns_are_numbered_in_order(make):
     items = [deployment(f"s{i}", f"C{i % 37:02d}") for i in range(200)]
     listed = campaign_list(make(items, DEPLOYMENTS))
     assert rows(listed) == [(i + 1, f"C{i:02d}") for i in range(37)]
+
+
+def test_undated_rows_of_one_campaign_are_spread(spark, make):
+    many = dated(make, dates=[None] * 40).crossJoin(spark.range(1000)).drop("id")
+    lookup = events.campaign_lookup(many.unionByName(dated(make, "C2")))
+    assert lookup.where("campaignid = 'C1'").select("event_number").distinct().count() == 40_000
+    per_task = [r["count"] for r in lookup.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 4 and max(per_task) < 2.5 * 40_000 / 4

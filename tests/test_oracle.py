@@ -48,3 +48,33 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "depth_hist", "length_hist", "length_density", "metric_timeseries", "metric_mean_se", "metric_map", "region_kpis",
+    "bubble_map", "species_map", "metrics_long", "region_stats",
+])
+def test_building_a_query_runs_no_job(spark, name):
+    spark.sparkContext.setJobGroup(f"build-{name}", name)
+    QUERIES[name](spark, SMALL)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")) == 0
+
+
+# Results that list every taxon of the grid, or of a short list, in every group.
+PAIRED = {
+    "abundance_overall", "abundance_region", "abundance_status", "complete_counts", "top_species_overall",
+    "top_species_region", "top_species_overall_status", "top_species", "top_species_check", "top_species_view",
+    "top_species_view_status",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_groups_are_paired_with_taxa_only_where_the_result_lists_them(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().analyzed().toString()
+    assert ("Generate explode(scalar-subquery" in plan) == (name in PAIRED)
+
+
+def test_served_map_is_one_pruned_scan_without_join(spark):
+    plan = QUERIES["served_metric_map"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "metric#" in plan.split("PartitionFilters")[1]
+    assert "EqualTo(bioregion,West)" in plan

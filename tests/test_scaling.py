@@ -1,3 +1,5 @@
+import pytest
+
 from shoalkit import scaling
 from tests.conftest import rows
 
@@ -16,17 +18,21 @@ def test_null_safe_join(make):
     assert rows(scaling.null_safe_join(left, right, ["p", "q"], "left_anti"), "n") == [(2,)]
 
 
-def test_only_checked_sides_are_broadcast(spark, monkeypatch):
+def test_only_checked_sides_are_broadcast(spark):
     def hinted(df):
         return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
 
     small, large = spark.range(10), spark.range(1000)
     assert hinted(scaling.small_side(small))
-    monkeypatch.setattr(scaling, "BROADCAST_BYTES", 1)
-    assert hinted(scaling.small_side(large, max_rows=1000))
-    assert not hinted(scaling.small_side(large, max_rows=999))
+    assert hinted(scaling.small_side(large, max_bytes=8000))
+    assert not hinted(scaling.small_side(large, max_bytes=7999))
+
+
+def test_the_shared_folder_has_to_be_named(spark):
+    assert scaling.shared_folder(spark)
 
+    class Unset:
+        conf, sparkContext = type("c", (), {"get": lambda self, *a: None})(), type("s", (), {"getCheckpointDir": lambda self: None})()
 
-def test_inputs_with_few_splits_are_spread(spark):
-    assert scaling.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
-    assert scaling.spread(spark.range(0, 100, 1, 20)).rdd.getNumPartitions() == 20
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scaling.shared_folder(Unset())

@@ -3,8 +3,8 @@ import random
 
 import pytest
 
-from shoalkit.operators import spatial, summaries
-from tests.conftest import rows
+from shoalkit.operators import events, locations, spatial, summaries
+from tests.conftest import COUNTS, DEPLOYMENTS, LENGTHS, deployment, rows
 
 SHAPES = "feature long, bioregion string, rings array<array<struct<x:double,y:double>>>"
 POINTS = "id string, longitude_dd double, latitude_dd double"
@@ -94,3 +94,20 @@ def test_edges_of_a_long_ring_stay_in_their_cells(make, cell_size):
     expected = sorted(k for k, x, y in data if inside(x, y, shape[2]) or (x, y) in shape[2][0])
     found = spatial.assign_regions(make(data, POINTS), make([shape], SHAPES), cell_size)
     assert [r[0] for r in rows(found, "id")] == expected
+
+
+def test_a_missing_region_is_a_region_of_its_own(make):
+    sites = events.prepare_deployments(make(
+        [deployment("s1", region=None, date="2020-01-01"), deployment("s2", date="2020-01-01")], DEPLOYMENTS))
+    counts = make([("s1", "F", "G", "a", 5), ("s2", "F", "G", "a", 2)], COUNTS)
+    lengths = make([("s1", "F", "G", "a", 90.0, 5)], LENGTHS)
+    stats = summaries.region_stats(sites, counts, lengths)
+    assert rows(stats, "bioregion", "num_bruvs", "num_fish", "num_lengths", "biggest_fish") == [
+        ("North", 1, 2, None, None), (None, 1, 5, 5, 90.0)]
+
+
+def test_a_missing_location_meets_itself_on_the_species_map(make):
+    seen = make([("s1", None, "X", 3, "stereo-BRUVs")], "sample_url string, location string, display_name string, count long, method string")
+    sites = make([("s1", None, 1.0, 2.0), ("s2", "P", 3.0, 4.0)], "sample_url string, location string, latitude_dd double, longitude_dd double")
+    found = locations.species_bubbles({"bubble_data": seen, "deployment_locations": sites}, ["X"])
+    assert rows(found, "sample_url", "location", "count", "latitude_dd") == [("s1", None, 3, 1.0), ("s2", "P", 0, 3.0)]
