@@ -6,6 +6,10 @@ from shoalkit.llm import (
     decontamination, language, licenses, near_duplicates, packing, personal_data, quality, rules, substrings, toxicity,
 )
 from shoalkit.llm.common import table
+from shoalkit.llm.oracle import oracle_sql
+from shoalkit.session import use_own_folder
+
+__all__ = ["oracle_sql", "queries"]
 
 QUERIES = {
     "op1_simhash": lambda s, d: near_duplicates.near_duplicates(table(s, d, "documents")).drop("class"),
@@ -26,14 +30,10 @@ def _runner(build):
     def run(spark, folder):
         # Python workers find this package where the driver does.
         spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-        return build(spark, folder)
+        return build(use_own_folder(spark), folder)
 
     return run
 
 
 def queries():
     return {name: _runner(build) for name, build in QUERIES.items()}
-
-
-def oracle_sql():
-    return {}

@@ -5,11 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The white space that ends a word, and the characters counted as symbols.
-WHITE_SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 STOP_WORDS = (
-    "the", "of", "and", "to", "is", "in", "der", "die", "und", "de", "la", "le", "et", "que", "el", "los", "les", "des",
+    "the", "of", "and", "to", "is", "in", "der", "die", "und", "das", "de", "la", "le", "et", "que", "el", "los", "les",
 )
 
 # Measure, smallest and largest value a document may have (None: no bound).
@@ -44,44 +41,34 @@ def measured(docs: DataFrame) -> DataFrame:
 
     A null text is empty. Ratios of an empty text are 0. Windows of three words are
     told apart by a 64-bit hash within one text. Each array is built in a projection of
-    its own, so that later expressions read it instead of building it again.
+    its own, so that later expressions read it instead of building it again; sorting
+    uses the natural order of its elements, which needs no lambda.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = docs.select("doc_id", text.alias("text")).select(
+    split = docs.select("doc_id", text.alias("text")).select(
         "doc_id", "text",
-        F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "").alias("words"),
+        F.array_remove(F.split("text", r"[ \t-\r]+"), "").alias("words"),
         F.filter(F.split("text", "\n"), _is_word).alias("lines"))
-    n = F.size("words")
     windows = F.transform(
-        F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))),
+        F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))),
         lambda word, i: F.struct(
             F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
-    sorted_windows = first.withColumn("windows", F.array_sort(windows))
+    by_hash = split.withColumn("windows", F.sort_array(windows))
     # A window is repeated if a neighbour in hash order has its hash.
-    hashes = F.transform("windows", lambda w: w["h"])
-    edge = F.array(F.lit(None).cast("long"))
-    beside = sorted_windows.withColumn("hashes", hashes).withColumn(
-        "beside", F.zip_with("windows", F.zip_with(
-            F.concat(edge, F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - 1, F.lit(0)))),
-            F.concat(F.slice("hashes", F.lit(2), F.greatest(F.size("hashes") - 1, F.lit(0))), edge),
-            lambda before, after: F.struct(before.alias("before"), after.alias("after"))),
-            lambda w, near: F.when((w["h"] == near["before"]) | (w["h"] == near["after"]), w["i"])))
-    starts = beside.withColumn("starts", F.array_sort(F.filter("beside", lambda i: i.isNotNull())))
-    without_space = F.translate("text", WHITE_SPACE, "")
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
-    short = F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))
+    repeated = F.transform("windows", lambda w, i: F.when(
+        (w["h"] == F.get("windows", i - 1)["h"]) | (w["h"] == F.get("windows", i + 1)["h"]), w["i"]))
+    starts = by_hash.withColumn("starts", F.sort_array(F.array_compact(repeated)))
     return starts.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(without_space).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("starts")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda line: F.contains(line, F.lit("|")))).cast("long").alias("n_pipe_lines"),
-        letters.cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("long").alias("n_upper"),
-        F.size(short).cast("long").alias("n_stop_words"))
+        F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
+        F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"))
 
 
 RATIOS = {
@@ -90,7 +77,7 @@ RATIOS = {
     "stop_word_ratio": ("n_stop_words", "n_words"),
     "dup_line_ratio": ("n_dup_lines", "n_lines"),
     "pipe_line_ratio": ("n_pipe_lines", "n_lines"),
-    "upper_ratio": ("n_upper", "n_letters"),
+    "upper_ratio": ("n_upper", "word_chars"),
     "repeat_word_ratio": ("n_repeat_words", "n_words"),
 }
 
