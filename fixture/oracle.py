@@ -1,6 +1,6 @@
 """DuckDB SQL for every registered query, written straight from the definitions.
 
-Unlike the Spark jobs, the SQL builds the whole sample x taxon grid, tests every point
+``@six`` stands for the rounding to six decimals. Unlike the Spark jobs, the SQL builds the whole sample x taxon grid, tests every point
 against every polygon edge and computes the three metrics one by one.
 """
 
@@ -195,8 +195,8 @@ OF_TOP_REGION = f"""WHERE EXISTS (SELECT 1 FROM top_region t
 
 def _abundance(keys, where=""):
     keys = f"{keys}, " if keys else ""
-    return f"""SELECT {keys}{TAXON}, round(avg(count), 6) AS average_abundance,
-        round(stddev_samp(count) / sqrt(count(*)), 6) AS se, count(*) AS n FROM grid {where} GROUP BY ALL"""
+    return f"""SELECT {keys}{TAXON}, round(avg(count)@six) AS average_abundance,
+        round(stddev_samp(count) / sqrt(count(*))@six) AS se, count(*) AS n FROM grid {where} GROUP BY ALL"""
 
 
 def _histogram(source, value, width, by):
@@ -208,7 +208,7 @@ def _histogram(source, value, width, by):
 
 
 def _mean_se(column, alias, region=REGION):
-    return f"""SELECT *, round(m - s, 6) AS lower, round(m + s, 6) AS upper FROM (
+    return f"""SELECT *, round(m - s@six) AS lower, round(m + s@six) AS upper FROM (
         SELECT {column} AS {alias}, count(value) AS n, avg(value) AS m,
                CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END AS s
         FROM metrics WHERE bioregion = '{region}' AND metric = '{METRIC}' GROUP BY ALL)"""
@@ -225,21 +225,21 @@ def _kpis(source, keep=""):
 
 
 def _figures(source, keep=""):
-    return f"""SELECT {keep} num_bruvs, min_year, max_year, round(min_depth, 6) AS min_depth,
-        round(max_depth, 6) AS max_depth, round(average_depth, 6) AS average_depth, num_fish, num_lengths,
-        round(biggest_fish, 6) AS biggest_fish FROM {source}"""
+    return f"""SELECT {keep} num_bruvs, min_year, max_year, round(min_depth@six) AS min_depth,
+        round(max_depth@six) AS max_depth, round(average_depth@six) AS average_depth, num_fish, num_lengths,
+        round(biggest_fish@six) AS biggest_fish FROM {source}"""
 
 
 DEPLOYMENT_COLUMNS = """sample_url, campaignid, sample, CAST(date_time AS VARCHAR) AS date_time,
-    round(longitude_dd, 6) AS longitude_dd, round(latitude_dd, 6) AS latitude_dd, status, successful_count,
-    successful_length, round(depth_m, 6) AS depth_m, bioregion, year, CAST(date AS VARCHAR) AS date"""
+    round(longitude_dd@six) AS longitude_dd, round(latitude_dd@six) AS latitude_dd, status, successful_count,
+    successful_length, round(depth_m@six) AS depth_m, bioregion, year, CAST(date AS VARCHAR) AS date"""
 
-ROUNDED = "round(average_abundance, 6) AS average_abundance, round(se, 6) AS se"
-ENDS = f"""{ROUNDED}, round(average_abundance - se, 6) AS lower, round(average_abundance + se, 6) AS upper"""
+ROUNDED = "round(average_abundance@six) AS average_abundance, round(se@six) AS se"
+ENDS = f"""{ROUNDED}, round(average_abundance - se@six) AS lower, round(average_abundance + se@six) AS upper"""
 TOP_COLUMNS = f"""bioregion, status, {TAXON}, {ROUNDED}, "group", by_status, australian_common_name,
     display_name, sci, common, label"""
-BOUNDS = """round(min(longitude_dd), 6) AS min_lon, round(min(latitude_dd), 6) AS min_lat,
-    round(max(longitude_dd), 6) AS max_lon, round(max(latitude_dd), 6) AS max_lat"""
+BOUNDS = """round(min(longitude_dd)@six) AS min_lon, round(min(latitude_dd)@six) AS min_lat,
+    round(max(longitude_dd)@six) AS max_lon, round(max(latitude_dd)@six) AS max_lat"""
 
 
 def _tagged(source, keys, group, by_status):
@@ -248,14 +248,14 @@ def _tagged(source, keys, group, by_status):
 
 def _timeseries(region):
     month = "TRY_CAST(start_month || '-01' AS DATE) AS start_month, status"
-    return f"""SELECT CAST(start_month AS VARCHAR) AS start_month, status, n, round(m, 6) AS mean,
-        round(s, 6) AS se, lower, upper FROM ({_mean_se(month, "status", region)})"""
+    return f"""SELECT CAST(start_month AS VARCHAR) AS start_month, status, n, round(m@six) AS mean,
+        round(s@six) AS se, lower, upper FROM ({_mean_se(month, "status", region)})"""
 
 
 def _metric_map(region):
-    return f"""SELECT sample_url, round(longitude_dd, 6) AS longitude_dd, round(latitude_dd, 6) AS latitude_dd,
-        round(value, 6) AS value, status, round(round_even(value, 2), 6) AS shown_value,
-        round(CASE WHEN low = high THEN 8 ELSE 4 + 10 * (value - low) / (high - low) END, 6) AS radius
+    return f"""SELECT sample_url, round(longitude_dd@six) AS longitude_dd, round(latitude_dd@six) AS latitude_dd,
+        round(value@six) AS value, status, round(round_even(value, 2)@six) AS shown_value,
+        round(CASE WHEN low = high THEN 8 ELSE 4 + 10 * (value - low) / (high - low) END@six) AS radius
         FROM (SELECT m.sample_url, d.longitude_dd, d.latitude_dd, m.value, m.status,
                      min(m.value) OVER () AS low, max(m.value) OVER () AS high
               FROM metrics m JOIN dep d ON m.sample_url = d.sample_url
@@ -286,12 +286,12 @@ def _year_view(year):
 
 def _bubbles(source, value, columns):
     return f"""SELECT {columns}, {value} = 0 AS is_zero,
-        round(CASE WHEN {value} = 0 THEN 5 ELSE 10 + {value} / largest * 50 END, 6) AS radius
+        round(CASE WHEN {value} = 0 THEN 5 ELSE 10 + {value} / largest * 50 END@six) AS radius
         FROM (SELECT *, max({value}) OVER () AS largest FROM ({source})) WHERE {value} >= 0"""
 
 
-METRIC_BUBBLE_COLUMNS = """sample_url, metric, round(value, 6) AS value, location, method,
-    round(longitude_dd, 6) AS longitude_dd, round(latitude_dd, 6) AS latitude_dd"""
+METRIC_BUBBLE_COLUMNS = """sample_url, metric, round(value@six) AS value, location, method,
+    round(longitude_dd@six) AS longitude_dd, round(latitude_dd@six) AS latitude_dd"""
 
 
 def _species_map(method):
@@ -301,7 +301,7 @@ def _species_map(method):
         FROM (SELECT * FROM seen WHERE method = '{method}' AND display_name IN (FROM picked)) b
         FULL JOIN ({sites}) s ON b.sample_url = s.sample_url AND b.location = s.location"""
     return _bubbles(rows, "count", """sample_url, location, display_name, count, method,
-        round(latitude_dd, 6) AS latitude_dd, round(longitude_dd, 6) AS longitude_dd""")
+        round(latitude_dd@six) AS latitude_dd, round(longitude_dd@six) AS longitude_dd""")
 
 
 def _bundle_sizes():
@@ -345,7 +345,7 @@ def _refresh_tables():
 HTML = r"""'<i>' || regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 1) || '</i><span> ('
     || regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 2) || ')</span>'"""
 
-METRIC_COLUMNS = "campaignid, sample, sample_url, metric, round(value, 6) AS value"
+METRIC_COLUMNS = "campaignid, sample, sample_url, metric, round(value@six) AS value"
 
 ORACLE = {
     "deployments_prepared": f"SELECT {DEPLOYMENT_COLUMNS} FROM dep",
@@ -353,13 +353,13 @@ ORACLE = {
     "length_samples": "SELECT sample_url, campaignid, sample FROM dep WHERE successful_length",
     "taxon_recode": f"SELECT sample_url, {TAXON}, count FROM recoded",
     "fish_filter": f"SELECT sample_url, {TAXON}, count FROM counts",
-    "fish_lengths": f"SELECT sample_url, {TAXON}, round(length_mm, 6) AS length_mm, count FROM lengths",
+    "fish_lengths": f"SELECT sample_url, {TAXON}, round(length_mm@six) AS length_mm, count FROM lengths",
     "region_counts": f"""SELECT sample_url, {TAXON}, count FROM lines WHERE sample_url IN
         (SELECT sample_url FROM dep WHERE bioregion IN ({', '.join(repr(r) for r in REGIONS)}))""",
     "metric_total_abundance": f"SELECT {METRIC_COLUMNS} FROM abundance_rows",
     "metric_species_richness": f"SELECT {METRIC_COLUMNS} FROM richness_rows",
     "metric_cti": f"SELECT {METRIC_COLUMNS} FROM cti_rows",
-    "metric_cti_log": """SELECT d.campaignid, d.sample, v.sample_url, 'cti' AS metric, round(v.log_value, 6) AS value
+    "metric_cti_log": """SELECT d.campaignid, d.sample, v.sample_url, 'cti' AS metric, round(v.log_value@six) AS value
         FROM cti_values v LEFT JOIN dep d ON v.sample_url = d.sample_url WHERE v.log_value IS NOT NULL""",
     "metrics_long": f"""SELECT {METRIC_COLUMNS}, bioregion, status, CAST(date_time AS VARCHAR) AS date_time,
         CAST(date AS VARCHAR) AS date, event_number, CAST(start_date AS VARCHAR) AS start_date, new_campaignid,
@@ -402,19 +402,19 @@ ORACLE = {
         FROM labels_by_taxon n WHERE EXISTS (SELECT 1 FROM counts c WHERE {_same_taxon('c', 'n')})""",
     "overview_stats": _figures("overview"),
     "region_stats": _figures("region_figures", "bioregion,"),
-    "map_centre": """SELECT round(avg(longitude_dd), 6) AS lon,
-        round((min(latitude_dd) + max(latitude_dd)) / 2, 6) AS lat FROM dep""",
+    "map_centre": """SELECT round(avg(longitude_dd)@six) AS lon,
+        round((min(latitude_dd) + max(latitude_dd)) / 2@six) AS lat FROM dep""",
     "region_assign": f""", edges AS ({_edges()}),
         points AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
-        SELECT vec_id, round(x, 6) AS longitude_dd, round(y, 6) AS latitude_dd, bioregion FROM (
+        SELECT vec_id, round(x@six) AS longitude_dd, round(y@six) AS latitude_dd, bioregion FROM (
           SELECT vec_id, x, y, bioregion,
                  sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (x2 - x1) * (y - y1) / nullif(y2 - y1, 0)
                      THEN 1 ELSE 0 END) % 2 = 1
                  OR bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
                             AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS inside
           FROM points, edges GROUP BY ALL) WHERE inside""",
-    "region_assign_sites": f"""SELECT sample_url, round(longitude_dd, 6) AS longitude_dd,
-        round(latitude_dd, 6) AS latitude_dd, CASE WHEN longitude_dd < {STRIPS['West'][1]} THEN 'West' ELSE 'East' END AS bioregion
+    "region_assign_sites": f"""SELECT sample_url, round(longitude_dd@six) AS longitude_dd,
+        round(latitude_dd@six) AS latitude_dd, CASE WHEN longitude_dd < {STRIPS['West'][1]} THEN 'West' ELSE 'East' END AS bioregion
         FROM dep WHERE longitude_dd < {STRIPS['East'][1]}""",
     "overview_kpis": _kpis("overview"),
     "region_kpis": _kpis(f"region_figures WHERE bioregion = '{REGION}'", "bioregion,"),
@@ -428,7 +428,7 @@ ORACLE = {
     "top_species_in_year": _year_view("'1997'"),
     "top_species_last_year": _year_view(f"(SELECT max(year) FROM top_species_year WHERE bioregion = '{REGION}')"),
     "metric_timeseries": _timeseries(REGION),
-    "metric_mean_se": f"SELECT grp, n, round(m, 6) AS mean, round(s, 6) AS se, lower, upper FROM ({_mean_se('status', 'grp')})",
+    "metric_mean_se": f"SELECT grp, n, round(m@six) AS mean, round(s@six) AS se, lower, upper FROM ({_mean_se('status', 'grp')})",
     "metric_map": _metric_map(REGION),
     "metric_map_bounds": f"""SELECT {BOUNDS} FROM dep WHERE sample_url IN
         (SELECT sample_url FROM metrics WHERE bioregion = '{REGION}' AND metric = '{METRIC}' AND value IS NOT NULL)""",
@@ -440,12 +440,12 @@ ORACLE = {
     "location_bundle": _bundle_sizes(),
     "location_bubbles": "SELECT sample_url, location, method, display_name, count FROM seen WHERE method = 'stereo-BRUVs'",
     "location_metric_bubbles": f"SELECT {METRIC_BUBBLE_COLUMNS} FROM park_metrics WHERE method = 'stereo-BRUVs'",
-    "location_lengths": """SELECT display_name, round(length_mm, 6) AS length_mm, method, jurisdiction, location, status
+    "location_lengths": """SELECT display_name, round(length_mm@six) AS length_mm, method, jurisdiction, location, status
         FROM park_lengths""",
     "species_pages": """SELECT DISTINCT 'pages/' || family || '/' || genus AS url FROM names
         WHERE display_name IN (SELECT display_name FROM picked)""",
-    "location_deployments": """SELECT sample_url, location, method, round(longitude_dd, 6) AS longitude_dd,
-        round(latitude_dd, 6) AS latitude_dd FROM park""",
+    "location_deployments": """SELECT sample_url, location, method, round(longitude_dd@six) AS longitude_dd,
+        round(latitude_dd@six) AS latitude_dd FROM park""",
     "location_bounds": f"SELECT {BOUNDS} FROM park",
     "species_ranking": "SELECT display_name, total_number FROM ranking",
     "effort_by_year": """, counted AS (SELECT CAST(year AS BIGINT) AS year, method, count(*) AS n FROM park GROUP BY ALL)
@@ -453,7 +453,7 @@ ORACLE = {
           SELECT unnest(range(min(year), max(year) + 1)) AS y FROM counted) LEFT JOIN counted ON y = year""",
     "depth_hist": _histogram("SELECT * FROM park", "depth_m", 5, "method"),
     "length_hist": _histogram(PARK_LENGTHS, "length_mm", 50, "status, jurisdiction, method"),
-    "length_density": f"""SELECT *, round(n / sum(n) OVER (PARTITION BY status, jurisdiction, method) / 50, 6) AS density
+    "length_density": f"""SELECT *, round(n / sum(n) OVER (PARTITION BY status, jurisdiction, method) / 50@six) AS density
         FROM ({_histogram(PARK_LENGTHS, "length_mm", 50, "status, jurisdiction, method")})""",
     "species_by_method": rf"""SELECT method, display_name, regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 1) AS sci,
         regexp_extract(display_name, '^(.*?)\s*\((.*?)\)$', 2) AS common, {HTML} AS label, total_number,
@@ -475,8 +475,8 @@ ORACLE["region_assign_geojson"] = ORACLE["region_assign"]
 SERVED = {
     "refresh_deployments": ORACLE["all_deployments"].replace(", 'BRUVs' AS method", ""),
     "refresh_metrics": ORACLE["metrics_long"].replace(
-        "FROM metrics", """, (SELECT round(longitude_dd, 6) FROM dep d WHERE d.sample_url = metrics.sample_url) AS longitude_dd,
-        (SELECT round(latitude_dd, 6) FROM dep d WHERE d.sample_url = metrics.sample_url) AS latitude_dd FROM metrics"""),
+        "FROM metrics", """, (SELECT round(longitude_dd@six) FROM dep d WHERE d.sample_url = metrics.sample_url) AS longitude_dd,
+        (SELECT round(latitude_dd@six) FROM dep d WHERE d.sample_url = metrics.sample_url) AS latitude_dd FROM metrics"""),
     "refresh_top_species": ORACLE["top_species"],
     "refresh_top_species_year": ORACLE["top_species_year"],
     "refresh_overview_stats": ORACLE["overview_stats"],
@@ -489,6 +489,6 @@ SERVED = {
 
 
 def oracle_sql():
-    # Every rounding to six decimals is shifted off ties, as in the registry.
+    # @six rounds to six decimals, shifted off ties as in the registry.
     texts = {**{name: BASE + text for name, text in ORACLE.items()}, **{name: STRIP_BASE + text for name, text in SERVED.items()}}
-    return {name: text.replace(", 6)", f" + {OFF_TIE}, 6)") for name, text in texts.items()}
+    return {name: text.replace("@six", f" + {OFF_TIE}, 6") for name, text in texts.items()}

@@ -24,11 +24,22 @@ def test_agrees(spark, con, name):
     assert difference(spark, con, SMALL, QUERIES[name], SQL[name]) is None
 
 
+# Results that list every taxon of the grid, or of a short list, in every group.
+PAIRED = {
+    "abundance_overall", "abundance_region", "abundance_status", "complete_counts", "top_species_overall",
+    "top_species_region", "top_species_overall_status", "top_species", "top_species_check", "top_species_view",
+    "top_species_view_status",
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_has_no_product_join_and_no_python(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
+def test_plan_has_no_product_and_no_python(spark, name):
+    execution = QUERIES[name](spark, SMALL)._jdf.queryExecution()
+    plan = execution.toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups"):
         assert word not in plan
+    # Groups are paired with taxa only where the result lists them.
+    assert ("Generate explode(scalar-subquery" in execution.analyzed().toString()) == (name in PAIRED)
 
 
 def test_top_k_is_pushed_into_the_window(spark):
@@ -60,20 +71,6 @@ def test_building_a_query_runs_no_job(spark, name):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")) == 0
 
 
-# Results that list every taxon of the grid, or of a short list, in every group.
-PAIRED = {
-    "abundance_overall", "abundance_region", "abundance_status", "complete_counts", "top_species_overall",
-    "top_species_region", "top_species_overall_status", "top_species", "top_species_check", "top_species_view",
-    "top_species_view_status",
-}
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_groups_are_paired_with_taxa_only_where_the_result_lists_them(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().analyzed().toString()
-    assert ("Generate explode(scalar-subquery" in plan) == (name in PAIRED)
-
-
 def test_served_map_is_one_pruned_scan_without_join(spark):
     plan = QUERIES["served_metric_map"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "metric#" in plan.split("PartitionFilters")[1]
