@@ -11,6 +11,8 @@ FOLDS, HELD_OUT = 3, 1
 # Documents learned from, over all languages together.
 SAMPLE_ROWS = 1200
 LANDMARKS = 128
+# The most frequent languages are learned, at most so many.
+LANGUAGES = 256
 ORDERS = (1, 2, 3)
 # N-grams are told apart by this many bits.
 GRAM_BITS = 16
@@ -125,12 +127,19 @@ def fit(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -> Classi
     language; their n-gram bitmaps (8 KB each), not their texts, come to the driver.
     """
     known = docs.filter(learnable(FOLDS, HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_languages = max(1, known.select("lang").distinct().count())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return Classifier(np.zeros((0, 1 << GRAM_BITS), bool), [], np.zeros(0, np.int64), landmarks)
+    per_language = max(1, sample_rows // len(counts))
+    # Ids with small hashes, a few times as many as are taken, whatever a language's share;
+    # the exact choice then ranks these few.
+    reach = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, (4 * per_language + 40) / r["count"]))])
+    spread = F.xxhash64("doc_id").cast("double") / 2.0 ** 64 + 0.5
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    per_language = max(1, sample_rows // n_languages)
     chosen = (
-        known.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
-        .filter(F.col("rank") <= per_language).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"))
+        known.select("doc_id", "lang").filter(spread <= F.element_at(reach, F.col("lang")))
+        .withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_language)
+        .groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"))
         .filter("lang = other").select("doc_id", "lang")
     )
 
@@ -141,9 +150,10 @@ def fit(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -> Classi
     # Bounded by sample_rows; repeated rows of one id are cut after the join.
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "lang", packed("text").alias("grams")).filter("grams is not null")
+        .select("doc_id", "lang", packed("text").alias("grams"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grams").limit(sample_rows).collect()
     )
+    rows = [r for r in rows if r.grams is not None]
     names = sorted({r.lang for r in rows})
     grams = np.zeros((len(rows), 1 << GRAM_BITS), bool)
     for i, r in enumerate(rows):
