@@ -41,7 +41,11 @@ def presence(text):
     if text is None:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    points = np.where(points < (1 << 16), _LETTERS[np.minimum(points, 65535)], points).astype(np.uint32)
+    rare = points >= (1 << 16)
+    points = _LETTERS[np.minimum(points, 65535)] if not rare.any() else np.where(rare, points, _LETTERS[np.minimum(points, 65535)])
+    for point in np.unique(points[rare]).tolist():
+        if not chr(point).isalpha():
+            points[points == point] = _SPACE
     if not (points != _SPACE).any():
         return None
     points = np.r_[_SPACE, points, _SPACE]

@@ -49,6 +49,7 @@ def test_sample_does_not_depend_on_order_and_leaves_out_contradictions(labels):
 def test_presence_is_that_of_the_ngrams():
     assert language.presence(None) is None and language.presence("") is None and language.presence("12 .. 3") is None
     assert np.array_equal(language.presence("Ab, c"), language.presence("aB12c".replace("12", " ;")))
+    assert language.presence("😀 🚀!") is None and language.presence("😀𐌰") is not None
     # Padded "a" holds " ", "a", " a", "a ", " a ".
     assert language.presence("a").sum() == 5
     assert language.presence("é𐌰ab").sum() > language.presence("ab").sum()
