@@ -13,9 +13,9 @@ STOP_WORDS = (
 THRESHOLDS = (
     ("n_words", 50, 100_000),
     ("mean_word_chars", 2.0, 12.0),
-    ("symbol_ratio", None, 0.25),
+    ("symbol_ratio", None, 0.08),
     ("stop_word_ratio", 0.01, None),
-    ("dup_line_ratio", None, 0.30),
+    ("dup_line_ratio", None, 0.50),
     ("pipe_line_ratio", None, 0.50),
     ("upper_ratio", None, 0.60),
     ("repeat_word_ratio", None, 0.50),
