@@ -2,7 +2,6 @@
 
 import json
 import os
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoalkit.operators import abundance, events, metrics, taxa
 from shoalkit.plans.refresh import refresh
-from shoalkit.scaling import cut_lineage, shared_folder
+from shoalkit.scaling import cut_lineage, temporary_folder
 from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
 from shoalkit.sources import bundle
 from shoalkit.sources.geojson import read_polygons
@@ -158,23 +157,16 @@ class Survey:
         self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
         return path
 
-    def _own_folder(self, kind):
-        """A new folder below the shared one, removed when the session's JVM ends."""
-        path = os.path.join(shared_folder(self.spark), f"{kind}-{uuid.uuid4().hex}")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-        return path
-
     def polygons_read(self, rings):
         """Polygons that went through a GeoJSON layer and its reader."""
-        return read_polygons(self.spark, self._layer(self._own_folder("layer"), rings))
+        return read_polygons(self.spark, self._layer(temporary_folder(self.spark, "layer"), rings))
 
     @property
     def served(self):
         """Tables of a refresh over this folder; one run serves all queries of a session."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _RUNS:
-            folder = self._own_folder("refresh")
+            folder = temporary_folder(self.spark, "refresh")
             out = os.path.join(folder, "out")
             run = refresh(self.spark, folder, out, self.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
             tables = dict(bundle.read_bundle(self.spark, out, run))

@@ -1,6 +1,9 @@
 """Helpers that keep plans safe when tables grow: checked broadcasts, lineage cuts,
 row numbers and products without a single hot task."""
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,14 @@ def shared_folder(spark) -> str:
     return folder
 
 
+def temporary_folder(spark, label) -> str:
+    """A new path below the shared folder, removed when the session's JVM ends."""
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read on from there."""
     context = df.sparkSession.sparkContext
