@@ -1,12 +1,9 @@
 """What the operators of this subpackage share."""
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalkit.scaling import shared_folder
+from shoalkit.scaling import temporary_folder
 
 # Setting that removes the shuffle files of a job once the job has ended.
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -24,10 +21,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read on from there.
 
     A lost executor then costs the tasks it ran, not the steps before this table. The
-    shuffle files of the writing job are released when it ends.
+    shuffle files of the writing job are released when it ends, the table with the session.
     """
     spark = df.sparkSession
-    folder = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    folder = temporary_folder(spark, label)
     before = spark.conf.get(RELEASE)
     spark.conf.set(RELEASE, "true")
     try:
