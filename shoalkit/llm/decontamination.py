@@ -1,5 +1,7 @@
 """Benchmark decontamination by Wu-Manber search over words."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,13 +168,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORD
     """
     context = docs.sparkSession.sparkContext
     rows = benchmark.select("item_id", F.col("text").cast("binary"))
-    blocks = [context.broadcast(block) for block in _passes(rows)]
+    # Workers outlive a query, so what they keep of a block goes by a name of its own.
+    blocks = [(uuid.uuid4().hex, context.broadcast(block)) for block in _passes(rows)]
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>, contaminated boolean")
     def search(series: pd.Series) -> pd.DataFrame:
         texts, total = series.tolist(), None
-        for block in blocks:
-            searcher = _searcher(block, window)
+        for name, block in blocks:
+            searcher = _searcher(name, block, window)
             found = [result for part in _parts(texts) for result in searcher.search(part)]
             total = found if total is None else [
                 (n, hit | more, items | others) for (n, hit, items), (_, more, others) in zip(total, found)]
@@ -203,13 +206,12 @@ def _parts(texts):
 _COMPILED = {}
 
 
-def _searcher(block, window):
+def _searcher(name, block, window):
     """The compiled block; a worker keeps the one it used last."""
-    key = (block.id, window) if hasattr(block, "id") else (id(block), window)
-    if key not in _COMPILED:
+    if name not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[key] = Searcher(block.value, window)
-    return _COMPILED[key]
+        _COMPILED[name] = Searcher(block.value, window)
+    return _COMPILED[name]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORDS) -> DataFrame:

@@ -193,6 +193,13 @@ def test_clean_documents_stay_with_their_columns(docs, benchmark):
     assert Counter(r.doc_id for r in kept.collect()) == clean
 
 
+def test_workers_keep_nothing_of_another_benchmark(docs, benchmark):
+    rows = [(i, f"alpha beta {i}") for i in range(20)]
+    for n in range(12):
+        items = [(n, f"beta {n}")]
+        assert taken(decontamination.contamination(docs(rows), benchmark(items)), 6) == expected(brute.contamination(rows, items))
+
+
 def test_shift_table_against_all_places():
     draw = random.Random(3)
     for size in (1, 2, 3, 13):
