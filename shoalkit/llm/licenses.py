@@ -44,50 +44,60 @@ UNKNOWN = 0.5
 STRENGTH = {"with": 3, "and": 2, "or": 1}
 EXPRESSION = re.compile(r"[ \t]*((?:[A-Za-z0-9.+:-]+|[()]|[ \t])+)")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-# Tokens read after one tag.
-EXPRESSION_TOKENS = 64
 
 
 def freedom(identifier: str) -> float:
     return next((value for start, value in FREEDOM if identifier.startswith(start)), UNKNOWN)
 
 
-def parse_expression(text: str):
-    """The longest well-formed expression at the start of ``text``, in postfix order.
+def well_formed(text: str):
+    """Tokens of the longest well-formed expression at the start of ``text``.
 
-    Shunting-yard: ``with`` binds before ``and``, ``and`` before ``or``. Reading stops at
-    the first token that cannot follow. Returns an empty list if nothing is well formed.
+    Reading stops at the first token that cannot follow. ``with`` takes one identifier, no bracket.
     """
-    output, operators, best, operand_next, opened = [], [], [], True, 0
-    for token in TOKEN.findall(text)[:EXPRESSION_TOKENS]:
-        word = token.lower()
+    tokens, end, operand_next, opened = [], 0, True, 0
+    for match in TOKEN.finditer(text):
+        word = match[0].lower()
         if operand_next:
-            if word == "(":
-                operators.append(word)
+            if word == "(" and tokens[-1:] != ["with"]:
                 opened += 1
-                continue
-            if word == ")" or word in STRENGTH:
+            elif word in "()" or word in STRENGTH:
                 break
-            output.append(word)
-            operand_next = False
+            else:
+                operand_next = False
+        elif word == ")" and opened:
+            opened -= 1
+        elif word in STRENGTH:
+            operand_next = True
+        else:
+            break
+        tokens.append(word)
+        if not opened and not operand_next:
+            end = len(tokens)
+    return tokens[:end]
+
+
+def parse_expression(text: str):
+    """The longest well-formed expression at the start of ``text``, in postfix order.
+
+    Shunting-yard over all its tokens: ``with`` binds before ``and``, ``and`` before ``or``.
+    Returns an empty list if nothing is well formed.
+    """
+    output, operators = [], []
+    for word in well_formed(text):
+        if word == "(":
+            operators.append(word)
         elif word == ")":
-            if not opened:
-                break
             while operators[-1] != "(":
                 output.append(operators.pop())
             operators.pop()
-            opened -= 1
         elif word in STRENGTH:
             while operators and operators[-1] != "(" and STRENGTH[operators[-1]] >= STRENGTH[word]:
                 output.append(operators.pop())
             operators.append(word)
-            operand_next = True
-            continue
         else:
-            break
-        if not opened:
-            best = output + operators[::-1]
-    return best
+            output.append(word)
+    return output + operators[::-1]
 
 
 def evaluate(postfix):
@@ -99,7 +109,10 @@ def evaluate(postfix):
             if token == "with":
                 stack.append(({f"{label}-with-{extra}" for label in left[0] for extra in right[0]}, left[1]))
             else:
-                stack.append((left[0] | right[0], (max if token == "or" else min)(left[1], right[1])))
+                # The smaller set goes into the larger, so a long expression is not copied at every operator.
+                small, large = sorted((left[0], right[0]), key=len)
+                large |= small
+                stack.append((large, (max if token == "or" else min)(left[1], right[1])))
         else:
             token = token.rstrip(".:+") if len(token.rstrip(".:+")) else token
             stack.append(({token}, freedom(token)))

@@ -240,6 +240,14 @@ def test_expressions(text, postfix):
     assert licenses.parse_expression(text) == postfix
 
 
+def test_long_expressions_are_read_whole():
+    names = [f"x{i}" for i in range(3000)]
+    for text in (" AND ".join(names + ["GPL-3.0"]), "(" + " AND ".join(names + ["GPL-3.0"]) + ")"):
+        labels, score = licenses.evaluate(licenses.parse_expression(text))
+        assert labels == {*names, "gpl-3.0"} and score == 0.4
+    assert licenses.parse_expression("MIT with (A or B)") == ["mit"]
+
+
 def test_expressions_are_evaluated():
     assert licenses.evaluate(["gpl-3.0", "mit", "or"]) == ({"gpl-3.0", "mit"}, 1.0)
     assert licenses.evaluate(["gpl-3.0", "mit", "and"])[1] == 0.4
