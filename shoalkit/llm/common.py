@@ -65,18 +65,27 @@ def normal_words(text: bytes) -> list:
     return text.translate(WORD_BYTES).split()
 
 
-def labelled_sample(labels: DataFrame, column: str, buckets: int, remainder: int, per_class: int) -> DataFrame:
-    """At most ``per_class`` learnable documents of each label: ``doc_id, label``.
-
-    The ids with the smallest hashes are taken, so the choice does not depend on the
-    order of rows. A document labelled both ways, or not at all, is not taken.
-    """
-    known = (
+def known_labels(labels: DataFrame, column: str, buckets: int, remainder: int) -> DataFrame:
+    """Learnable documents and their label: ``doc_id, label``. Those labelled both ways, or not at all, are left out."""
+    return (
         labels.filter(learnable(buckets, remainder) & F.col(column).isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min(column).cast("int").alias("label"), F.max(column).cast("int").alias("other"))
         .filter("label = other").drop("other")
     )
+
+
+def smallest_hashes(known: DataFrame, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows of each label, those whose ids have the smallest hashes."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return known.filter("label = 0").orderBy(*order).limit(per_class).unionByName(
         known.filter("label = 1").orderBy(*order).limit(per_class))
+
+
+def labelled_sample(labels: DataFrame, column: str, buckets: int, remainder: int, per_class: int) -> DataFrame:
+    """At most ``per_class`` learnable documents of each label: ``doc_id, label``.
+
+    The ids with the smallest hashes are taken, so the choice does not depend on the
+    order of rows. A document labelled both ways, or not at all, is not taken.
+    """
+    return smallest_hashes(known_labels(labels, column, buckets, remainder), per_class)

@@ -8,21 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.llm.common import in_fold, labelled_sample, learnable, normal_words, stored
+from shoalkit.llm.common import in_fold, known_labels, learnable, normal_words, smallest_hashes, stored
 
 FOLDS, HELD_OUT = 4, 2
-PER_CLASS = 2000
-TERMS = 256
-# Least chi-square statistic of a term between the two labels, texts it must be in, and
-# how many times larger its share must be in one label than in the other.
-MIN_CHI_SQUARE, MIN_TEXTS, MIN_RATIO = 30.0, 5, 4.0
+PER_CLASS = 3000
 # Beginnings of words that are terms too, so that inflected words are recognised.
 BEGINNINGS = (4, 5, 6)
 KNOWN_WORDS = 300_000
 NEIGHBOURS = 40
 THRESHOLD = 0.3
 # Examples in a block of a posting list, and blocks scored in one step.
-BLOCK, STEP = 64, 8
+BLOCK, STEP = 64, 16
+# The longest posting lists are held in full, zeros included, up to so many bytes.
+FULL_BYTES = 32 << 20
 
 
 def terms_of(word: bytes):
@@ -45,55 +43,74 @@ class _Wanted(dict):
     def __reduce__(self):
         return _Wanted, (list(self.number),)
 
+    def held(self, text: bytes):
+        """The set of wanted terms in a whole text."""
+        return set().union(*map(self.__getitem__, set(normal_words(text))))
+
     def count(self, text: bytes):
-        """How often a whole text holds each wanted term."""
-        counts = Counter()
-        for found in map(self.__getitem__, normal_words(text)):
-            if found:
-                counts.update(found)
-        return counts
+        """Numbers of the wanted terms in a whole text, ascending, and how often it holds each."""
+        words = Counter(normal_words(text))
+        found = [self[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        terms = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum()))
+        terms, where = np.unique(terms, return_inverse=True)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(found)), sizes)
+        return terms, np.bincount(where, times, len(terms))
 
 
 class Index:
-    """Posting lists of weighted terms over the examples, with the largest weight in each block."""
+    """Posting lists of weighted terms over the examples, with the largest weight in each block.
+
+    Lists of common terms are rows of a table of all blocks; the others name their examples.
+    """
 
     def __init__(self, vectors, n_terms):
         """``vectors``: unit vectors of the examples as ``(term numbers, weights)``."""
         self.n = len(vectors)
         self.n_blocks = -(-self.n // BLOCK)
-        sizes = [len(t) for t, _ in vectors]
-        example = np.repeat(np.arange(self.n), sizes)
-        term = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [[]])
-        order = np.lexsort((example, term))
-        self.examples, self.weights, term = example[order], weight[order], term[order]
-        cell = term * self.n_blocks + self.examples // BLOCK
-        # Where the part of a list that lies in a block starts; one more entry ends the last.
-        self.starts = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.largest = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.largest, cell, self.weights)
-        self.largest = self.largest.reshape(n_terms, self.n_blocks)
-
-    def _scores(self, blocks, terms, weights):
-        """Exact cosines of the examples in some blocks, for examples with a shared term."""
-        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
-        first, length = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+        width = self.n_blocks * BLOCK
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int32)
+        weight = np.concatenate([w for _, w in vectors] or [[]]).astype(float)
+        length = np.bincount(term, minlength=n_terms)
+        # A list that names more than an eighth of the examples is shorter in full.
+        common = np.argsort(-length, kind="stable")[:FULL_BYTES // (8 * max(width, 1))]
+        common = common[8 * length[common] > self.n]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        in_full = self.row[term] >= 0
+        table = np.zeros((len(common), width))
+        table[self.row[term[in_full]], example[in_full]] = weight[in_full]
+        self.table = table.reshape(len(common), self.n_blocks, BLOCK)
+        self.largest = self.table.max(axis=2, initial=0)
+        term, example, weight = term[~in_full], example[~in_full], weight[~in_full]
+        order = np.argsort(term, kind="stable")
+        self.examples, self.weights = example[order], weight[order]
+        length[common] = 0
+        self.starts = np.r_[0, np.cumsum(length)]
+
+    def _named(self, terms, weights):
+        """What the lists that name their examples add to the cosines, as blocks."""
+        first, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         total = int(length.sum())
-        at = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(total)
-        products = np.repeat(np.repeat(weights, len(blocks)), length) * self.weights[at]
-        found, where = np.unique(self.examples[at], return_inverse=True)
-        return found, np.bincount(where, products, len(found))
+        at = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(total) if total else np.empty(0, np.int64)
+        products = np.repeat(weights, length) * self.weights[at]
+        return np.bincount(self.examples[at], products, self.n_blocks * BLOCK).reshape(self.n_blocks, BLOCK)
 
     def nearest(self, terms, weights, k, leave_out=-1):
         """The ``k`` most similar examples and their cosines; of equal ones those first in the index.
 
-        Blocks are visited by falling upper bound, the query's weights times the largest
-        weights of the block. No block whose bound is below the k-th cosine is scored.
+        Blocks are visited by falling upper bound: the query's weights times the largest
+        weights of the block for the lists in full, and the largest sum of the others.
+        No block whose bound is below the k-th cosine is scored.
         """
         best, cosines = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.n:
             return best, cosines
-        bounds = weights @ self.largest[terms]
+        rows = self.row[terms]
+        named = self._named(terms[rows < 0], weights[rows < 0])
+        weights, rows = weights[rows >= 0], rows[rows >= 0]
+        bounds = named.max(axis=1) + weights @ self.largest[rows]
         blocks = np.argsort(-bounds, kind="stable")
         for start in range(0, self.n_blocks, STEP):
             now = blocks[start:start + STEP]
@@ -102,10 +119,16 @@ class Index:
             now = now[(bounds[now] > 0) & (bounds[now] >= least - 1e-9)]
             if not len(now):
                 break
-            found, scores = self._scores(np.sort(now), terms, weights)
-            if leave_out >= 0:
-                found, scores = found[found != leave_out], scores[found != leave_out]
-            best, cosines = np.r_[best, found], np.r_[cosines, np.round(scores, 9)]
+            scores = named[now]
+            if len(rows):
+                scores = scores + (weights @ self.table[rows[:, None], now].reshape(len(rows), -1)).reshape(scores.shape)
+            scores = np.round(scores, 9).ravel()
+            found = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            keep = (scores > 0) & (scores >= least) & (found != leave_out)
+            best, cosines = np.r_[best, found[keep]], np.r_[cosines, scores[keep]]
+            if len(best) > k:
+                keep = cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+                best, cosines = best[keep], cosines[keep]
             order = np.lexsort((best, -cosines))[:k]
             best, cosines = best[order], cosines[order]
         return best, cosines
@@ -115,11 +138,13 @@ class Model:
     """Terms, their weights, the index, and the map from votes to probabilities."""
 
     def __init__(self, terms, idf, ids, labels, counts, share):
-        """``counts``: for each example the numbers of its terms and how often it holds them."""
+        """``counts``: for each example the numbers of its terms, ascending, and how often it holds them."""
         self.wanted, self.idf = _Wanted(terms), np.array(idf)
         # Like vectors stand together, so that the largest weights of a block say much.
-        vectors = [self._vector(c) for c in counts]
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), ids[i]))
+        vectors = [self._vector(*c) for c in counts]
+        # Big-endian bytes sort as the numbers do.
+        order = sorted(range(len(ids)), key=lambda i: (
+            vectors[i][0].astype(">i4").tobytes(), vectors[i][1].astype(">f8").tobytes(), ids[i]))
         vectors, ids, labels = [vectors[i] for i in order], ids[order], labels[order]
         self.ids, self.labels = ids, labels
         self.index = Index(vectors, len(terms))
@@ -129,10 +154,8 @@ class Model:
         votes = np.array([self._vote(v, i)[0] for i, v in enumerate(vectors)])
         self._calibrate(votes, labels)
 
-    def _vector(self, counts):
-        held = sorted(counts.items())
-        terms = np.array([t for t, _ in held], np.int64)
-        weights = (1 + np.log(np.array([n for _, n in held], float))) * self.idf[terms] if held else np.empty(0)
+    def _vector(self, terms, counts):
+        weights = (1 + np.log(counts)) * self.idf[terms]
         return terms, weights / (np.sqrt(weights @ weights) or 1.0)
 
     def _vote(self, vector, leave_out=-1):
@@ -161,20 +184,27 @@ class Model:
 
     def score(self, text: bytes):
         """Probability of label 1 and the nearest examples of one whole text."""
-        vote, near, cosines = self._vote(self._vector(self.wanted.count(text)))
+        vote, near, cosines = self._vote(self._vector(*self.wanted.count(text)))
         if np.isnan(vote):
             return self.alone, near, cosines
         return float(np.interp(vote, self.vote_points, self.chances)), near, cosines
 
 
-def _terms(docs, label):
-    """``doc_id, label, terms`` with the distinct terms, and the text."""
-
-    @F.pandas_udf("array<binary>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({term for w in set(normal_words(t or b"")) for term in terms_of(w)}))
+def _examples(docs, labels, per_class):
+    """``doc_id, label, text`` of at most ``per_class`` different texts of each label.
 
-    return docs.select("doc_id", label, "text", find(F.col("text").cast("binary")).alias("terms"))
+    Equal texts are one example before the draw, under their smallest id, so copies
+    neither add to a word nor take places.
+    """
+    key = F.xxhash64("text").alias("key")
+    texts = (
+        docs.select("doc_id", key).join(known_labels(labels, "toxic", FOLDS, HELD_OUT), "doc_id")
+        .groupBy("key", "label").agg(F.min("doc_id").alias("doc_id"))
+    )
+    chosen = stored(smallest_hashes(stored(texts, "texts"), per_class), "chosen")
+    return stored(
+        docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "key"])
+        .dropDuplicates(["key", "label"]).select("doc_id", "label", "text"), "examples")
 
 
 def _document_frequencies(docs, terms):
@@ -186,62 +216,55 @@ def _document_frequencies(docs, terms):
         for batch in batches:
             total[-1] += batch.num_rows
             for text in batch.column(0):
-                total.update(wanted.value.count(text.as_py() or b"").keys())
+                total.update(wanted.value.held(text.as_py() or b""))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
     rows = (
         docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "term int, n long")
-        .groupBy("term").agg(F.sum("n").alias("n")).collect()
+        .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     )
-    found = {r.term: r.n for r in rows}
-    return found.pop(-1, 0), [found.get(i, 0) for i in range(len(terms))]
+    # Number -1 is the last place.
+    found = np.zeros(len(terms) + 1, np.int64)
+    found[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return int(found[-1]), found[:-1].tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, n_terms=TERMS):
-    """Learn from at most ``per_class`` documents of each label; None if one is missing.
+def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
+    """Learn from at most ``per_class`` different texts of each label; None if one label is missing.
 
-    The dimensions are the at most ``n_terms`` words and beginnings of words that differ most between the
-    labels of the sample (chi-square); equal texts are one example, so copies do not
-    add to a word. Document frequencies are counted over the whole corpus.
+    The dimensions are all words of these texts and the beginnings of the words. Document
+    frequencies are counted over the whole corpus.
     """
-    chosen = labelled_sample(labels, "toxic", FOLDS, HELD_OUT, per_class)
-    texts = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .groupBy(F.xxhash64("text").alias("key"), "label").agg(F.min("doc_id").alias("doc_id"))
-    )
-    sample = stored(
-        _terms(
-            docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-            .join(F.broadcast(texts), ["doc_id", "key"]).dropDuplicates(["key", "label"]), "label")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * per_class), "examples")
+    sample = _examples(docs, labels, per_class)
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    one, zero = F.col("one").cast("double"), F.col("zero").cast("double")
-    all_one, all_zero = float(sizes[1]), float(sizes[0])
-    both, total = one + zero, all_one + all_zero
-    chi = total * F.pow(one * (all_zero - zero) - zero * (all_one - one), 2) / (both * (total - both) * all_one * all_zero)
-    uneven = F.greatest(one / all_one, zero / all_zero) >= MIN_RATIO * F.least(one / all_one, zero / all_zero)
-    terms = [bytes(r.term) for r in (
-        sample.select("label", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.sum(F.col("label")).alias("one"), F.sum(1 - F.col("label")).alias("zero"))
-        .filter((both >= MIN_TEXTS) & (both < total) & uneven).select("term", chi.alias("chi"))
-        .filter(F.col("chi") >= MIN_CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(n_terms).collect())]
+
+    @F.pandas_udf("array<binary>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list({term for w in set(normal_words(t or b"")) for term in terms_of(w)}))
+
+    text = F.col("text").cast("binary")
+    found = sample.select(F.explode(find(text)).alias("term")).distinct().toArrow()["term"]
+    terms = sorted(term.as_py() for term in found)
     n, frequencies = _document_frequencies(docs, terms)
+    # Common terms have the smallest numbers, so texts of one language stand together in the index.
+    order = sorted(range(len(terms)), key=lambda i: -frequencies[i])
+    terms, frequencies = [terms[i] for i in order], np.array([frequencies[i] for i in order])
     wanted = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
 
-    @F.pandas_udf("array<struct<term:int,n:int>>")
+    @F.pandas_udf("binary")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": i, "n": n} for i, n in sorted(wanted.value.count(t or b"").items())])
+        return texts.map(lambda t: np.array(wanted.value.count(t or b"")).astype(np.int32).tobytes())
 
-    # Numbers of the few chosen terms, not texts, come to the driver.
-    rows = sample.select("doc_id", "label", count(F.col("text").cast("binary")).alias("terms")).orderBy("doc_id", "label").collect()
+    # Numbers of the terms, not texts, come to the driver.
+    rows = sample.select("doc_id", "label", count(text).alias("terms")).orderBy("doc_id", "label").collect()
     share = labels.filter(learnable(FOLDS, HELD_OUT)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    idf = [np.log((1 + n) / (1 + f)) + 1 for f in frequencies]
-    counts = [{t.term: t.n for t in r.terms} for r in rows]
+    counts = [np.frombuffer(r.terms, np.int32).reshape(2, -1) for r in rows]
     ids = np.array([r.doc_id for r in rows], np.int64)
-    return Model(terms, idf, ids, np.array([r.label for r in rows], np.int64), counts, share)
+    return Model(
+        terms, np.log((1 + n) / (1 + frequencies)) + 1, ids, np.array([r.label for r in rows], np.int64), counts, share)
 
 
 def score_toxicity(docs: DataFrame, model, n_evidence=3) -> DataFrame:
@@ -272,7 +295,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> DataFra
     learned on the examples, each left out of its own vote. Ties go to the example that
     stands first in the index, which is sorted by vector and id.
 
-    A text without any of the terms, so also a null or empty one, gets the probability
+    A text without any word or beginning of a word of the examples, so also a null or empty one, gets the probability
     of such texts among the examples. If a label is missing among the learnable rows all
     scores are 0. Documents labelled both ways, null labels and null ids are not learned
     from. Repeated rows are scored each. Extra columns are not read.

@@ -1,6 +1,7 @@
 """Classifiers: exact parts against plain versions, accuracy on held-out documents, no use of held-out labels."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,6 +189,34 @@ def test_document_frequencies_cover_all_documents(docs):
     assert n == 5 and found == [1, 3, 0, 2]
 
 
+def test_cosines_are_over_all_words(docs, labels):
+    draw = np.random.default_rng(3)
+    words = [f"w{a}{b}rd{c}" for a in "abc" for b in "xyz" for c in "12345"]
+    rows = [(i, " ".join(draw.choice(words, 8))) for i in range(60)]
+    out = toxicity.toxicity(docs(rows), labels([(i, None, i % 2) for i in range(60)])).collect()
+    held = {i: Counter(t for w in x.encode().split() for t in toxicity.terms_of(w)) for i, x in rows}
+    found = Counter(t for c in held.values() for t in c)
+    unit = {}
+    for i, c in held.items():
+        v = {t: (1 + np.log(n)) * (np.log(61 / (1 + found[t])) + 1) for t, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {t: x / norm for t, x in v.items()}
+    known = [i for i in held if zlib.crc32(str(i).encode()) % 4 != 2]
+    for r in (r for r in out if r.doc_id not in known):
+        # Words that only unlearned documents hold are no dimensions.
+        seen = {t for i in known for t in held[i]}
+        part = {t: x for t, x in unit[r.doc_id].items() if t in seen}
+        norm = np.sqrt(sum(x * x for x in part.values()))
+        want = sorted((sum(x * unit[i].get(t, 0) for t, x in part.items()) / norm for i in known), reverse=True)[:3]
+        assert np.allclose([e.similarity for e in r.evidence], want)
+
+
+def test_copies_take_one_place_among_the_examples(docs, labels):
+    rows = [(i, "the same words") for i in range(50)] + [(100 + i, f"other words {i}") for i in range(12)]
+    found = toxicity._examples(docs(rows), labels([(i, None, int(i > 105)) for i, _ in rows]), 4).collect()
+    assert len(found) == 8 and len({r.text for r in found}) == 8
+
+
 def test_toxicity_edges(docs, labels):
     rows = [(i, f"you idiot {i}" if i % 2 else f"kind people {i}") for i in range(80)] + [(90, None), (91, ""), (None, "idiot")]
     known = labels([(i, None, i % 2) for i in range(80)] + [(None, 0, 1), (2, None, None)])
