@@ -120,6 +120,25 @@ def test_quality_edges(docs, labels):
     assert quality.quality_scores(docs([]), labels([])).collect() == []
 
 
+def test_quality_threshold_is_that_of_all_documents(docs, labels, monkeypatch):
+    monkeypatch.setattr(quality, "FETCHED", 8)
+    rows = [(i, "Good words in a line. " * 20 if i % 2 else "### $$$ | |") for i in range(40)]
+    rows += [(100 + i, "Other good words stand here. " * (10 + i)) for i in range(360)]
+    known = [(i, i % 2, None) for i in range(40)]
+    out = quality.quality_scores(docs(rows), labels(known)).collect()
+    share = np.mean([y == 0 for i, y, _ in known if zlib.crc32(str(i).encode()) % 5 != 0])
+    assert sum(r.predicted == 0 for r in out) == int(share * 400)
+
+
+@pytest.mark.parametrize("values", [[3.0], [2.0] * 50, [float(i % 7) for i in range(90)], [10.0 ** (i % 40 - 20) for i in range(99)]])
+def test_quantile_is_exact(make, monkeypatch, values):
+    monkeypatch.setattr(quality, "FETCHED", 3)
+    monkeypatch.setattr(quality, "BINS", 5)
+    df = make([(v,) for v in values], "v double")
+    for share in (0.001, 0.3, 0.5, 0.999):
+        assert quality.quantile(df, "v", share) == sorted(values)[int(share * len(values))]
+
+
 def test_weights_are_at_the_minimum_of_the_loss():
     draw = np.random.default_rng(0)
     rows, labels = draw.normal(size=(200, 4)), np.r_[np.ones(100, int), np.zeros(100, int)]
