@@ -2,6 +2,7 @@
 
 import base64
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from shoalkit.llm.common import stored
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's authors split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters that the pattern takes as white space.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = 1000
+LONG_BLANK_RUN = re.compile(f"[{BLANKS}]{{{LONG_BLANK + 1},}}")
 MAX_TOKENS = 2048
 BUCKETS = 8
 BATCH_TOKENS = 16_384
@@ -28,12 +33,44 @@ def read_ranks(path):
         return file.read()
 
 
-def encoder(data: bytes):
-    import tiktoken
+class Encoder:
+    """Byte-level merges over pieces of the split pattern; any text is encoded, long runs of white space too.
+
+    The pattern looks ahead after white space, for which its engine keeps a state for
+    every character. So a run of more than ``LONG_BLANK`` is cut where the pattern cuts
+    it anyway: before its last character if a word follows, else at its end.
+    """
+
+    def __init__(self, data: bytes):
+        import tiktoken
 
-    if data not in _ENCODERS:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
-        _ENCODERS[data] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.split = tiktoken.Encoding("split", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.size = len(ranks)
+
+    def _parts(self, text: str):
+        start = 0
+        for run in LONG_BLANK_RUN.finditer(text) if len(text) > LONG_BLANK else ():
+            end = run.end() - (run.end() < len(text))
+            yield self.split, text[start:run.start()]
+            yield self.whole, text[run.start():end]
+            start = end
+        yield self.split, text[start:]
+
+    def encode(self, text: str):
+        return [token for pattern, part in self._parts(text) for token in pattern.encode_ordinary(part)]
+
+    def count(self, text: str) -> int:
+        return sum(len(pattern.encode_ordinary(part)) for pattern, part in self._parts(text))
+
+    def decode(self, tokens) -> bytes:
+        return self.split.decode_bytes(tokens)
+
+
+def encoder(data: bytes) -> Encoder:
+    if data not in _ENCODERS:
+        _ENCODERS[data] = Encoder(data)
     return _ENCODERS[data]
 
 
@@ -43,8 +80,8 @@ def token_counts(docs: DataFrame, tokenizer=TOKENIZER) -> DataFrame:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = encoder(ranks.value).encode_ordinary
-        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+        own = encoder(ranks.value)
+        return texts.map(lambda t: own.count(t) if t else 0).astype("int64")
 
     return docs.withColumn("n_tokens", count("text"))
 

@@ -3,7 +3,8 @@
 from pathlib import Path
 
 from shoalkit.llm import (
-    decontamination, language, licenses, near_duplicates, packing, personal_data, quality, rules, substrings, toxicity,
+    chat, decontamination, language, licenses, near_duplicates, packing, periodic_runs, personal_data, quality, rules,
+    substrings, toxicity, whitening,
 )
 from shoalkit.llm.common import table
 from shoalkit.llm.oracle import oracle_sql
@@ -11,6 +12,22 @@ from shoalkit.session import use_own_folder
 
 __all__ = ["oracle_sql", "queries"]
 
+
+
+def _whitening(spark, folder):
+    return whitening.by_component(whitening.whiten(table(spark, folder, "embeddings")))
+
+
+def _periodic_runs(spark, folder):
+    docs = periodic_runs.with_planted_cycle(table(spark, folder, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+def _chat(spark, folder):
+    conversations = chat.with_hostile_conversation(table(spark, folder, "conversations"))
+    return chat.read_back(*chat.chat_tree(conversations))
+
+
 QUERIES = {
     "op1_simhash": lambda s, d: near_duplicates.near_duplicates(table(s, d, "documents")).drop("class"),
     "op2_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")).drop("evidence"),
@@ -23,6 +40,9 @@ QUERIES = {
     "op8_personal_data": lambda s, d: personal_data.personal_data(table(s, d, "documents")),
     "op9_rules": lambda s, d: rules.quality_rules(table(s, d, "documents")),
     "op10_licenses": lambda s, d: licenses.license_scan(table(s, d, "documents")),
+    "op11_whitening": _whitening,
+    "op12_periodic_runs": _periodic_runs,
+    "op13_chat": _chat,
 }
 
 
