@@ -4,7 +4,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is writt
 Parquet and read again as the next stage's ``docs``.
 """
 
-from shoalkit.llm import decontamination, language, near_texts, packing, personal_data
+from shoalkit.llm import decontamination, language, near_duplicates, packing, personal_data
 from shoalkit.llm.common import stored, table
 from shoalkit.session import use_own_folder
 
@@ -15,8 +15,12 @@ def identify_language(spark, docs, sf_dir):
 
 
 def deduplicate(spark, docs, sf_dir):
-    """Documents that are less than 0.8 similar, by runs of five words, to all others kept."""
-    return near_texts.without_near_copies(docs)
+    """One document of each group whose fingerprints are linked: that with the smallest id.
+
+    Null and empty texts share fingerprint zero and are one group; rows with a null id stay
+    only if their group has no other. Equal rows are one. No rows give none.
+    """
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def decontaminate(spark, docs, sf_dir):
