@@ -19,7 +19,7 @@ BYTES = 8
 # Shingles whose bits are added up at once.
 TALLY_ROWS = 1 << 15
 # Rows compared at once inside one posting list.
-BLOCK = 2048
+BLOCK = 1024
 # Posting lists up to this length are compared all together, row against row + offset.
 SHORT = 64
 
@@ -50,10 +50,11 @@ def fingerprints(docs: DataFrame, shingle_words=SHINGLE_WORDS) -> DataFrame:
 
 
 def _verified(left, right, max_bits):
-    """Which pairs share enough positional bytes and differ in few enough bits."""
+    """Which pairs are linked: shared positional bytes are tallied, pairs with enough of them verified on bits."""
     differ = left ^ right
-    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    return (shared >= BYTES - max_bits) & (np.bitwise_count(differ) <= max_bits)
+    linked = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= BYTES - max_bits
+    linked[linked] = np.bitwise_count(differ[linked]) <= max_bits
+    return linked
 
 
 def _forest(a, b, n):
@@ -88,8 +89,8 @@ def _links(group, prints, max_bits):
             rows = prints[i:min(i + BLOCK, bounds[k + 1])]
             for j in range(i, bounds[k + 1], BLOCK):
                 columns = prints[j:min(j + BLOCK, bounds[k + 1])]
-                near = np.bitwise_count(rows[:, None] ^ columns[None, :]) <= max_bits
-                a, b = np.nonzero(near)
+                near = _verified(np.repeat(rows, len(columns)), np.tile(columns, len(rows)), max_bits)
+                a, b = np.divmod(np.flatnonzero(near), len(columns))
                 keep = a + i < b + j
                 a, b = a[keep] + i, b[keep] + j
                 # Links inside a block pair are reduced at once, so memory stays bounded.

@@ -12,8 +12,10 @@ from shoalkit.llm.common import in_fold, known_labels, learnable, normal_words,
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 3000
-# Beginnings of words that are terms too, so that inflected words are recognised.
-BEGINNINGS = (4, 5, 6)
+# A term is a word's first characters, so inflected words meet; a shorter word is its own term.
+STEM_CHARS = 4
+# Chosen, with the stems, by the votes of learned examples each left out of its own vote.
+IDF_POWER = 2
 KNOWN_WORDS = 300_000
 NEIGHBOURS = 40
 THRESHOLD = 0.3
@@ -23,13 +25,12 @@ BLOCK, STEP = 64, 16
 FULL_BYTES = 32 << 20
 
 
-def terms_of(word: bytes):
-    """The terms of one word: itself and its beginnings."""
-    return [word] + [word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]
+def stem(word: bytes) -> bytes:
+    return word if len(word) <= STEM_CHARS else word.decode()[:STEM_CHARS].encode()
 
 
 class _Wanted(dict):
-    """Numbers of the wanted terms of each word seen; emptied when it has grown too large."""
+    """Number of the term of each word seen, -1 for an unknown one; emptied when it has grown too large."""
 
     def __init__(self, terms):
         self.number = {t: i for i, t in enumerate(terms)}
@@ -37,7 +38,7 @@ class _Wanted(dict):
     def __missing__(self, word):
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        found = self[word] = self.number.get(stem(word), -1)
         return found
 
     def __reduce__(self):
@@ -45,17 +46,14 @@ class _Wanted(dict):
 
     def held(self, text: bytes):
         """The set of wanted terms in a whole text."""
-        return set().union(*map(self.__getitem__, set(normal_words(text))))
+        return set(map(self.__getitem__, set(normal_words(text)))) - {-1}
 
     def count(self, text: bytes):
         """Numbers of the wanted terms in a whole text, ascending, and how often it holds each."""
-        words = Counter(normal_words(text))
-        found = [self[w] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        terms = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum()))
-        terms, where = np.unique(terms, return_inverse=True)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(found)), sizes)
-        return terms, np.bincount(where, times, len(terms))
+        found = Counter(map(self.__getitem__, normal_words(text)))
+        found.pop(-1, None)
+        terms = np.fromiter(sorted(found), np.int64, len(found))
+        return terms, np.fromiter(map(found.__getitem__, terms.tolist()), np.int64, len(found))
 
 
 class Index:
@@ -155,7 +153,7 @@ class Model:
         self._calibrate(votes, labels)
 
     def _vector(self, terms, counts):
-        weights = (1 + np.log(counts)) * self.idf[terms]
+        weights = counts * self.idf[terms]
         return terms, weights / (np.sqrt(weights @ weights) or 1.0)
 
     def _vote(self, vector, leave_out=-1):
@@ -207,9 +205,8 @@ def _examples(docs, labels, per_class):
         .dropDuplicates(["key", "label"]).select("doc_id", "label", "text"), "examples")
 
 
-def _document_frequencies(docs, terms):
-    """Number of documents, over the whole corpus, that hold each of ``terms``, and of all documents."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
+def _document_frequencies(docs, wanted, n_terms):
+    """Number of documents, over the whole corpus, that hold each term, and of all documents."""
 
     def count(batches):
         total = Counter()
@@ -225,16 +222,16 @@ def _document_frequencies(docs, terms):
         .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     )
     # Number -1 is the last place.
-    found = np.zeros(len(terms) + 1, np.int64)
+    found = np.zeros(n_terms + 1, np.int64)
     found[rows["term"].to_numpy()] = rows["n"].to_numpy()
-    return int(found[-1]), found[:-1].tolist()
+    return int(found[-1]), found[:-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
     """Learn from at most ``per_class`` different texts of each label; None if one label is missing.
 
-    The dimensions are all words of these texts and the beginnings of the words. Document
-    frequencies are counted over the whole corpus.
+    The dimensions are the stems of all words of these texts. Document frequencies are
+    counted over the whole corpus.
     """
     sample = _examples(docs, labels, per_class)
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -243,16 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
 
     @F.pandas_udf("array<binary>")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list({term for w in set(normal_words(t or b"")) for term in terms_of(w)}))
+        return texts.map(lambda t: list(set(map(stem, set(normal_words(t or b""))))))
 
     text = F.col("text").cast("binary")
-    found = sample.select(F.explode(find(text)).alias("term")).distinct().toArrow()["term"]
-    terms = sorted(term.as_py() for term in found)
-    n, frequencies = _document_frequencies(docs, terms)
-    # Common terms have the smallest numbers, so texts of one language stand together in the index.
-    order = sorted(range(len(terms)), key=lambda i: -frequencies[i])
-    terms, frequencies = [terms[i] for i in order], np.array([frequencies[i] for i in order])
+    terms = sorted(sample.select(F.explode(find(text)).alias("term")).distinct().toArrow()["term"].to_pylist())
     wanted = docs.sparkSession.sparkContext.broadcast(_Wanted(terms))
+    n, frequencies = _document_frequencies(docs, wanted, len(terms))
 
     @F.pandas_udf("binary")
     def count(texts: pd.Series) -> pd.Series:
@@ -260,11 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
 
     # Numbers of the terms, not texts, come to the driver.
     rows = sample.select("doc_id", "label", count(text).alias("terms")).orderBy("doc_id", "label").collect()
+    wanted.unpersist()
     share = labels.filter(learnable(FOLDS, HELD_OUT)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    counts = [np.frombuffer(r.terms, np.int32).reshape(2, -1) for r in rows]
+    # Common terms get the smallest numbers, so texts of one language stand together in the index.
+    order = np.argsort(-frequencies, kind="stable")
+    renamed = np.empty(len(terms), np.int64)
+    renamed[order] = np.arange(len(terms))
+    counts = []
+    for held, times in (np.frombuffer(r.terms, np.int32).reshape(2, -1) for r in rows):
+        place = np.argsort(renamed[held])
+        counts.append((renamed[held][place], times[place]))
+    idf = np.log((1 + n) / (1 + frequencies[order])) ** IDF_POWER
     ids = np.array([r.doc_id for r in rows], np.int64)
-    return Model(
-        terms, np.log((1 + n) / (1 + frequencies)) + 1, ids, np.array([r.label for r in rows], np.int64), counts, share)
+    return Model([terms[i] for i in order], idf, ids, np.array([r.label for r in rows], np.int64), counts, share)
 
 
 def score_toxicity(docs: DataFrame, model, n_evidence=3) -> DataFrame:
@@ -295,7 +296,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS) -> DataFra
     learned on the examples, each left out of its own vote. Ties go to the example that
     stands first in the index, which is sorted by vector and id.
 
-    A text without any word or beginning of a word of the examples, so also a null or empty one, gets the probability
+    A term is a word's first ``STEM_CHARS`` characters, weighed by its count times the
+    square of the logarithm of ``(1 + documents) / (1 + documents that hold it)``.
+
+    A text without any term of the examples, so also a null or empty one, gets the probability
     of such texts among the examples. If a label is missing among the learnable rows all
     scores are 0. Documents labelled both ways, null labels and null ids are not learned
     from. Repeated rows are scored each. Extra columns are not read.

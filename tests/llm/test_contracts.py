@@ -362,7 +362,7 @@ def test_no_token_is_lost_and_batches_keep_the_budget(docs, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 10)
     rows = planted()
     out = [r for r in packing.pack(docs(rows), max_tokens=64, buckets=4, batch_tokens=256).collect()]
-    encode = packing.encoder(packing.read_ranks(packing.TOKENIZER)).encode_ordinary
+    encode = packing.encoder(packing.read_ranks(packing.TOKENIZER)).encode
     want, got = Counter(), Counter()
     for doc, text in rows:
         want[doc] += len(encode(text or ""))

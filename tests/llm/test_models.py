@@ -204,20 +204,27 @@ def test_toxicity_does_not_use_held_out_labels(tables):
 
 def test_document_frequencies_cover_all_documents(docs):
     rows = [(1, "A b a"), (2, "b"), (3, None), (3, "b longer"), (4, "LONG")]
-    n, found = toxicity._document_frequencies(docs(rows), [b"a", b"b", b"z", b"long*"])
-    assert n == 5 and found == [1, 3, 0, 2]
+    wanted = docs([]).sparkSession.sparkContext.broadcast(toxicity._Wanted([b"a", b"b", b"z", b"long"]))
+    n, found = toxicity._document_frequencies(docs(rows), wanted, 4)
+    assert n == 5 and found.tolist() == [1, 3, 0, 2]
+
+
+def test_stems_are_whole_characters():
+    assert [toxicity.stem(w.encode()).decode() for w in ("a", "word", "words", "ñandúes", "été", "étés1")] == ["a", "word", "word", "ñand", "été", "étés"]
+    terms, counts = toxicity._Wanted([b"long", b"b"]).count(b"b longer LONGEST c b b")
+    assert terms.tolist() == [0, 1] and counts.tolist() == [2, 3]
 
 
 def test_cosines_are_over_all_words(docs, labels):
     draw = np.random.default_rng(3)
-    words = [f"w{a}{b}rd{c}" for a in "abc" for b in "xyz" for c in "12345"]
+    words = [f"{a}{b}{c}rds" for a in "abc" for b in "xyz" for c in "12345"]
     rows = [(i, " ".join(draw.choice(words, 8))) for i in range(60)]
     out = toxicity.toxicity(docs(rows), labels([(i, None, i % 2) for i in range(60)])).collect()
-    held = {i: Counter(t for w in x.encode().split() for t in toxicity.terms_of(w)) for i, x in rows}
-    found = Counter(t for c in held.values() for t in c)
+    held = {i: Counter(w[:4] for w in x.split()) for i, x in rows}
+    found = Counter(t for c in held.values() for t in set(c))
     unit = {}
     for i, c in held.items():
-        v = {t: (1 + np.log(n)) * (np.log(61 / (1 + found[t])) + 1) for t, n in c.items()}
+        v = {t: n * np.log(61 / (1 + found[t])) ** 2 for t, n in c.items()}
         norm = np.sqrt(sum(x * x for x in v.values()))
         unit[i] = {t: x / norm for t, x in v.items()}
     known = [i for i in held if zlib.crc32(str(i).encode()) % 4 != 2]
