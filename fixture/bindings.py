@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalkit.functions.datum import WGS84
 from shoalkit.operators import abundance, events, metrics, taxa
 from shoalkit.plans.refresh import refresh
 from shoalkit.scaling import cut_lineage, temporary_folder
@@ -46,6 +47,15 @@ POLYGONS = {
 STRIPS = {"West": (149.0, 155.005), "East": (155.005, 159.005)}
 STRIP_RINGS = {name: [(w, -40), (e, -40), (e, -29), (w, -29)] for name, (w, e) in STRIPS.items()}
 
+# Regions with long edges, whose arcs leave the chords by up to a fifth of a degree.
+WIDE_RINGS = {
+    "Box": [(149.003, -36.007), (161.003, -36.007), (161.003, -31.003), (149.003, -31.003)],
+    "Wedge": [(148.003, -38.507), (162.507, -33.503), (150.503, -30.001)],
+    "Needle": [(155.0031, -38.003), (155.0137, -30.003), (155.0633, -34.001)],
+}
+# The datum, by its EPSG code, from which the sites are shifted.
+OLD_DATUM = 4202
+
 # Tables of the refresh made for a session and folder.
 _RUNS = {}
 
@@ -157,9 +167,9 @@ class Survey:
         self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
         return path
 
-    def polygons_read(self, rings):
+    def polygons_read(self, rings, crs=WGS84):
         """Polygons that went through a GeoJSON layer and its reader."""
-        return read_polygons(self.spark, self._layer(temporary_folder(self.spark, "layer"), rings))
+        return read_polygons(self.spark, self._layer(temporary_folder(self.spark, "layer"), rings), crs=crs)
 
     @property
     def served(self):
@@ -231,11 +241,14 @@ class Survey:
         named = taxa.add_common_names(self.life_history.select(*TAXON), self.life_history)
         return named.select(taxa.display_name().alias("display_name"), F.concat_ws("/", F.lit("pages"), "family", "genus").alias("url"))
 
-    @cached_property
+    @property
     def polygons(self):
+        return self.layer_of(POLYGONS)
+
+    def layer_of(self, rings):
         rows = [
             (i, name, [[(float(x), float(y)) for x, y in ring + ring[:1]]])
-            for i, (name, ring) in enumerate(POLYGONS.items())
+            for i, (name, ring) in enumerate(rings.items())
         ]
         return self.spark.createDataFrame(
             rows, "feature long, bioregion string, rings array<array<struct<x:double,y:double>>>"

@@ -4,8 +4,9 @@
 against every polygon edge and computes the three metrics one by one.
 """
 
-from fixture.bindings import GENUS, POLYGONS, SPECIES, STRIPS
+from fixture.bindings import GENUS, OLD_DATUM, POLYGONS, SPECIES, STRIPS, WIDE_RINGS
 from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS, STRIP
+from shoalkit.functions.datum import DATUMS, ELLIPSOIDS
 
 TAXON = "family, genus, species"
 SAME_TAXON = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in ("family", "genus", "species"))
@@ -15,14 +16,52 @@ def _same_taxon(a, b):
     return SAME_TAXON.format(a=a, b=b)
 
 
-def _edges():
+def _edges(polygons=POLYGONS):
     rows = []
-    for name, ring in POLYGONS.items():
+    for name, ring in polygons.items():
         for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
             rows.append(f"('{name}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)")
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS e(bioregion, x1, y1, x2, y2)"
 
 
+def _vector(lon, lat, end):
+    """Unit vector of a point as three SQL columns ``ux.., uy.., uz..``."""
+    return (f"cos(radians({lat})) * cos(radians({lon})) AS ux{end}, cos(radians({lat})) * sin(radians({lon})) AS uy{end}, "
+            f"sin(radians({lat})) AS uz{end}")
+
+
+def _in_arcs(edges, points="SELECT sample_url, longitude_dd AS x, latitude_dd AS y FROM dep"):
+    """Every point against every arc: north of it lies an odd number of arcs, by the sign of the triple product."""
+    return f""", edges AS ({edges}),
+        arcs AS (SELECT *, {_vector('x1', 'y1', 1)}, {_vector('x2', 'y2', 2)} FROM edges),
+        planes AS (SELECT bioregion, x1, x2, uy1 * uz2 - uz1 * uy2 AS nx, uz1 * ux2 - ux1 * uz2 AS ny,
+                   ux1 * uy2 - uy1 * ux2 AS nz FROM arcs),
+        points AS (SELECT *, {_vector('x', 'y', 0)} FROM ({points}))
+        SELECT sample_url, round(x@six) AS longitude_dd, round(y@six) AS latitude_dd, bioregion FROM (
+          SELECT sample_url, x, y, bioregion,
+                 sum(CASE WHEN (x1 > x) <> (x2 > x) AND (nx * ux0 + ny * uy0 + nz * uz0) * sign(x2 - x1) < 0
+                     THEN 1 ELSE 0 END) % 2 = 1 AS inside
+          FROM points, planes GROUP BY ALL) WHERE inside"""
+
+
+def _shifted(source, keep, lon, lat):
+    """The rows of ``source`` with two columns brought from the old datum to WGS84, step by step."""
+    name, (tx, ty, tz, rx, ry, rz, ppm) = DATUMS[OLD_DATUM]
+    (a, f), (b, g) = ELLIPSOIDS[name], ELLIPSOIDS["WGS84"]
+    e, d = f"((2 - 1 / {f}) / {f})", f"((2 - 1 / {g}) / {g})"
+    turn = lambda seconds: f"radians({seconds} / 3600)"
+    normal = f"({a} / sqrt(1 - {e} * sin(radians({lat})) ^ 2))"
+    return f"""WITH metres AS (SELECT {keep}, {normal} * cos(radians({lat})) * cos(radians({lon})) AS gx,
+            {normal} * cos(radians({lat})) * sin(radians({lon})) AS gy, {normal} * (1 - {e}) * sin(radians({lat})) AS gz FROM {source}),
+        moved AS (SELECT {keep}, {tx} + (1 + {ppm} * 1e-6) * (gx - {turn(rz)} * gy + {turn(ry)} * gz) AS gx,
+            {ty} + (1 + {ppm} * 1e-6) * ({turn(rz)} * gx + gy - {turn(rx)} * gz) AS gy,
+            {tz} + (1 + {ppm} * 1e-6) * (-{turn(ry)} * gx + {turn(rx)} * gy + gz) AS gz FROM metres),
+        step0 AS (SELECT {keep}, gx, gy, gz, sqrt(gx * gx + gy * gy) AS r, atan2(gz, sqrt(gx * gx + gy * gy) * (1 - {d})) AS phi FROM moved)
+        """ + "".join(f""", step{k + 1} AS (SELECT {keep}, gx, gy, gz, r,
+            atan2(gz + {d} * {b} / sqrt(1 - {d} * sin(phi) ^ 2) * sin(phi), r) AS phi FROM step{k})""" for k in range(6)) + (
+        f" SELECT {keep}, degrees(atan2(gy, gx)) AS {lon}, degrees(phi) AS {lat} FROM step6")
+
+
 BASE_OF_REGION = rf"""
 WITH dep AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS sample_url, CAST(o_custkey AS VARCHAR) AS campaignid,
@@ -416,6 +455,11 @@ ORACLE = {
     "region_assign_sites": f"""SELECT sample_url, round(longitude_dd@six) AS longitude_dd,
         round(latitude_dd@six) AS latitude_dd, CASE WHEN longitude_dd < {STRIPS['West'][1]} THEN 'West' ELSE 'East' END AS bioregion
         FROM dep WHERE longitude_dd < {STRIPS['East'][1]}""",
+    "region_assign_geodesic": _in_arcs(_edges(WIDE_RINGS)),
+    "region_assign_datum": _in_arcs(_shifted(
+        "(" + _shifted("(" + _edges(WIDE_RINGS) + ")", "bioregion, x2, y2", "x1", "y1") + ")", "bioregion, x1, y1", "x2", "y2")),
+    "sites_shifted": f"""SELECT sample_url, round(longitude_dd@six) AS longitude_dd, round(latitude_dd@six) AS latitude_dd
+        FROM ({_shifted("dep", "sample_url", "longitude_dd", "latitude_dd")})""",
     "overview_kpis": _kpis("overview"),
     "region_kpis": _kpis(f"region_figures WHERE bioregion = '{REGION}'", "bioregion,"),
     "region_choices": "SELECT DISTINCT bioregion FROM ok ORDER BY 1",

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixture.bindings import GENUS, POLYGONS, SPECIES, STRIP_RINGS, Survey
+from fixture.bindings import GENUS, OLD_DATUM, POLYGONS, SPECIES, STRIP_RINGS, WIDE_RINGS, Survey
 from shoalkit.functions import slug
-from shoalkit.operators import abundance, events, locations, metrics, spatial, summaries, taxa
+from shoalkit.functions.datum import shift_datum
+from shoalkit.operators import abundance, events, geodesic, locations, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
 from shoalkit.plans.refresh import campaign_list
 from shoalkit.schemas import TAXON
@@ -52,6 +53,12 @@ def _species(s):
     return locations.default_species(_bundle(s, "top_species_location"), 3)
 
 
+def _shifted(sites):
+    moved = shift_datum(F.col("longitude_dd"), F.col("latitude_dd"), OLD_DATUM)
+    return sites.select("sample_url", moved.alias("p")).select(
+        "sample_url", F.col("p.x").alias("longitude_dd"), F.col("p.y").alias("latitude_dd"))
+
+
 QUERIES = {
     # Samples and metrics
     "deployments_prepared": lambda s: s.deployments,
@@ -98,6 +105,9 @@ QUERIES = {
     "region_assign": lambda s: spatial.assign_regions(s.points, s.polygons, 0.05),
     "region_assign_geojson": lambda s: spatial.assign_regions(s.points, s.polygons_read(POLYGONS), 0.05),
     "region_assign_sites": lambda s: spatial.assign_regions(s.sites, s.polygons_read(STRIP_RINGS), 1.0),
+    "region_assign_geodesic": lambda s: geodesic.assign_regions(s.sites, s.layer_of(WIDE_RINGS), 0.5),
+    "region_assign_datum": lambda s: geodesic.assign_regions(s.sites, s.polygons_read(WIDE_RINGS, OLD_DATUM), 0.5),
+    "sites_shifted": lambda s: _shifted(s.sites),
     # Views
     "overview_kpis": lambda s: views.overview_kpis(summaries.overview_stats(s.deployments, s.counts, s.lengths)),
     "region_kpis": lambda s: views.region_kpis(summaries.region_stats(s.deployments, s.counts, s.lengths), REGION),

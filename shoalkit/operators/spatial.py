@@ -86,28 +86,42 @@ def cell_index(polygons: DataFrame, cell_size) -> DataFrame:
     by_row = edges.withColumn("cy", F.explode(rows)).withColumns({
         "first": _cell(F.least(*ends) - REACH * size, cell_size), "last": _cell(F.greatest(*ends) + REACH * size, cell_size),
     })
+    return index_cells(by_row, ("cy", "cx"), (low_y, high_y), level, ["x1", "y1", "x2", "y2"], cell_size)
+
+
+def index_cells(parts: DataFrame, axes, reach, level, edge, cell_size) -> DataFrame:
+    """The cell index from parts of edges, one row for each line of cells that an edge passes through.
+
+    ``axes`` names the line of a cell and its place along the line, in which rays run; a
+    part has cells ``first`` to ``last`` of its line. ``reach`` is the lower and upper
+    end of the whole edge across the lines, ``level`` marks edges that rays run along,
+    ``edge`` names the columns to keep of an edge.
+    """
+    line, along = axes
+    low, high = reach
+    bottom, top = F.col(line) * F.lit(float(cell_size)), (F.col(line) + 1) * F.lit(float(cell_size))
     own = (
-        by_row.withColumn("cx", F.explode(F.sequence("first", "last")))
-        .groupBy("feature", "bioregion", "cx", "cy")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        parts.withColumn(along, F.explode(F.sequence("first", "last")))
+        .groupBy("feature", "bioregion", along, line)
+        .agg(F.collect_list(F.struct(*edge)).alias("edges"))
     )
     odd = F.count(F.lit(1)) % 2 == 1
-    turn = F.explode(F.array(F.greatest(low_y, bottom), high_y)).alias("turn")
+    turn = F.explode(F.array(F.greatest(low, bottom), high)).alias("turn")
     turns = (
-        by_row.where(~level).select("feature", "bioregion", "cy", "first", top.alias("limit"), turn)
+        parts.where(~level).select("feature", "bioregion", line, "first", top.alias("limit"), turn)
         .where(F.col("turn") < F.col("limit"))
-        .groupBy("feature", "bioregion", "cy", "first", "turn").agg(odd.alias("odd")).where("odd")
+        .groupBy("feature", "bioregion", line, "first", "turn").agg(odd.alias("odd")).where("odd")
     )
-    # Cells of a row that have something of the polygon to their right, with what is left there.
-    spans = by_row.groupBy("feature", "bioregion", "cy").agg(F.min("first").alias("from_x"), F.max("last").alias("to_x"))
-    cells = spans.select("feature", "bioregion", "cy", F.explode(F.sequence("from_x", "to_x")).alias("cx"))
-    keys = ["feature", "bioregion", "cy"]
+    # Cells of a line that have something of the polygon ahead, with what is left there.
+    spans = parts.groupBy("feature", "bioregion", line).agg(F.min("first").alias("from"), F.max("last").alias("to"))
+    cells = spans.select("feature", "bioregion", line, F.explode(F.sequence("from", "to")).alias(along))
+    keys = ["feature", "bioregion", line]
     right = (
-        null_safe_join(cells, turns, keys, "left").where(F.col("first") > F.col("cx"))
-        .groupBy(*keys, "cx", "turn").agg(odd.alias("odd")).where("odd")
-        .groupBy(*keys, "cx").agg(F.collect_list("turn").alias("turns"))
+        null_safe_join(cells, turns, keys, "left").where(F.col("first") > F.col(along))
+        .groupBy(*keys, along, "turn").agg(odd.alias("odd")).where("odd")
+        .groupBy(*keys, along).agg(F.collect_list("turn").alias("turns"))
     )
-    found = null_safe_join(null_safe_join(cells, own, [*keys, "cx"], "left"), right, [*keys, "cx"], "left")
+    found = null_safe_join(null_safe_join(cells, own, [*keys, along], "left"), right, [*keys, along], "left")
     turns = F.coalesce("turns", F.array().cast("array<double>"))
     return (
         found.select("cx", "cy", "feature", "bioregion", "edges", turns.alias("turns"))
@@ -126,17 +140,22 @@ def assign_regions(
     (cells, edges and turns) checked: below ``max_rows`` it is broadcast, above it points
     and index are joined by cell with the points of a cell spread over salts.
     """
-    index = cut_lineage(cell_index(polygons.where(F.col("bioregion").isNotNull()), cell_size))
-    weight = index.agg(F.sum(1 + F.coalesce(F.size("edges"), F.lit(0)) + F.size("turns"))).first()[0] or 0
+    index = cell_index(polygons.where(F.col("bioregion").isNotNull()), cell_size)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    located = points.where(px.isNotNull() & py.isNotNull()).withColumns(
-        {"cx": _cell(px, cell_size), "cy": _cell(py, cell_size)}
-    )
+    located = points.where(px.isNotNull() & py.isNotNull())
+    return in_polygons(located, index, (px, py), covers(px, py, F.col("edges"), F.col("turns")), cell_size, max_rows).select(
+        *points.columns, "bioregion")
+
+
+def in_polygons(points: DataFrame, index: DataFrame, place, covered, cell_size, max_rows) -> DataFrame:
+    """Points joined to the cells of an index at their ``place``, where ``covered`` or wholly inside."""
+    index = cut_lineage(index)
+    weight = index.agg(F.sum(1 + F.coalesce(F.size("edges"), F.lit(0)) + F.size("turns"))).first()[0] or 0
+    located = points.withColumns({"cx": _cell(place[0], cell_size), "cy": _cell(place[1], cell_size)})
     if weight <= max_rows:
         candidates = located.join(F.broadcast(index), ["cx", "cy"])
     else:
         salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
         copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         candidates = located.withColumn("salt", salt).join(copies, ["cx", "cy", "salt"])
-    inside = F.col("edges").isNull() | covers(px, py, F.col("edges"), F.col("turns"))
-    return candidates.where(inside).select(*points.columns, "bioregion")
+    return candidates.where(F.col("edges").isNull() | covered)

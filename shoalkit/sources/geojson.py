@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalkit.functions.datum import WGS84, known_datum, shift_datum
+
 _FEATURE = "struct<type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
 _OBJECT = (
     f"struct<type: string, features: array<{_FEATURE}>, properties: map<string,string>, "
@@ -38,19 +40,28 @@ def _rings():
     return F.transform(nested, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
 
 
-def read_polygons(spark: SparkSession, path: str, name_property="bioregion") -> DataFrame:
+def in_datum(polygons: DataFrame, source: int, target: int = WGS84) -> DataFrame:
+    """Polygons with the corners of their rings brought from one datum to another."""
+    if known_datum(source) == known_datum(target):
+        return polygons
+    moved = lambda p: shift_datum(p.x, p.y, source, target)
+    return polygons.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, moved)))
+
+
+def read_polygons(spark: SparkSession, path: str, name_property="bioregion", crs=WGS84) -> DataFrame:
     """(feature, bioregion, rings, bbox) of every Polygon and MultiPolygon feature.
 
     ``path`` is a file or a folder. Each file is read by its own content: a
     FeatureCollection, a Feature on any number of lines, or one of these per line.
     ``feature`` is the file and the position in it, so a polygon listed twice is two
     features. Property names are compared in lower case with underscores. Coordinates
-    are longitude and latitude in WGS84.
+    are longitude and latitude in the datum ``crs`` (an EPSG code); they are returned in WGS84.
 
     Raises ``ValueError`` if a file holds no feature, a feature gives no polygon, or no
     feature has the property ``name_property``. A file is one row while it is read, as
     polygon layers are small beside the points.
     """
+    known_datum(crs)
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _objects().alias("objects"))
     own = lambda o: F.array(F.struct(
         o["type"].alias("type"), o["properties"].alias("properties"), o["geometry"].alias("geometry")))
@@ -66,7 +77,8 @@ def read_polygons(spark: SparkSession, path: str, name_property="bioregion") ->
         raise ValueError(f"{path}: {unread} of {n} features or files give no polygon")
     if not named:
         raise ValueError(f"{path}: no feature has the property {name_property}")
-    return with_bbox(placed.select("feature", F.col("properties")[name_property].alias("bioregion"), "rings"))
+    named = placed.select("feature", F.col("properties")[name_property].alias("bioregion"), "rings")
+    return with_bbox(in_datum(named, crs))
 
 
 def with_bbox(polygons: DataFrame) -> DataFrame:

@@ -1,0 +1,74 @@
+import json
+import math
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from shoalkit.functions import datum
+from shoalkit.sources.geojson import read_polygons
+from tests.conftest import rows
+
+PLACES = [(lon + 0.1234567, lat - 0.7654321) for lon in range(-180, 180, 23) for lat in range(-80, 90, 17)]
+
+
+def shifted(df, source, target):
+    moved = datum.shift_datum(F.col("x"), F.col("y"), source, target)
+    return df.select("id", moved.alias("p")).select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@pytest.mark.parametrize("source,target", [(4202, 4326), (4203, 4326), (4326, 4202), (4202, 4203), (4283, 4326)])
+def test_there_and_back(make, source, target):
+    places = make([(i, *p) for i, p in enumerate(PLACES)], "id int, x double, y double")
+    there = shifted(places, source, target)
+    back = shifted(there, target, source)
+    worst = max(max(abs((x - a + 180) % 360 - 180), abs(y - b)) for (_, x, y), (a, b) in zip(rows(back), PLACES))
+    assert worst < 1e-9 or source == 4202 and target == 4203 and worst < 2e-7
+    if 4202 in (source, target) and 4326 in (source, target):
+        # The old Australian datum lies some two hundred metres off.
+        far = [math.hypot((x - a) * math.cos(math.radians(b)), y - b) * 111_000 for (_, x, y), (a, b) in zip(rows(there), PLACES) if 100 < a < 170 and -50 < b < 0]
+        assert 100 < min(far) and max(far) < 350
+
+
+def test_against_an_iterative_return(make):
+    """Latitude by fixed-point iteration in plain floats, through the published formulas."""
+    axis, e2 = datum._squares("ANS")
+    to_axis, to_e2 = datum._squares("WGS84")
+    shift = datum.DATUMS[4203][1]
+    rx, ry, rz = (math.radians(s / 3600) for s in shift[3:6])
+    places = make([(i, *p) for i, p in enumerate(PLACES)], "id int, x double, y double")
+    for (_, x, y), (lon, lat) in zip(rows(shifted(places, 4203, 4326)), PLACES):
+        lam, phi = math.radians(lon), math.radians(lat)
+        normal = axis / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        a, b, c = normal * math.cos(phi) * math.cos(lam), normal * math.cos(phi) * math.sin(lam), normal * (1 - e2) * math.sin(phi)
+        s = 1 + shift[6] * 1e-6
+        a, b, c = shift[0] + s * (a - rz * b + ry * c), shift[1] + s * (rz * a + b - rx * c), shift[2] + s * (-ry * a + rx * b + c)
+        phi = math.atan2(c, math.hypot(a, b) * (1 - to_e2))
+        for _ in range(20):
+            normal = to_axis / math.sqrt(1 - to_e2 * math.sin(phi) ** 2)
+            phi = math.atan2(c + to_e2 * normal * math.sin(phi), math.hypot(a, b))
+        assert abs(x - math.degrees(math.atan2(b, a))) < 1e-10 and abs(y - math.degrees(phi)) < 1e-10
+
+
+def test_same_datum_nulls_and_unknown_codes(make):
+    places = make([(1, 150.0, -33.0), (2, None, 1.0), (3, 1.0, None)], "id int, x double, y double")
+    assert rows(shifted(places, 4283, 7844)) == rows(places)
+    found = {i: (x, y) for i, x, y in rows(shifted(places, 4202, 4326))}
+    assert found[2][0] is None and found[3][1] is None and found[1] != (150.0, -33.0)
+    with pytest.raises(ValueError, match="28356"):
+        shifted(places, 28356, 4326)
+
+
+def test_layer_in_an_old_datum(spark, folder):
+    path = os.path.join(folder, "layer.geojson")
+    ring = [[150.0, -34.0], [151.0, -34.0], [151.0, -33.0], [150.0, -34.0]]
+    feature = {"type": "Feature", "properties": {"bioregion": "A"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+    with open(path, "w") as file:
+        json.dump({"type": "FeatureCollection", "features": [feature]}, file)
+    plain, moved = read_polygons(spark, path).first(), read_polygons(spark, path, crs=4202).first()
+    assert [tuple(p) for p in plain.rings[0]] == [tuple(p) for p in ring]
+    for p, q in zip(plain.rings[0], moved.rings[0]):
+        assert 0.0008 < q.x - p.x < 0.0016 and 0.0012 < q.y - p.y < 0.0022
+    assert moved.bbox.minx == min(p.x for p in moved.rings[0])
+    with pytest.raises(ValueError, match="9999"):
+        read_polygons(spark, path, crs=9999)

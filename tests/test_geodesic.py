@@ -1,0 +1,92 @@
+import math
+import random
+
+import pytest
+
+from shoalkit.operators import geodesic, spatial
+from tests.conftest import rows
+from tests.test_spatial import POINTS, SHAPES, ring
+
+
+def vector(lon, lat):
+    lam, phi = math.radians(lon), math.radians(lat)
+    return math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi)
+
+
+def inside(lon, lat, rings):
+    """Odd number of arcs north of the point, with longitudes turned so that the point's is zero."""
+    odd = False
+    for points in rings:
+        for (x1, y1), (x2, y2) in zip(points, points[1:]):
+            d1, d2 = ((x - lon + 540) % 360 - 180 for x in (x1, x2))
+            if (d1 > 0) != (d2 > 0) and abs(d1 - d2) < 180:
+                a, b, p = vector(x1, y1), vector(x2, y2), vector(lon, lat)
+                det = sum(p[i] * (a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3]) for i in range(3))
+                odd ^= det * (d2 - d1) < 0
+    return odd
+
+
+BOX = (1, "Box", [ring((140, -40), (160, -40), (160, -30), (140, -30))])
+HOLED = (2, "Holed", [ring((0, 40), (40, 40), (40, 70), (0, 70)), ring((10, 50), (30, 50), (30, 60), (10, 60))])
+FIJI = (3, "Dateline", [ring((170, -20), (-170, -25), (-172, 5), (175, 10))])
+NORTHERN = (5, "Strip", [ring((-30, 80), (60, 80), (60, 85), (-30, 85))])
+ALL = [BOX, HOLED, FIJI, NORTHERN]
+
+
+def middle(lon1, lon2, lat):
+    """Latitude of the arc between two points of one latitude, half way."""
+    return math.degrees(math.atan(math.tan(math.radians(lat)) / math.cos(math.radians((lon2 - lon1) / 2))))
+
+
+@pytest.mark.parametrize("cell_size", [0.5, 3.0, 50.0])
+def test_points_between_chord_and_arc(make, cell_size):
+    south, north = middle(140, 160, -40), middle(140, 160, -30)
+    assert south < -40.4 and north < -30.3
+    expected = {
+        "south of the chord": (150.0, -40.3, True), "south of the arc": (150.0, south - 1e-6, False),
+        "north of the arc": (150.0, south + 1e-6, True), "on the arc": (150.0, south, True),
+        "south of the chord above": (150.0, -30.3, False), "under the arc above": (150.0, north - 1e-6, True),
+        "corner": (140.0, -40.0, True), "side": (160.0, -35.0, True), "beside": (160.0001, -35.0, False),
+        "no longitude": (None, -35.0, False), "no latitude": (150.0, None, False), "another turn": (510.0 - 360, -35.0, True),
+    }
+    points = make([(k, x, y) for k, (x, y, _) in expected.items()], POINTS)
+    found = geodesic.assign_regions(points, make([BOX], SHAPES), cell_size)
+    assert rows(found, "id") == sorted((k,) for k, (_, _, there) in expected.items() if there)
+    planar = {r[0] for r in rows(spatial.assign_regions(points, make([BOX], SHAPES), cell_size), "id")}
+    assert "south of the chord above" in planar and "south of the chord" not in planar
+
+
+@pytest.mark.parametrize("cell_size,max_rows", [(2.0, 10**6), (2.0, 1), (25.0, 10**6)])
+def test_every_pair_of_point_and_polygon(make, cell_size, max_rows):
+    draw = random.Random(11)
+    data = [(str(i), draw.uniform(-180, 180), math.degrees(math.asin(draw.uniform(-1, 1)))) for i in range(1200)]
+    data += [(f"near {i}", draw.uniform(165, 190), draw.uniform(-30, 12)) for i in range(200)]
+    data += [("west", -180.0, -10.0), ("east", 180.0, -10.0)]
+    expected = sorted((k, name) for k, x, y in data for _, name, rings in ALL if inside(x, y, rings))
+    found = geodesic.assign_regions(make(data, POINTS), make(ALL, SHAPES), cell_size, max_rows=max_rows)
+    assert rows(found, "id", "bioregion") == expected
+    assert {name for _, name in expected} >= {"Box", "Holed", "Dateline"}
+    assert ("west", "Dateline") in expected and ("east", "Dateline") in expected
+
+
+def test_arcs_are_listed_where_they_bulge(make):
+    index = geodesic.arc_index(make([BOX], SHAPES), 0.1).collect()
+    tested = {(r.cx, r.cy) for r in index if r.edges}
+    assert (1500, math.floor(middle(140, 160, -40) / 0.1)) in tested and (1500, -400) not in tested
+    # An arc is listed in few cells, not in a whole box.
+    assert len(tested) < 2 * (200 + 100) + 200
+
+
+@pytest.mark.parametrize("lat", [-70, 70])
+def test_a_ring_round_a_pole_is_an_error(make, lat):
+    cap = (1, "Cap", [ring(*[(lon, lat) for lon in range(-180, 180, 30)])])
+    with pytest.raises(ValueError, match="Cap"):
+        geodesic.assign_regions(make([("a", 0.0, 80.0)], POINTS), make([cap], SHAPES))
+
+
+def test_no_points_no_polygons_no_names(make):
+    assert geodesic.assign_regions(make([], POINTS), make([BOX], SHAPES)).collect() == []
+    points = make([("a", 150.0, -35.0)], POINTS)
+    assert geodesic.assign_regions(points, make([], SHAPES)).collect() == []
+    assert geodesic.assign_regions(points, make([(1, None, BOX[2])], SHAPES)).collect() == []
+    assert rows(geodesic.assign_regions(points, make([BOX, (9, *BOX[1:])], SHAPES)), "id") == [("a",), ("a",)]
