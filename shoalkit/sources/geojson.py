@@ -44,7 +44,8 @@ def in_datum(polygons: DataFrame, source: int, target: int = WGS84) -> DataFrame
     """Polygons with the corners of their rings brought from one datum to another."""
     if known_datum(source) == known_datum(target):
         return polygons
-    moved = lambda p: shift_datum(p.x, p.y, source, target)
+    corner = "struct<x:double,y:double>"
+    moved = lambda p: shift_datum(p.x, p.y, source, target).dropFields("height").cast(corner)
     return polygons.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, moved)))
 
 
