@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixture.layers import shapefile
 from shoalkit.functions.datum import WGS84
 from shoalkit.operators import abundance, events, metrics, taxa
 from shoalkit.plans.refresh import refresh
@@ -15,6 +16,7 @@ from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
 from shoalkit.sources import bundle
 from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import write_table
+from shoalkit.sources.shapefile import read_shapefile
 
 # The genus whose species are merged, in the words of the test data.
 GENUS, SPECIES = "gear", "red"
@@ -171,6 +173,17 @@ class Survey:
         """Polygons that went through a GeoJSON layer and its reader."""
         return read_polygons(self.spark, self._layer(temporary_folder(self.spark, "layer"), rings), crs=crs)
 
+    def shapes_read(self, rings):
+        """Polygons that went through a shapefile of several parts and its reader."""
+        path = os.path.join(temporary_folder(self.spark, "layer"), "regions")
+        files = shapefile([((name,), [[*ring, ring[0]]]) for name, ring in rings.items()])
+        for suffix, content in files.items():
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path + suffix)
+            stream = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target)
+            stream.write(bytearray(content))
+            stream.close()
+        return read_shapefile(self.spark, path + ".shp", partition_bytes=200)
+
     @property
     def served(self):
         """Tables of a refresh over this folder; one run serves all queries of a session."""

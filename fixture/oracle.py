@@ -514,6 +514,7 @@ ORACLE = {
 
 
 ORACLE["region_assign_geojson"] = ORACLE["region_assign"]
+ORACLE["region_assign_shapefile"] = ORACLE["region_assign_geodesic"]
 
 # Tables of the refresh and views on them, over the strips.
 SERVED = {

@@ -106,6 +106,7 @@ QUERIES = {
     "region_assign_geojson": lambda s: spatial.assign_regions(s.points, s.polygons_read(POLYGONS), 0.05),
     "region_assign_sites": lambda s: spatial.assign_regions(s.sites, s.polygons_read(STRIP_RINGS), 1.0),
     "region_assign_geodesic": lambda s: geodesic.assign_regions(s.sites, s.layer_of(WIDE_RINGS), 0.5),
+    "region_assign_shapefile": lambda s: geodesic.assign_regions(s.sites, s.shapes_read(WIDE_RINGS), 0.5),
     "region_assign_datum": lambda s: geodesic.assign_regions(s.sites, s.polygons_read(WIDE_RINGS, OLD_DATUM), 0.5),
     "sites_shifted": lambda s: _shifted(s.sites),
     # Views
