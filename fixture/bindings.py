@@ -205,6 +205,10 @@ class Survey:
     def counts(self):
         return taxa.fish_counts(self.raw_counts, self.life_history, GENUS, SPECIES)
 
+    @cached_property
+    def small_taxa(self):
+        return self.life_history.where(F.col("family") == "SMALL").select(*TAXON)
+
     @cached_property
     def lengths(self):
         return taxa.fish_lengths(self.raw_lengths, self.life_history)

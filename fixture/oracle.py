@@ -424,6 +424,8 @@ ORACLE = {
     "grid_size": f"""SELECT n_samples, n_taxa, n_samples * n_taxa AS n_rows FROM
         (SELECT count(*) AS n_samples FROM ok), (SELECT count(*) AS n_taxa FROM (SELECT DISTINCT {TAXON} FROM counts))""",
     "complete_counts": f"SELECT bioregion, status, {TAXON}, count, count(*) AS n_rows FROM grid GROUP BY ALL",
+    "grid_rows": f"""SELECT sample_url, bioregion, status, {TAXON}, CAST(count AS BIGINT) AS count FROM grid
+        WHERE bioregion = '{REGION}' AND (status = 'Fished' OR status IS NULL) AND family = 'SMALL'""",
     "abundance_overall": _abundance(""),
     "abundance_region": _abundance("bioregion"),
     "abundance_status": _abundance("status"),

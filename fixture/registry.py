@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fixture.bindings import GENUS, OLD_DATUM, POLYGONS, SPECIES, STRIP_RINGS, WIDE_RINGS, Survey
 from shoalkit.functions import slug
 from shoalkit.functions.datum import shift_datum
-from shoalkit.operators import abundance, events, geodesic, locations, metrics, spatial, summaries, taxa
+from shoalkit.operators import abundance, events, geodesic, grid, locations, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
 from shoalkit.plans.refresh import campaign_list
 from shoalkit.schemas import TAXON
@@ -84,6 +84,8 @@ QUERIES = {
     # Zero-filled abundance
     "grid_size": lambda s: abundance.grid_size(s.counts, s.deployments),
     "complete_counts": lambda s: abundance.complete_counts(s.counts, s.deployments, s.cube),
+    "grid_rows": lambda s: grid.grid_rows(
+        grid.compress_grid(s.counts, s.deployments), s.counts, REGION, ["Fished", None], s.small_taxa),
     "abundance_overall": lambda s: abundance.mean_abundance(s.cube, []),
     "abundance_region": lambda s: abundance.mean_abundance(s.cube, ["bioregion"]),
     "abundance_status": lambda s: abundance.mean_abundance(s.cube, ["status"]),

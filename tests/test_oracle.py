@@ -26,7 +26,7 @@ def test_agrees(spark, con, name):
 
 # Results that list every taxon of the grid, or of a short list, in every group.
 PAIRED = {
-    "abundance_overall", "abundance_region", "abundance_status", "complete_counts", "top_species_overall",
+    "abundance_overall", "abundance_region", "abundance_status", "complete_counts", "grid_rows", "top_species_overall",
     "top_species_region", "top_species_overall_status", "top_species", "top_species_check", "top_species_view",
     "top_species_view_status",
 }
