@@ -5,12 +5,15 @@ Parquet and read again as the next stage's ``docs``.
 """
 
 from shoalkit.llm import decontamination, language, near_duplicates, packing, personal_data
-from shoalkit.llm.common import stored, table
+from shoalkit.llm.common import dropped, scratch, stored, table
 from shoalkit.session import use_own_folder
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents whose language can be determined."""
+    """Documents whose language can be determined; texts without a letter, nulls among them, go.
+
+    Repeated rows, null ids and all columns are kept as they are; no rows give none.
+    """
     return language.with_known_language(docs)
 
 
@@ -24,17 +27,20 @@ def deduplicate(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents without benchmark passages, by the rule of the search operator."""
+    """Documents without benchmark passages, by the rule of the search operator.
+
+    Null and empty texts are clean. Repeated rows are judged each; no rows give none.
+    """
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark, docs, sf_dir):
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; null and empty texts, ids and other columns stay."""
     return personal_data.without_personal_data(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """Where every piece of every document goes."""
+    """Where every piece of every document goes; null and empty texts are one piece of no tokens."""
     return packing.pack(docs)
 
 
@@ -52,6 +58,12 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(use_own_folder(spark), sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            out = stored(stage(spark, docs, sf_dir), name)
+            made.remove(out.stored_in)
+        # The tables of a finished stage are not read again, nor is its input.
+        if number:
+            dropped(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
