@@ -1,5 +1,7 @@
 """What the operators of this subpackage share."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Folders of tables written inside each open ``scratch`` block.
+_OPEN = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read on from there.
 
     A lost executor then costs the tasks it ran, not the steps before this table. The
-    shuffle files of the writing job are released when it ends, the table with the session.
+    shuffle files of the writing job are released when it ends, the table when it is
+    ``dropped``, when the ``scratch`` block around it ends, or else with the session.
     """
     spark = df.sparkSession
     folder = temporary_folder(spark, label)
@@ -31,7 +38,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(folder)
     finally:
         spark.conf.set(RELEASE, before)
-    return spark.read.schema(df.schema).parquet(folder)
+    for made in _OPEN:
+        made.append(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.stored_in = folder
+    return table
+
+
+def _remove(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame):
+    """Remove ``stored`` tables that nothing will read again."""
+    for one in tables:
+        _remove(one.sparkSession, one.stored_in)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables ``stored`` inside the block go when it ends, but for those taken off the list it gives."""
+    made = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        # By identity: an inner block has the same folders.
+        _OPEN[:] = [other for other in _OPEN if other is not made]
+        for folder in made:
+            _remove(spark, folder)
 
 
 def fold(buckets: int):

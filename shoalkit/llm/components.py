@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.llm.common import stored
+from shoalkit.llm.common import dropped, stored
 
 
 def _size_and_sum(edges: DataFrame):
@@ -32,8 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        stars = stored(small.unionByName(least.withColumnRenamed("least", "b")).distinct(), "edges")
+        before, stars = stars, stored(small.unionByName(least.withColumnRenamed("least", "b")).distinct(), "edges")
         now = _size_and_sum(stars)
+        dropped(before)
         if now == seen:
             break
         seen = now

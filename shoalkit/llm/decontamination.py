@@ -1,13 +1,14 @@
 """Benchmark decontamination by Wu-Manber search over words."""
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.llm.common import normal_words
+from shoalkit.llm.common import normal_words, stored
 
 WINDOW_WORDS = 13
 # Words in a block of the shift table.
@@ -133,16 +134,74 @@ class Searcher:
 
 
 def _passes(benchmark):
-    """Benchmark rows in blocks of bounded size, fetched one by one."""
-    block, size = [], 0
-    for row in benchmark.toLocalIterator():
-        block.append((None if row[0] is None else str(row[0]), row[1]))
-        size += len(row[1] or b"")
-        if size >= PASS_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    """Numbered blocks of the benchmark, and their number: a row goes to a block by its hash.
+
+    Only the total size is known to the driver. A block holds about ``PASS_BYTES``.
+    """
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(1, -(-size // PASS_BYTES))
+    if number == 1:
+        return benchmark.withColumn("block", F.lit(0)), 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(number)).cast("int")
+    return stored(benchmark.withColumn("block", block).repartitionByRange("block"), "benchmark"), number
+
+
+def _rows(blocks, number):
+    """One block: ids as text, and texts."""
+    return [(None if r.item_id is None else str(r.item_id), r.text) for r in blocks.filter(F.col("block") == number).collect()]
+
+
+def _found(texts, name, block, window):
+    """Results for some texts; of texts side by side a bounded part is searched at once."""
+    searcher = _searcher(name, block, window)
+    return [result for part in _parts(texts) for result in searcher.search(part)]
+
+
+def _in_blocks(docs, blocks, number, window):
+    """``docs`` and ``found`` by one pass over the texts for each block.
+
+    Of each pass the hit spans and items of the texts that have any are written, one row for
+    equal texts; the block is released before the next one is read. Spans of all passes
+    are then united.
+    """
+    context = docs.sparkSession.sparkContext
+    key = F.sha2(F.col("text").cast("binary"), 256).alias("__key")
+    texts, passes = docs.select(key, F.col("text").cast("binary").alias("text")), []
+    for at in range(number):
+        name, block = uuid.uuid4().hex, context.broadcast(_rows(blocks, at))
+
+        @F.pandas_udf("spans array<struct<start:long,end:long>>, items array<string>")
+        def search(series: pd.Series) -> pd.DataFrame:
+            out = []
+            for _, hit, items in _found(series.tolist(), name, block, window):
+                edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2).tolist()
+                out.append(([{"start": a, "end": b} for a, b in edges], [i for i in items if i is not None]))
+            return pd.DataFrame(out, columns=["spans", "items"])
+
+        hits = texts.select("__key", search("text").alias("hit")).filter(F.size("hit.spans") > 0)
+        passes.append(stored(hits.select("__key", "hit.*").dropDuplicates(["__key"]), "hits"))
+        block.unpersist()
+    united = reduce(DataFrame.unionByName, passes).groupBy("__key").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Spans by start: each adds what lies beyond the farthest end so far.
+    so_far = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    n_hit = F.aggregate("spans", so_far, lambda total, s: F.struct(
+        (total.n + F.greatest(s.end - F.greatest(s.start, total.to), F.lit(0).cast("long"))).alias("n"),
+        F.greatest(total.to, s.end).alias("to")))["n"]
+
+    @F.pandas_udf("long")
+    def count(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: len(normal_words(t or b""))).astype("int64")
+
+    n_words, hit = count(F.col("text").cast("binary")), F.coalesce("__hit", F.lit(0).cast("long"))
+    joined = docs.withColumn("__key", key).withColumn("__words", n_words).join(
+        united.select("__key", n_hit.alias("__hit"), F.col("items").alias("__items")), "__key", "left")
+    found = F.struct(
+        F.col("__words").alias("n_words"), hit.alias("n_hit"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+        ((hit > 0) & (HIT_SHARE * hit >= F.col("__words"))).alias("contaminated"))
+    return joined.withColumn("found", found).select(*[F.col(f"`{c}`") for c in docs.columns if c != "found"], "found")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORDS) -> DataFrame:
@@ -158,31 +217,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORD
     all their words are compared. Each length of window has its own tables. Texts of a
     batch are searched side by side.
 
-    The benchmark is the query set of the search. It is read in blocks of at most
-    ``PASS_BYTES`` (or one row, if longer); each block is broadcast and searched in all
-    texts in turn, and hit words are united.
+    The benchmark is the query set of the search. It is cut into blocks of about
+    ``PASS_BYTES``; one block at a time comes to the driver, is broadcast and searched in
+    all texts, and is released. With one block nothing is written in between.
 
     Null and empty texts have no words and are clean; items without words have no
     windows. Windows of an item with a null id hit words, but the item is not listed.
     An empty benchmark leaves all clean. Repeated rows are judged each; extra columns are kept.
     """
-    context = docs.sparkSession.sparkContext
-    rows = benchmark.select("item_id", F.col("text").cast("binary"))
+    blocks, number = _passes(benchmark.select("item_id", F.col("text").cast("binary").alias("text")))
+    if number > 1:
+        return _in_blocks(docs, blocks, number, window)
     # Workers outlive a query, so what they keep of a block goes by a name of its own.
-    blocks = [(uuid.uuid4().hex, context.broadcast(block)) for block in _passes(rows)]
+    name, block = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(_rows(blocks, 0))
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>, contaminated boolean")
     def search(series: pd.Series) -> pd.DataFrame:
-        texts, total = series.tolist(), None
-        for name, block in blocks:
-            searcher = _searcher(name, block, window)
-            found = [result for part in _parts(texts) for result in searcher.search(part)]
-            total = found if total is None else [
-                (n, hit | more, items | others) for (n, hit, items), (_, more, others) in zip(total, found)]
-        if total is None:
-            total = [(len(normal_words(t or b"")), np.zeros(0, bool), set()) for t in texts]
         out = []
-        for n, hit, items in total:
+        for n, hit, items in _found(series.tolist(), name, block, window):
             hits = int(hit.sum())
             out.append((n, hits, sorted(i for i in items if i is not None), hits > 0 and HIT_SHARE * hits >= n))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "contaminated"])
@@ -222,6 +274,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORDS) ->
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW_WORDS) -> DataFrame:
-    """The clean rows of ``docs``, with its columns."""
+    """The clean rows of ``docs``, with its columns.
+
+    Null and empty texts are clean. Repeated rows are judged each, null ids stay, an empty
+    benchmark leaves everything, and columns of any name are kept as they are.
+    """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return find_contamination(kept, benchmark, window).filter(~F.col("found.contaminated")).select("row.*")

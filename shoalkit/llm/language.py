@@ -11,8 +11,10 @@ FOLDS, HELD_OUT = 3, 1
 # Documents learned from, over all languages together.
 SAMPLE_ROWS = 1200
 LANDMARKS = 128
-# The most frequent languages are learned, at most so many.
-LANGUAGES = 256
+# Every language is learned: from so many documents at least, with as many landmarks.
+LEAST = 2
+# A document is rejected if its best language scores less than this many times the chance of a guess.
+ABOVE_CHANCE = 1.05
 ORDERS = (1, 2, 3)
 # N-grams are told apart by this many bits.
 GRAM_BITS = 16
@@ -76,7 +78,7 @@ class Classifier:
         rank = np.zeros(len(labels), np.int64)
         for label in range(len(names)):
             rank[labels == label] = np.arange((labels == label).sum())
-        chosen = np.lexsort((labels, rank))[:landmarks]
+        chosen = np.lexsort((labels, rank))[:max(landmarks, LEAST * len(names))]
         self.active = np.flatnonzero(grams[chosen].any(axis=0))
         self.landmarks = np.ascontiguousarray(grams[chosen][:, self.active].T.astype(np.float32))
         self.sizes = np.sqrt(grams[chosen].sum(axis=1).astype(np.float32))
@@ -125,23 +127,26 @@ class Classifier:
 
 
 def fit(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -> Classifier:
-    """Learn from at most ``sample_rows`` documents, the same number of each language.
+    """Learn from about ``sample_rows`` documents, the same number of each language.
 
-    Taken are those with the smallest id hashes among the learnable documents with a
+    With so many languages that fewer than ``LEAST`` documents of each would be taken the
+    sample grows by ``LEAST`` a language, and with it the landmarks. Taken are those with the smallest id hashes among the learnable documents with a
     language; their n-gram bitmaps (8 KB each), not their texts, come to the driver.
     """
     known = docs.filter(learnable(FOLDS, HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Classifier(np.zeros((0, 1 << GRAM_BITS), bool), [], np.zeros(0, np.int64), landmarks)
-    per_language = max(1, sample_rows // len(counts))
+    per_language = max(LEAST, sample_rows // len(counts))
+    sample_rows = max(sample_rows, LEAST * len(counts))
     # Ids with small hashes, a few times as many as are taken, whatever a language's share;
     # the exact choice then ranks these few.
-    reach = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, (4 * per_language + 40) / r["count"]))])
+    reach = docs.sparkSession.createDataFrame(
+        [(r.lang, min(1.0, (4 * per_language + 40) / r["count"])) for r in counts], "lang string, reach double")
     spread = F.xxhash64("doc_id").cast("double") / 2.0 ** 64 + 0.5
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        known.select("doc_id", "lang").filter(spread <= F.element_at(reach, F.col("lang")))
+        known.select("doc_id", "lang").join(F.broadcast(reach), "lang").filter(spread <= F.col("reach"))
         .withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_language)
         .groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"))
         .filter("lang = other").select("doc_id", "lang")
@@ -159,10 +164,11 @@ def fit(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -> Classi
     )
     rows = [r for r in rows if r.grams is not None]
     names = sorted({r.lang for r in rows})
+    number = {name: i for i, name in enumerate(names)}
     grams = np.zeros((len(rows), 1 << GRAM_BITS), bool)
     for i, r in enumerate(rows):
         grams[i] = np.unpackbits(np.frombuffer(r.grams, np.uint8))
-    return Classifier(grams, names, np.array([names.index(r.lang) for r in rows], np.int64), landmarks)
+    return Classifier(grams, names, np.array([number[r.lang] for r in rows], np.int64), landmarks)
 
 
 def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -193,8 +199,18 @@ def language_id(docs: DataFrame, sample_rows=SAMPLE_ROWS, landmarks=LANDMARKS) -
     return found.select("doc_id", in_fold(FOLDS, HELD_OUT).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def with_known_language(docs: DataFrame, min_score=0.0) -> DataFrame:
-    """Rows of ``docs`` whose language is determined with at least ``min_score``."""
+def with_known_language(docs: DataFrame, above_chance=ABOVE_CHANCE) -> DataFrame:
+    """Rows of ``docs`` whose language is determined.
+
+    Rejected are texts without a letter, null and empty ones among them, and those whose best
+    language scores less than ``above_chance`` times one over the number of languages. If
+    nothing can be learned, all texts with letters stay. Repeated rows, null ids and all
+    columns are kept as they are; an empty table gives no rows.
+    """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = identify(kept, fit(docs.select("doc_id", "text", "lang")))
-    return found.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("row.*")
+    classifier = fit(docs.select("doc_id", "text", "lang"))
+    if not classifier.names:
+        return kept.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("row.*")
+    least = above_chance / len(classifier.names) if len(classifier.names) > 1 else 0.0
+    found = identify(kept, classifier)
+    return found.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)).select("row.*")

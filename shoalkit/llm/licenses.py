@@ -3,6 +3,7 @@
 import re
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,22 +43,23 @@ FREEDOM = (
 UNKNOWN = 0.5
 # Binding strength of the operators.
 STRENGTH = {"with": 3, "and": 2, "or": 1}
-EXPRESSION = re.compile(r"[ \t]*((?:[A-Za-z0-9.+:-]+|[()]|[ \t])+)")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
 
 
 def freedom(identifier: str) -> float:
     return next((value for start, value in FREEDOM if identifier.startswith(start)), UNKNOWN)
 
 
-def well_formed(text: str):
-    """Tokens of the longest well-formed expression at the start of ``text``.
+def well_formed(text: str, start=0):
+    """Tokens of the longest well-formed expression of ``text`` from ``start`` on, inside one line.
 
-    Reading stops at the first token that cannot follow. ``with`` takes one identifier, no bracket.
+    Tokens are read one by one, up to the first that cannot follow, so a text with many
+    expressions is read once. ``with`` takes one identifier, no bracket.
     """
     tokens, end, operand_next, opened = [], 0, True, 0
-    for match in TOKEN.finditer(text):
-        word = match[0].lower()
+    while match := TOKEN.match(text, start):
+        start = match.end()
+        word = match[1].lower()
         if operand_next:
             if word == "(" and tokens[-1:] != ["with"]:
                 opened += 1
@@ -77,14 +79,14 @@ def well_formed(text: str):
     return tokens[:end]
 
 
-def parse_expression(text: str):
-    """The longest well-formed expression at the start of ``text``, in postfix order.
+def parse_expression(text: str, start=0):
+    """The longest well-formed expression of ``text`` from ``start`` on, in postfix order.
 
     Shunting-yard over all its tokens: ``with`` binds before ``and``, ``and`` before ``or``.
     Returns an empty list if nothing is well formed.
     """
     output, operators = [], []
-    for word in well_formed(text):
+    for word in well_formed(text, start):
         if word == "(":
             operators.append(word)
         elif word == ")":
@@ -135,8 +137,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         # One character per byte, so that positions need no decoding.
         starts, base, labels, scores = [], set(), set(), []
-        for end, phrase in self.phrases.iter(line.decode("latin-1")):
-            at = line.count(b" ", 0, end - len(phrase) - 1)
+        found = list(self.phrases.iter(line.decode("latin-1")))
+        # Word numbers of the places: blanks before them, for all places at once.
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if found else []
+        places = np.searchsorted(blanks, [end - len(phrase) - 1 for end, phrase in found]).tolist()
+        for at, (_, phrase) in zip(places, found):
             if phrase in BASE_PHRASES:
                 starts.append(at)
                 base.add(BASE_PHRASES[phrase])
@@ -145,10 +150,9 @@ class Scanner:
             scores.append(freedom(label))
         lowered = text.lower().decode("latin-1")
         for end, _ in self.tags.iter(lowered):
-            match = EXPRESSION.match(lowered, end + 1)
-            found, value = evaluate(parse_expression(match[1])) if match else (set(), None)
-            if found:
-                labels |= found
+            named, value = evaluate(parse_expression(lowered, end + 1))
+            if named:
+                labels |= named
                 scores.append(value)
         # The most binding notice decides; a text without a notice is unknown.
         return len(words), starts, base, labels | base, min(scores) if scores else UNKNOWN

@@ -86,7 +86,7 @@ measured AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
     len(lines) AS n_lines, len(list_filter(lines, lambda x: contains(x, '|'))) AS n_pipe_lines,
     len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
-    len(list_filter(w, lambda x: x IN ({stop_words}))) AS n_stop_words
+    greatest(len(list_filter(w, lambda x: x IN ({stop_words}))), len(w) - len(list_distinct(w))) AS n_stop_words
   FROM docs LEFT JOIN repeated USING (row_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Kinds in the order used for ties, and their patterns. Repetitions after
@@ -335,10 +335,11 @@ def fit(docs: DataFrame, n_zones=ZONES) -> Field:
             out.append(rows)
         return pd.Series(out)
 
+    # One pass over the texts; the rank is limited inside every task before anything is shuffled.
     found = docs.select(F.explode(cut("text")).alias("z")).select("z.zone", "z.holds").distinct()
-    order = [F.xxhash64("zone"), F.col("zone")]
-    texts = [r.zone for part in (found.filter("holds"), found.filter("not holds"))
-             for r in part.orderBy(*order).limit(n_zones).collect()]
+    rank = F.row_number().over(Window.partitionBy("holds").orderBy(F.xxhash64("zone"), "zone"))
+    chosen = found.withColumn("rank", rank).filter(F.col("rank") <= n_zones).collect()
+    texts = [r.zone for r in sorted(chosen, key=lambda r: (not r.holds, r["rank"]))]
     # Both sorts alternate in an order of their own.
     mixed = [texts[i] for i in np.random.default_rng(3).permutation(len(texts))]
     return Field().fit(examples(mixed))
@@ -348,7 +349,14 @@ def all_spans(text, field):
     """Base spans, and those of the field that touch none of them."""
     base = base_spans(text)
     order = {kind: i for i, kind in enumerate(KINDS)}
-    more = [s for s in field.spans_in(text) if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+    more, at, reach = [], 0, 0
+    # Both lists go by start: base spans that start before a span ends either end before it or touch it.
+    for span in field.spans_in(text):
+        while at < len(base) and base[at][0] < span[1]:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= span[0]:
+            more.append(span)
     return base, sorted(base + more, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
@@ -401,7 +409,11 @@ def personal_data(docs: DataFrame, n_zones=ZONES) -> DataFrame:
 
 
 def without_personal_data(docs: DataFrame, n_zones=ZONES) -> DataFrame:
-    """``docs`` with spans replaced by their kind; ``n_chars``, if there, follows the text."""
+    """``docs`` with spans replaced by their kind; ``n_chars``, if there, follows the text.
+
+    Null texts stay null, empty ones empty. Repeated rows, null ids and all other columns
+    are kept as they are; an empty table gives no rows.
+    """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = find_personal_data(kept, fit(docs.select("text"), n_zones))
     text = F.col("found.redacted")

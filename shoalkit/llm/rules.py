@@ -5,13 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Stop words of some languages. A text in another one is known by words of its own that recur.
 STOP_WORDS = (
     "the", "of", "and", "to", "is", "in", "der", "die", "und", "das", "de", "la", "le", "et", "que", "el", "los", "les",
 )
 
 # Measure, smallest and largest value a document may have (None: no bound).
 THRESHOLDS = (
-    ("n_words", 50, 100_000),
+    ("n_words", 50, None),
     ("mean_word_chars", 2.0, 12.0),
     ("symbol_ratio", None, 0.08),
     ("stop_word_ratio", 0.01, None),
@@ -39,6 +40,9 @@ def _covered(starts):
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the measures of every whole text.
 
+    ``n_stop_words`` is the number of listed stop words, or of words that stood in the
+    text before, whichever is larger: function words recur in any language.
+
     A null text is empty. Ratios of an empty text are 0. Windows of three words are
     told apart by a 64-bit hash within one text. Each array is built in a projection of
     its own, so that later expressions read it instead of building it again; sorting
@@ -68,7 +72,9 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda line: F.contains(line, F.lit("|")))).cast("long").alias("n_pipe_lines"),
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
-        F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"))
+        F.greatest(
+            F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))),
+            F.size("words") - F.size(F.array_distinct("words"))).cast("long").alias("n_stop_words"))
 
 
 RATIOS = {
@@ -106,7 +112,8 @@ def apply_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     ``base_failed``: fewer than 50 words, or over half of the words lie in three-word
     windows that the text holds more than once. ``kept``: not failed, and within all
     bounds of ``thresholds``. A null or empty text fails. Repeated rows are judged
-    each, an empty table gives no rows, null ids and extra columns do not matter.
+    each, an empty table gives no rows, null ids and extra columns do not matter. No
+    text is too long.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs).select("*", failed.alias("base_failed"), (~failed & verdict(thresholds)).alias("kept"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.llm.common import in_fold, known_labels, learnable, normal_words, smallest_hashes, stored
+from shoalkit.llm.common import dropped, in_fold, known_labels, learnable, normal_words, smallest_hashes, stored
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 3000
@@ -199,10 +199,13 @@ def _examples(docs, labels, per_class):
         docs.select("doc_id", key).join(known_labels(labels, "toxic", FOLDS, HELD_OUT), "doc_id")
         .groupBy("key", "label").agg(F.min("doc_id").alias("doc_id"))
     )
-    chosen = stored(smallest_hashes(stored(texts, "texts"), per_class), "chosen")
-    return stored(
+    texts = stored(texts, "texts")
+    chosen = stored(smallest_hashes(texts, per_class), "chosen")
+    examples = stored(
         docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "key"])
         .dropDuplicates(["key", "label"]).select("doc_id", "label", "text"), "examples")
+    dropped(texts, chosen)
+    return examples
 
 
 def _document_frequencies(docs, wanted, n_terms):
@@ -236,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
     sample = _examples(docs, labels, per_class)
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        dropped(sample)
         return None
 
     @F.pandas_udf("array<binary>")
@@ -254,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS):
     # Numbers of the terms, not texts, come to the driver.
     rows = sample.select("doc_id", "label", count(text).alias("terms")).orderBy("doc_id", "label").collect()
     wanted.unpersist()
+    dropped(sample)
     share = labels.filter(learnable(FOLDS, HELD_OUT)).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     # Common terms get the smallest numbers, so texts of one language stand together in the index.
     order = np.argsort(-frequencies, kind="stable")

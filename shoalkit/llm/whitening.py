@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalkit.llm.common import stored
+from shoalkit.llm.common import dropped, stored
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
@@ -216,6 +216,7 @@ def whiten(embeddings: DataFrame, components=COMPONENTS, column="embedding") ->
     n, sums = _totals(fit)
     out = "vec_id long, n long, deviation long, whitened array<double>, explained array<double>, identity_error double"
     if not n or not size:
+        dropped(fit)
         return kept.select(
             F.col("vec_id").cast("long"), F.lit(n).cast("long").alias("n"), F.lit(0).cast("long").alias("deviation"),
             F.array().cast("array<double>").alias("whitened"), F.array().cast("array<double>").alias("explained"),
@@ -231,6 +232,7 @@ def whiten(embeddings: DataFrame, components=COMPONENTS, column="embedding") ->
         moments, totals = _second_moments(fit, lambda x: centre(x) @ turn, used)
         mean = totals / n
         error = float(np.abs(moments / n - np.outer(mean, mean) - np.eye(used)).max())
+    dropped(fit)
 
     def project(batches):
         for batch in batches:

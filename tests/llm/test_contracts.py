@@ -1,12 +1,16 @@
 """Operators with an exact contract against the plain version, on planted rows and on the test tables."""
 
+import os
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
+from shoalkit import scaling
 from shoalkit.llm import common, decontamination, licenses, near_duplicates, packing, personal_data, rules, substrings
 from shoalkit.llm.components import components
 from shoalkit.llm.registry import queries
@@ -185,6 +189,20 @@ def test_search_in_several_passes(docs, benchmark, monkeypatch):
     assert taken(decontamination.contamination(docs(rows), benchmark(ITEMS)), 6) == expected(brute.contamination(rows, ITEMS))
 
 
+def test_one_block_of_the_benchmark_at_a_time(spark, docs, benchmark, monkeypatch):
+    """Blocks together are the benchmark; none is much larger than a pass, and all are released."""
+    items = [(i, prose(1000 + i, 40)) for i in range(200)]
+    size = sum(len(t.encode()) for _, t in items)
+    monkeypatch.setattr(decontamination, "PASS_BYTES", size // 4)
+    held = []
+    monkeypatch.setattr(decontamination, "_rows", lambda blocks, k, own=decontamination._rows: held.append(own(blocks, k)) or held[-1])
+    rows = [(i, f"{prose(1000 + i, 40)} end" if i % 3 else prose(5000 + i, 40)) for i in range(120)]
+    got = taken(decontamination.contamination(docs(rows), benchmark(items)), 6)
+    assert got == expected(brute.contamination(rows, items)) and len(held) in (4, 5)
+    assert sorted(r[0] for h in held for r in h) == sorted(str(i) for i, _ in items)
+    assert max(sum(len(r[1]) for r in h) for h in held) < size // 2
+
+
 def test_clean_documents_stay_with_their_columns(docs, benchmark):
     rows = with_items(planted())
     kept = decontamination.without_contaminated(docs(rows), benchmark(ITEMS))
@@ -219,6 +237,18 @@ def test_rules_stay_inside_the_engine(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
 
 
+def test_no_text_is_too_long_and_no_language_too_rare(docs):
+    draw = random.Random(8)
+    ending = ["ssa", "lla", "sta", "n", "t"]
+    finnish = " ".join(draw.choice(["ja", "on", "ei", "se"]) if k % 4 == 0 else "".join(
+        draw.choices(["ta", "lo", "ki", "sau", "na", "ve", "hi"], k=3)) + draw.choice(ending) for k in range(200))
+    words = [f"w{k % 7000}" if k % 5 else "the" for k in range(150_000)]
+    draw.shuffle(words)
+    noise = " ".join(f"{draw.getrandbits(48):012x}" for _ in range(200))
+    rows = [(1, " ".join(words)), (2, finnish), (3, noise)]
+    assert {r.doc_id: r.kept for r in rules.quality_rules(docs(rows)).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_thresholds_are_a_table(docs):
     rows = [(1, prose(1, 80)), (2, "word " * 80), (3, None)]
     kept = {r.doc_id: r.kept for r in rules.apply_rules(docs(rows), [("n_words", 10, 79)]).collect()}
@@ -248,6 +278,88 @@ def test_long_expressions_are_read_whole():
     assert licenses.parse_expression("MIT with (A or B)") == ["mit"]
 
 
+def seconds(run):
+    start = time.process_time()
+    run()
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("unit", [
+    "spdx-license-identifier: mit or ", "mit license ", "license-expression: (", "spdx-license-identifier: (mit and ( ",
+    "cc by nc cc by ", "license-expression: a or b and c with d "])
+def test_licences_take_linear_time(unit):
+    scanner, text = licenses.Scanner(), (unit * (500_000 // len(unit))).encode()
+    scanner.scan(text[:1000])
+    half = seconds(lambda: scanner.scan(text))
+    assert seconds(lambda: scanner.scan(text * 2)) < 3 * half + 0.3
+
+
+@pytest.mark.parametrize("unit", ["a@b.co 1.2.3.4 +12 345 678 901 ", "(02) 5551 2345 x ", "4111 1111 1111 1111 9 "])
+def test_personal_spans_take_linear_time(unit, field):
+    text = unit * (60_000 // len(unit))
+    personal_data.all_spans(text[:1000], field)
+    half = seconds(lambda: personal_data.all_spans(text, field))
+    assert seconds(lambda: personal_data.all_spans(text * 2, field)) < 3 * half + 0.3
+
+
+def plain_licences(text):
+    """Labels and score by searching every phrase and tag for itself, and Python's own operators."""
+    words = " " + " ".join(brute.normal(text)) + " "
+    phrases = {**licenses.BASE_PHRASES, **licenses.NOTICE_PHRASES}
+    labels = {label for phrase, label in phrases.items() if f" {phrase} " in words}
+    scores = [licenses.freedom(label) for label in labels]
+    for tag in re.finditer("spdx-license-identifier:|licen[sc]e-expression:", brute.lower(text)):
+        tokens = re.match(r"(?:[ \t]*(?:[()]|[a-z0-9.+:-]+))*", brute.lower(text)[tag.end():])[0]
+        tokens = re.findall(r"[()]|[a-z0-9.+:-]+", tokens)
+        for n in range(len(tokens), 0, -1):
+            if (value := plain_expression(tokens[:n])) is not None:
+                labels |= value[0]
+                scores.append(value[1])
+                break
+    return ",".join(sorted(labels)), min(scores) if scores else 0.5
+
+
+def plain_expression(tokens):
+    """Recursive descent: (labels, freedom), or None if the tokens are not one expression."""
+    def operand(at):
+        if at < len(tokens) and tokens[at] == "(":
+            inner = level(at + 1, "or")
+            return (inner[0], inner[1] + 1) if inner and inner[1] < len(tokens) and tokens[inner[1]] == ")" else None
+        if at >= len(tokens) or tokens[at] in ("(", ")", "and", "or", "with"):
+            return None
+        name = tokens[at].rstrip(".:+") or tokens[at]
+        return ({name}, licenses.freedom(name)), at + 1
+
+    def level(at, word):
+        below = {"or": "and", "and": "with"}.get(word)
+        found = level(at, below) if below else operand(at)
+        while found and found[1] < len(tokens) and tokens[found[1]] == word:
+            other = level(found[1] + 1, below) if below else operand(found[1] + 1)
+            if not other or word == "with" and tokens[found[1] + 1] == "(":
+                return None
+            (a, x), (b, y) = found[0], other[0]
+            both = ({f"{p}-with-{q}" for p in a for q in b}, x) if word == "with" else (a | b, max(x, y) if word == "or" else min(x, y))
+            found = both, other[1]
+        return found
+
+    found = level(0, "or")
+    return found[0] if found and found[1] == len(tokens) else None
+
+
+def test_labels_and_score_against_a_plain_parser(spark):
+    draw = random.Random(12)
+    pieces = ["mit", "GPL-2.0+", "(", ")", "and", "OR", "with", "Classpath-exception", "cc0", ",", "\n", "spdx-license-identifier:",
+              "license-expression:", "CC BY", "mit license", "all rights reserved", "x."]
+    scanner = licenses.Scanner()
+    for _ in range(1500):
+        text = " ".join(draw.choices(pieces, k=draw.randint(1, 14)))
+        _, _, _, labels, score = scanner.scan(text.encode())
+        assert (",".join(sorted(labels)), score) == plain_licences(text), text
+    rows = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall())
+    for r in queries()["op10_licenses"](spark, SMALL).collect():
+        assert (r.labels, r.score) == plain_licences(rows[r.doc_id])
+
+
 def test_expressions_are_evaluated():
     assert licenses.evaluate(["gpl-3.0", "mit", "or"]) == ({"gpl-3.0", "mit"}, 1.0)
     assert licenses.evaluate(["gpl-3.0", "mit", "and"])[1] == 0.4
@@ -381,6 +493,53 @@ def test_no_token_is_lost_and_batches_keep_the_budget(docs, monkeypatch):
     assert sum(n for n in batches.values()) == sum(r.n_tokens > 0 for r in out)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "#", "\t ", "é"])
+def test_long_runs_are_encoded(unit):
+    own = packing.encoder(packing.read_ranks(packing.TOKENIZER))
+    for n in (999, 1000, 1001, 20_000):
+        for text in (unit * n, "x" + unit * n, unit * n + "x", f"a {unit * n}\n{unit * n} b"):
+            whole = own.split.encode_ordinary(text)
+            assert own.encode(text) == whole and own.count(text) == len(whole) and own.decode(whole).decode() == text
+    start = time.process_time()
+    assert own.decode(own.encode(unit * (5_000_000 // len(unit)))) == unit.encode() * (5_000_000 // len(unit))
+    assert time.process_time() - start < 60
+
+
+def test_packing_query_against_a_plain_version(spark):
+    """Pieces of the whole encoding, the cheapest bounds, and batches that fit."""
+    own = packing.encoder(packing.read_ranks(packing.TOKENIZER))
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+    want = []
+    for doc, text in rows:
+        n = len(own.split.encode_ordinary(text or ""))
+        want += [(doc, k, k * 2048, min(2048, n - k * 2048)) for k in range(max(1, -(-n // 2048)))]
+    found = queries()["op3_packing"](spark, SMALL).collect()
+    assert sorted(tuple(r)[:4] for r in found) == sorted(want)
+    bounds = sorted({r.width for r in found if r.n_tokens})
+    lengths = Counter(w[3] for w in want if w[3])
+    assert bounds == packing.bucket_bounds(list(lengths), list(lengths.values())) and len(bounds) == 8
+    batches = {}
+    for r in found:
+        if r.n_tokens:
+            assert r.width == min(b for b in bounds if b >= r.n_tokens) and r.bucket == bounds.index(r.width)
+            batches.setdefault(r.batch, []).append((r.slot, r.width))
+    for slots in batches.values():
+        assert sorted(s for s, _ in slots) == list(range(len(slots))) and len(slots) * slots[0][1] <= max(16_384, slots[0][1])
+
+
+def test_tables_go_when_they_have_been_read(spark, docs):
+    folder = scaling.shared_folder(spark).removeprefix("file:")
+    left = lambda: {f for f in os.listdir(folder) if os.path.isdir(os.path.join(folder, f))}
+    before = left()
+    with common.scratch(spark) as made:
+        out = common.stored(near_duplicates.without_near_duplicates(docs(planted())), "kept")
+        made.remove(out.stored_in)
+    assert len(left() - before) == 1 and out.count() > 10
+    common.dropped(out)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert components(chain).count() == 51 and len({f for f in left() - before if f.startswith("edges")}) == 1
+
+
 def test_packing_of_nothing(docs):
     assert packing.pack(docs([])).collect() == []
     assert [(r.n_tokens, r.batch) for r in packing.pack(docs([(1, None), (2, "")])).collect()] == [(0, None), (0, None)]
