@@ -19,8 +19,8 @@ IDF_POWER = 2
 KNOWN_WORDS = 300_000
 NEIGHBOURS = 40
 THRESHOLD = 0.3
-# Examples in a block of a posting list, and blocks scored in one step.
-BLOCK, STEP = 64, 16
+# Examples in a block of a posting list, blocks scored before the others are judged, and queries side by side.
+BLOCK, STEP, QUERIES = 64, 16, 32
 # The longest posting lists are held in full, zeros included, up to so many bytes.
 FULL_BYTES = 32 << 20
 
@@ -59,7 +59,7 @@ class _Wanted(dict):
 class Index:
     """Posting lists of weighted terms over the examples, with the largest weight in each block.
 
-    Lists of common terms are rows of a table of all blocks; the others name their examples.
+    Lists of common terms are rows in a table of each block; the others name their examples.
     """
 
     def __init__(self, vectors, n_terms):
@@ -79,7 +79,8 @@ class Index:
         in_full = self.row[term] >= 0
         table = np.zeros((len(common), width))
         table[self.row[term[in_full]], example[in_full]] = weight[in_full]
-        self.table = table.reshape(len(common), self.n_blocks, BLOCK)
+        # Block by block, so that scoring one reads one piece of memory.
+        self.table = np.ascontiguousarray(table.reshape(len(common), self.n_blocks, BLOCK).transpose(1, 0, 2))
         self.largest = self.table.max(axis=2, initial=0)
         term, example, weight = term[~in_full], example[~in_full], weight[~in_full]
         order = np.argsort(term, kind="stable")
@@ -95,41 +96,48 @@ class Index:
         products = np.repeat(weights, length) * self.weights[at]
         return np.bincount(self.examples[at], products, self.n_blocks * BLOCK).reshape(self.n_blocks, BLOCK)
 
-    def nearest(self, terms, weights, k, leave_out=-1):
-        """The ``k`` most similar examples and their cosines; of equal ones those first in the index.
+    def nearest(self, vectors, k, leave_out=None):
+        """For each query the ``k`` most similar examples and their cosines; of equal ones those first in the index.
 
-        Blocks are visited by falling upper bound: the query's weights times the largest
-        weights of the block for the lists in full, and the largest sum of the others.
-        No block whose bound is below the k-th cosine is scored.
+        ``leave_out`` names an example that a query may not find, or -1. The upper bound of
+        a block is the query's weights times the largest weights of the block for the lists
+        in full, and the largest sum of the others. Each query scores the ``STEP`` blocks
+        with the highest bounds, and then those whose bound reaches its k-th cosine so far;
+        no other block can hold a nearer example. Queries that want the same block are
+        scored together.
         """
-        best, cosines = np.empty(0, np.int64), np.empty(0)
-        if not len(terms) or not self.n:
-            return best, cosines
-        rows = self.row[terms]
-        named = self._named(terms[rows < 0], weights[rows < 0])
-        weights, rows = weights[rows >= 0], rows[rows >= 0]
-        bounds = named.max(axis=1) + weights @ self.largest[rows]
-        blocks = np.argsort(-bounds, kind="stable")
-        for start in range(0, self.n_blocks, STEP):
-            now = blocks[start:start + STEP]
-            least = cosines[k - 1] if len(cosines) >= k else 0.0
-            # A bound may fall short of the exact cosine by rounding only.
-            now = now[(bounds[now] > 0) & (bounds[now] >= least - 1e-9)]
-            if not len(now):
-                break
-            scores = named[now]
-            if len(rows):
-                scores = scores + (weights @ self.table[rows[:, None], now].reshape(len(rows), -1)).reshape(scores.shape)
-            scores = np.round(scores, 9).ravel()
-            found = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (scores > 0) & (scores >= least) & (found != leave_out)
-            best, cosines = np.r_[best, found[keep]], np.r_[cosines, scores[keep]]
-            if len(best) > k:
-                keep = cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-                best, cosines = best[keep], cosines[keep]
-            order = np.lexsort((best, -cosines))[:k]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
+        if not len(vectors) or not self.n:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(vectors)
+        queries = np.zeros((len(vectors), self.table.shape[1]))
+        named = np.empty((len(vectors), self.n_blocks, BLOCK))
+        for i, (terms, weights) in enumerate(vectors):
+            rows = self.row[terms]
+            queries[i, rows[rows >= 0]] = weights[rows >= 0]
+            named[i] = self._named(terms[rows < 0], weights[rows < 0])
+        bounds = named.max(axis=2) + queries @ self.largest.T
+        scores = np.zeros(named.shape)
+
+        def visit(wanted):
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                some = np.flatnonzero(wanted[:, block])
+                scores[some, block] = np.round(named[some, block] + queries[some] @ self.table[block], 9)
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                if leave_out is not None and leave_out[i] >= 0:
+                    scores[i].ravel()[leave_out[i]] = 0.0
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bounds, min(STEP, self.n_blocks) - 1, axis=1)[:, :STEP], True, axis=1)
+        visit(first & (bounds > 0))
+        flat = scores.reshape(len(vectors), -1)
+        least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(len(vectors))
+        # A bound may fall short of the exact cosine by rounding only.
+        visit(~first & (bounds > 0) & (bounds >= least[:, None] - 1e-9))
+        out = []
+        for row, low in zip(flat, least):
+            best = np.flatnonzero((row > 0) & (row >= low))
+            best = best[np.lexsort((best, -row[best]))[:k]]
+            out.append((best, row[best]))
+        return out
 
 
 class Model:
@@ -149,20 +157,23 @@ class Model:
         # Each label weighs as much as it does among all labelled documents.
         n = np.bincount(labels, minlength=2)
         self.class_weight = np.array([(1 - share) / max(n[0], 1), share / max(n[1], 1)])
-        votes = np.array([self._vote(v, i)[0] for i, v in enumerate(vectors)])
+        votes = np.array([v for v, _, _ in self._votes(vectors, np.arange(len(vectors)))])
         self._calibrate(votes, labels)
 
     def _vector(self, terms, counts):
         weights = counts * self.idf[terms]
         return terms, weights / (np.sqrt(weights @ weights) or 1.0)
 
-    def _vote(self, vector, leave_out=-1):
-        """Share of label 1 among the nearest, weighted by nearness; NaN without neighbours."""
-        near, cosines = self.index.nearest(*vector, NEIGHBOURS, leave_out)
-        if not len(near):
-            return np.nan, near, cosines
-        weight = cosines / (1.001 - cosines) * self.class_weight[self.labels[near]]
-        return round(float(weight @ self.labels[near] / weight.sum()), 6), near, cosines
+    def _votes(self, vectors, leave_out=None):
+        """Of each query the share of label 1 among the nearest, weighted by nearness, and these; NaN without any."""
+        for start in range(0, len(vectors), QUERIES):
+            left = None if leave_out is None else leave_out[start:start + QUERIES]
+            for near, cosines in self.index.nearest(vectors[start:start + QUERIES], NEIGHBOURS, left):
+                if not len(near):
+                    yield np.nan, near, cosines
+                    continue
+                weight = cosines / (1.001 - cosines) * self.class_weight[self.labels[near]]
+                yield round(float(weight @ self.labels[near] / weight.sum()), 6), near, cosines
 
     def _calibrate(self, votes, labels):
         """Pool adjacent violators over the left-out votes, so that more votes never mean less."""
@@ -180,12 +191,10 @@ class Model:
         self.vote_points = np.array([p[0] for p in pools] or [0.0])
         self.chances = np.array([p[1] / p[2] for p in pools] or [self.alone])
 
-    def score(self, text: bytes):
-        """Probability of label 1 and the nearest examples of one whole text."""
-        vote, near, cosines = self._vote(self._vector(*self.wanted.count(text)))
-        if np.isnan(vote):
-            return self.alone, near, cosines
-        return float(np.interp(vote, self.vote_points, self.chances)), near, cosines
+    def score(self, texts):
+        """Probability of label 1 and the nearest examples of each whole text."""
+        for vote, near, cosines in self._votes([self._vector(*self.wanted.count(t)) for t in texts]):
+            yield self.alone if np.isnan(vote) else float(np.interp(vote, self.vote_points, self.chances)), near, cosines
 
 
 def _examples(docs, labels, per_class):
@@ -279,14 +288,13 @@ def score_toxicity(docs: DataFrame, model, n_evidence=3) -> DataFrame:
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:long,label:int,similarity:double>>")
     def score(texts: pd.Series) -> pd.DataFrame:
+        model = shared.value
+        if model is None:
+            return pd.DataFrame({"score": [0.0] * len(texts), "evidence": [[]] * len(texts)})
         out = []
-        for text in texts:
-            if shared.value is None:
-                out.append((0.0, []))
-                continue
-            value, near, cosines = shared.value.score(text or b"")
+        for value, near, cosines in model.score([t or b"" for t in texts]):
             out.append((value, [
-                {"doc_id": int(shared.value.ids[i]), "label": int(shared.value.labels[i]), "similarity": float(c)}
+                {"doc_id": int(model.ids[i]), "label": int(model.labels[i]), "similarity": float(c)}
                 for i, c in zip(near[:n_evidence], cosines)]))
         return pd.DataFrame(out, columns=["score", "evidence"])
 

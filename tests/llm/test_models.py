@@ -181,7 +181,10 @@ def test_index_against_all_cosines():
                 cosines[out] = 0
             order = np.lexsort((np.arange(1000), -cosines))
             want = [i for i in order[:20] if cosines[i] > 0]
-            near, scores = index.nearest(*vectors[q], 20, out)
+            # Alone and among other queries.
+            near, scores = index.nearest([vectors[q]], 20, [out])[0]
+            again = index.nearest([vectors[(q + 5) % 1000], vectors[q], vectors[0]], 20, [-1, out, -1])[1]
+            assert near.tolist() == again[0].tolist() and np.allclose(scores, again[1])
             assert near.tolist() == want and np.allclose(scores, cosines[want])
 
 
