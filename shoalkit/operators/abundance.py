@@ -25,7 +25,12 @@ def _strata(deployments):
 
 
 def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
-    """Sums per (bioregion, status, year, taxon) out of ``sample_taxa``, checkpointed.
+    """``cube_rows``, checkpointed for the rankings that read it."""
+    return cut_lineage(cube_rows(per_taxon, deployments))
+
+
+def cube_rows(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Sums per (bioregion, status, year, taxon) out of ``sample_taxa``.
 
     ``n_rows``, ``total`` and ``total_sq`` describe the rows present (a missing count is
     0), ``n_with`` the samples they come from, and ``n_samples`` adds up over the taxa
@@ -37,7 +42,7 @@ def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
     samples = per_taxon.select("sample_url").distinct().withColumn("once", F.lit(1))
     rows = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq").unionByName(samples, allowMissingColumns=True)
     once = F.when(F.col("n_rows").isNull(), 1).otherwise(0)
-    cube = (
+    return (
         _strata(deployments).join(rows, "sample_url", "full")
         .where(F.col("ok") | F.col("once").isNotNull() | F.col("n_rows").isNotNull())
         .groupBy(*STRATA, *TAXON)
@@ -50,7 +55,6 @@ def grid_cube(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
             F.sum(once).alias("n_samples"),
         )
     )
-    return cut_lineage(cube)
 
 
 def _observed(cube):

@@ -1,8 +1,10 @@
 """The batch job: landed tables in, result bundle out.
 
-Run as ``python -m shoalkit.plans.refresh IN_DIR OUT_DIR REGIONS_GEOJSON``.
+Run as ``python -m shoalkit.plans.refresh IN_DIR OUT_DIR REGIONS_GEOJSON [--resume]``.
 """
 
+import hashlib
+import json
 import os
 import sys
 import uuid
@@ -12,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
 from shoalkit.plans.views import attach_coordinates
-from shoalkit.scaling import cut_lineage, numbered
+from shoalkit.scaling import numbered
 from shoalkit.session import build_session
-from shoalkit.sources.bundle import log_success, run_folder
+from shoalkit.sources.bundle import files_fingerprint, finished_steps, log_step, log_success, run_folder, unfinished_run
 from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import read_landed, write_table
 
@@ -25,15 +27,6 @@ def campaign_list(deployments: DataFrame) -> DataFrame:
     return numbered(names, ["campaignid"], "row").select("row", "campaignid")
 
 
-def restrict_to_regions(spark, in_dir, folder, polygons, cell_size) -> None:
-    """Write the deployments inside a region, and the counts and lengths that belong to them."""
-    located = spatial.assign_regions(read_landed(spark, in_dir, "deployments"), polygons, cell_size)
-    write_table(located, folder, "deployments_in_region")
-    kept = spark.read.parquet(os.path.join(folder, "deployments_in_region"))
-    for name in ("counts", "lengths"):
-        write_table(metrics.in_region(read_landed(spark, in_dir, name), kept), folder, f"{name}_in_region")
-
-
 def by_region(df: DataFrame, *more) -> DataFrame:
     """Rows of a region side by side, so that a filter on it skips files and row groups.
 
@@ -42,51 +35,115 @@ def by_region(df: DataFrame, *more) -> DataFrame:
     return df.repartitionByRange("bioregion", *more).sortWithinPartitions("bioregion", *more)
 
 
+class Run:
+    """One refresh under way: tables are written step by step, and each is logged when it is whole.
+
+    A step's fingerprint covers its name, its settings and the fingerprints of all it
+    reads. A step that the run has logged under the same fingerprint is not written
+    again; after a change of an input exactly the steps that depend on it are.
+    """
+
+    def __init__(self, spark, in_dir, out_dir, run_id):
+        self.spark, self.in_dir, self.out_dir, self.run_id = spark, in_dir, out_dir, run_id
+        self.folder = run_folder(out_dir, run_id)
+        self._done = finished_steps(spark, out_dir, run_id)
+        self._known = {}
+
+    def source(self, name, path=None) -> None:
+        """Note the state of an input: a landed table, or any other ``path``."""
+        if path is None:
+            read_landed(self.spark, self.in_dir, name)  # a missing table or column stops the run here
+        self._known[f"landed {name}"] = files_fingerprint(self.spark, path or os.path.join(self.in_dir, name))
+
+    def landed(self, name) -> DataFrame:
+        return read_landed(self.spark, self.in_dir, name)
+
+    def stored(self, name) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.folder, name))
+
+    def step(self, name, reads, build, settings=(), write=None, **layout) -> None:
+        """Write the table ``build()`` as ``name``, unless that is done; ``reads`` names its inputs."""
+        text = json.dumps([name, [str(x) for x in settings], [[x, self._known[x]] for x in reads]])
+        fingerprint = self._known[name] = hashlib.sha256(text.encode()).hexdigest()
+        if self._done.get(name) == fingerprint:
+            return
+        (write or write_table)(build(), self.folder, name, **layout)
+        log_step(self.spark, self.out_dir, self.run_id, name, fingerprint)
+
+
+def write_csv(df: DataFrame, folder: str, name: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(os.path.join(folder, name))
+
+
 def refresh(
     spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
-    genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion",
+    genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion", resume=False,
 ) -> str:
     """Rebuild every result table under a new run folder and log the run; returns its id.
 
-    A run that fails leaves no log row, so readers keep using the run before.
+    A run that fails leaves no row in the run log, so readers keep using the run before.
+    With ``resume`` the newest run goes on if it did not finish: tables that it wrote
+    in full from the same inputs and settings stay, all others are written. Only ask for
+    it when that run has ended, since two jobs must not write one folder.
     """
+    run_id = unfinished_run(spark, out_dir) if resume else None
+    run = Run(spark, in_dir, out_dir, run_id or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
     for name in ("deployments", "counts", "lengths", "life_history"):
-        read_landed(spark, in_dir, name)  # missing tables or columns stop the run here
-
-    run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    folder = run_folder(out_dir, run_id)
-    polygons = read_polygons(spark, regions_path, name_property)
-    write_table(polygons, folder, "bioregions")
-    restrict_to_regions(spark, in_dir, folder, polygons, cell_size)
-
-    def stored(name):
-        return spark.read.parquet(os.path.join(folder, name))
-
-    life_history = read_landed(spark, in_dir, "life_history")
-    write_table(by_region(events.prepare_deployments(stored("deployments_in_region")), "sample_url"), folder, "deployments")
+        run.source(name)
+    run.source("regions", regions_path)
+    stored, life_history = run.stored, run.landed("life_history")
+
+    # What lies in a region, and the counts and lengths that belong to it.
+    run.step("bioregions", ["landed regions"], lambda: read_polygons(spark, regions_path, name_property), [name_property])
+    run.step(
+        "deployments_in_region", ["landed deployments", "bioregions"],
+        lambda: spatial.assign_regions(run.landed("deployments"), stored("bioregions"), cell_size), [cell_size])
+    for name in ("counts", "lengths"):
+        run.step(
+            f"{name}_in_region", [f"landed {name}", "deployments_in_region"],
+            lambda: metrics.in_region(run.landed(name), stored("deployments_in_region")))
+    run.step(
+        "deployments", ["deployments_in_region"],
+        lambda: by_region(events.prepare_deployments(stored("deployments_in_region")), "sample_url"), lookup=["sample_url"])
     deployments = stored("deployments")
-    counts = taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)
-    lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
+    run.step("campaign_lookup", ["deployments"], lambda: events.campaign_lookup(deployments))
 
-    write_table(events.campaign_lookup(deployments), folder, "campaign_lookup")
-    write_table(metrics.sample_taxa(counts), folder, "sample_taxa")
+    # Samples: sums per taxon, and the metrics.
+    run.step(
+        "sample_taxa", ["counts_in_region", "landed life_history"],
+        lambda: metrics.sample_taxa(taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)),
+        [genus, species])
     per_taxon = stored("sample_taxa")
-    long = attach_coordinates(metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), deployments)
-    write_table(by_region(long, "metric", "sample_url"), folder, "metrics", ["metric"])
-    cube = abundance.grid_cube(per_taxon, deployments)
-    overall, region = cut_lineage(abundance.top_overall(cube)), cut_lineage(abundance.top_by_region(cube))
-    write_table(abundance.top_species(cube, overall, region, life_history), folder, "top_species")
-    write_table(by_region(abundance.top_by_region_status_year(cube, region, life_history), "year"), folder, "top_species_year")
+    run.step(
+        "metrics", ["sample_taxa", "deployments", "landed life_history"],
+        lambda: by_region(
+            attach_coordinates(metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), deployments),
+            "metric", "sample_url"),
+        [weight], partition_by=["metric"], lookup=["sample_url"])
+
+    # Rankings, all from the cube.
+    run.step("cube", ["sample_taxa", "deployments"], lambda: abundance.cube_rows(per_taxon, deployments))
+    cube = stored("cube")
+    run.step("top_overall", ["cube"], lambda: abundance.top_overall(cube))
+    run.step("top_region", ["cube"], lambda: abundance.top_by_region(cube))
+    overall, region = stored("top_overall"), stored("top_region")
+    ranked = ["cube", "top_overall", "top_region", "landed life_history"]
+    run.step("top_species", ranked, lambda: abundance.top_species(cube, overall, region, life_history))
+    run.step(
+        "top_species_year", ranked,
+        lambda: by_region(abundance.top_by_region_status_year(cube, region, life_history), "year"))
+
+    # Summaries.
     summed = per_taxon.withColumnRenamed("total", "count")  # same sums, far fewer rows
-    write_table(summaries.overview_stats(deployments, summed, lengths), folder, "overview_stats")
-    write_table(summaries.region_stats(deployments, summed, lengths), folder, "bioregion_stats")
-    (
-        campaign_list(deployments).orderBy("row")
-        .write.mode("overwrite").option("header", True).csv(os.path.join(folder, "campaigns_csv"))
-    )
-    log_success(spark, out_dir, run_id)
-    return run_id
+    lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
+    facts = ["deployments", "sample_taxa", "lengths_in_region", "landed life_history"]
+    run.step("overview_stats", facts, lambda: summaries.overview_stats(deployments, summed, lengths))
+    run.step("bioregion_stats", facts, lambda: summaries.region_stats(deployments, summed, lengths))
+    run.step("campaigns_csv", ["deployments"], lambda: campaign_list(deployments).orderBy("row"), write=write_csv)
+    log_success(spark, out_dir, run.run_id)
+    return run.run_id
 
 
 if __name__ == "__main__":
-    print(refresh(build_session("shoalkit-refresh"), *sys.argv[1:4]))
+    paths = [value for value in sys.argv[1:] if value != "--resume"]
+    print(refresh(build_session("shoalkit-refresh"), *paths, resume="--resume" in sys.argv))

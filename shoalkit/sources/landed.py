@@ -29,8 +29,16 @@ def read_life_history_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, folder: str, name: str, partition_by=()) -> str:
-    """Write one table as a Parquet directory, replacing it."""
+def write_table(df: DataFrame, folder: str, name: str, partition_by=(), lookup=()) -> str:
+    """Write one table as a Parquet directory, replacing it.
+
+    Columns in ``lookup`` hold keys that single rows are looked up by. They get a Bloom
+    filter for each row group and no dictionary, which nearly unique keys outgrow (and
+    beside which Parquet writes no filter).
+    """
     path = os.path.join(folder, name)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    writer = df.write.mode("overwrite").partitionBy(*partition_by)
+    for column in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True).option(f"parquet.enable.dictionary#{column}", False)
+    writer.parquet(path)
     return path

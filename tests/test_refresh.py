@@ -2,8 +2,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from shoalkit.operators import abundance, events, metrics, summaries, taxa
+from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
 from shoalkit.plans.refresh import refresh
 from shoalkit.sources import bundle, geojson, landed
@@ -74,6 +75,93 @@ def test_refresh_writes_a_readable_bundle(spark, make, folder):
     assert bundle.read_run_log(spark, out).count() == 2
 
 
+def written_at(spark, out, run):
+    """Time of the last writing of every table of a run."""
+    folder = bundle.run_folder(out, run)
+    return {name: os.path.getmtime(os.path.join(folder, name, "_SUCCESS")) for name in os.listdir(folder)
+            if os.path.exists(os.path.join(folder, name, "_SUCCESS"))}
+
+
+def test_failed_refresh_goes_on_from_the_last_written_table(spark, make, folder, monkeypatch):
+    regions = land(make, folder)
+    out = os.path.join(folder, "out")
+
+    def broken(*args, **options):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(metrics, "metrics_long", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh(spark, folder, out, regions, cell_size=1.0)
+    run = bundle.unfinished_run(spark, out)
+    before = written_at(spark, out, run)
+    assert "sample_taxa" in before and "metrics" not in before and "cube" not in before
+    assert set(bundle.finished_steps(spark, out, run)) == set(before)
+
+    # What was written stays; the same values come out as of a run from the start.
+    with monkeypatch.context() as patch:
+        patch.setattr(metrics, "sample_taxa", broken)
+        patch.setattr(spatial, "assign_regions", broken)
+        assert refresh(spark, folder, out, regions, cell_size=1.0, resume=True) == run
+    after = written_at(spark, out, run)
+    assert {name: after[name] for name in before} == before
+    assert bundle.latest_run(spark, out) == run and bundle.unfinished_run(spark, out) is None
+    whole = refresh(spark, folder, out, regions, cell_size=1.0, resume=True)
+    assert whole != run
+    resumed, direct = bundle.read_bundle(spark, out, run), bundle.read_bundle(spark, out, whole)
+    for name in set(bundle.TABLES) - {"bioregions"}:
+        assert rows(resumed[name], *direct[name].columns) == rows(direct[name])
+
+
+def test_resumed_refresh_writes_what_a_changed_input_reaches(spark, make, folder, monkeypatch):
+    regions = land(make, folder)
+    out = os.path.join(folder, "out")
+
+    def broken(*args, **options):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(summaries, "region_stats", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        refresh(spark, folder, out, regions, cell_size=1.0)
+    run = bundle.unfinished_run(spark, out)
+    before = written_at(spark, out, run)
+    monkeypatch.undo()
+    make([("s1", "F", "G", "a", 250.0, 1)], LENGTHS).write.mode("append").parquet(os.path.join(folder, "lengths"))
+    assert refresh(spark, folder, out, regions, cell_size=1.0, weight="log", resume=True) == run
+    after = written_at(spark, out, run)
+    # The lengths and the weight of the index changed: their tables, the summaries and the index are new.
+    again = {name for name in before if after[name] != before[name]}
+    assert again == {"lengths_in_region", "metrics", "overview_stats"}
+    assert set(after) - set(before) == {"bioregion_stats", "campaigns_csv"}
+    assert bundle.read_bundle(spark, out)["overview_stats"].first()["biggest_fish"] == 250.0
+
+
+def rows_read(df):
+    """Rows that the scans of a query handed on."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_lookup_of_one_key_skips_row_groups_by_bloom_filter(spark, folder):
+    # Keys lie in no order, so that least and greatest key of a row group tell nothing.
+    keys = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("sample_url"), F.col("id").alias("value"))
+    path = landed.write_table(keys.repartition(8, "value"), folder, "samples", lookup=["sample_url"])
+    wanted = keys.where("value = 777").first()["sample_url"]
+    read = spark.read.option("parquet.filter.columnindex.enabled", False)
+    with_filter = read.parquet(path).where(F.col("sample_url") == wanted)
+    without = read.option("parquet.filter.bloom.enabled", False).parquet(path).where(F.col("sample_url") == wanted)
+    assert rows(with_filter, "value") == rows(without, "value") == [(777,)]
+    assert rows_read(without) == 40_000 and rows_read(with_filter) < 15_000
+
+
 def test_missing_landed_column(spark, make, folder):
     make([("s1",)], "sample_url string").write.parquet(os.path.join(folder, "counts"))
     with pytest.raises(ValueError, match="counts has no column family"):
