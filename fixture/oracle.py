@@ -5,7 +5,7 @@ against every polygon edge and computes the three metrics one by one.
 """
 
 from fixture.bindings import GENUS, OLD_DATUM, POLYGONS, SPECIES, STRIPS, WIDE_RINGS
-from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS, STRIP
+from fixture.registry import LOCATION, METRIC, OFF_TIE, REGION, REGIONS, SAMPLES, STRIP
 from shoalkit.functions.datum import DATUMS, ELLIPSOIDS
 
 TAXON = "family, genus, species"
@@ -532,6 +532,11 @@ SERVED = {
     "served_metric_timeseries": _timeseries(STRIP),
     "served_metric_map": _metric_map(STRIP),
     "served_top_species_view": _top_view("false", STRIP),
+    "served_sample_page": "SELECT sample_url, campaignid, bioregion, status, CAST(date AS VARCHAR) AS date, round(depth_m@six) AS depth_m, "
+    + ", ".join(
+        f"(SELECT round(m.value@six) FROM metrics m WHERE m.sample_url = dep.sample_url AND m.metric = '{name}') AS {name}"
+        for name in ("total_abundance", "species_richness", "cti"))
+    + " FROM dep WHERE bioregion IS NOT NULL AND sample_url IN (" + ", ".join(f"'{name}'" for name in SAMPLES) + ")",
 }
 
 

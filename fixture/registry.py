@@ -17,6 +17,8 @@ REGIONS = ["ASIA", "EUROPE"]
 LOCATION = "NATION_3"
 METRIC = "total_abundance"
 STRIP = "West"
+# Sample pages asked for: samples with and without counts, and one that does not exist.
+SAMPLES = ["1", "7", "100", "333", "999", "none"]
 SITES = ["deployment_locations", "deployment_locations_diver"]
 
 
@@ -142,6 +144,7 @@ QUERIES = {
     "served_metric_timeseries": lambda s: views.metric_timeseries(s.served["metrics"], STRIP, METRIC),
     "served_metric_map": lambda s: views.metric_map(s.served["metrics"], s.served["deployments"], STRIP, METRIC),
     "served_top_species_view": lambda s: views.top_species_view(s.served["top_species"], STRIP, 10),
+    "served_sample_page": lambda s: views.sample_page(s.served["metrics"], s.served["deployments"], SAMPLES),
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),
     "location_bubbles": lambda s: _place(s, "bubble_data"),

@@ -6,13 +6,13 @@ Tables come as a dict of DataFrames. Diver-survey variants carry the suffix
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalkit.functions import bubble_radius, slug
 from shoalkit.operators.histograms import density, histogram
 from shoalkit.operators.taxa import html_label, split_display_name
-from shoalkit.scaling import small_side
+from shoalkit.scaling import numbered, small_side
 
 TABLES = [
     "deployment_locations", "deployment_locations_diver",
@@ -96,13 +96,15 @@ def length_density(lengths: DataFrame, species, width) -> DataFrame:
 
 
 def species_by_method(top_species_location: DataFrame) -> DataFrame:
-    """Species totals with an HTML label and their ascending order inside the method."""
-    labelled = split_display_name(top_species_location).withColumn("label", html_label())
-    order = Window.partitionBy("method").orderBy(F.asc_nulls_last("total_number"), "label")
-    return labelled.select(
-        "method", "display_name", "sci", "common", "label", "total_number",
-        F.row_number().over(order).alias("order_index"),
+    """Species totals with an HTML label and their ascending order inside the method.
+
+    There are two or three methods, so each is ranked by ranges and not in one task.
+    """
+    labelled = (
+        split_display_name(top_species_location).withColumn("label", html_label())
+        .select("method", "display_name", "sci", "common", "label", "total_number")
     )
+    return numbered(labelled, [F.asc_nulls_last("total_number"), F.asc_nulls_last("label")], "order_index", ["method"])
 
 
 def _bubbles(points: DataFrame, value: str) -> DataFrame:

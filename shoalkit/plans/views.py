@@ -23,6 +23,8 @@ METRIC_AXES = {
     "alt": "Average no. individuals",
     "blt": "Biomass (kg)",
 }
+# The metrics that are computed.
+SAMPLE_METRICS = ["total_abundance", "species_richness", "cti"]
 
 # Columns looked for, in this order.
 STATUS_COLUMNS = ["status", "period", "protection_status", "zone", "mp_zone"]
@@ -163,6 +165,21 @@ def metric_mean_se(metrics: DataFrame, region, metric: str, columns=STATUS_COLUM
     )
 
 
+def sample_page(metrics: DataFrame, deployments: DataFrame, samples) -> DataFrame:
+    """Attributes and metrics of the named samples, a row each; a metric without a value is missing.
+
+    On stored tables both scans skip the row groups whose filter on ``sample_url`` holds
+    none of the names, whatever regions the samples lie in.
+    """
+    wanted = F.col("sample_url").isin(*samples)
+    values = metrics.where(wanted).groupBy("sample_url").agg(
+        *[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in SAMPLE_METRICS])
+    return (
+        deployments.where(wanted).select("sample_url", "campaignid", "bioregion", "status", "date", "depth_m")
+        .join(values, "sample_url", "left")
+    )
+
+
 def attach_coordinates(metrics: DataFrame, deployments: DataFrame, ids=ID_COLUMNS) -> DataFrame:
     """Add longitude and latitude by the first identifier both tables have, if missing."""
     wanted = ["longitude_dd", "latitude_dd"]

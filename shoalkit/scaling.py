@@ -71,26 +71,28 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str) -> DataFra
     return joined.drop(*[f"__{key}" for key in keys])
 
 
-def numbered(df: DataFrame, order, name="row") -> DataFrame:
-    """Add global 1-based row numbers in ``order`` (unique keys).
-
-    Rows are range-partitioned and fixed by a checkpoint, numbered inside each
-    partition, and shifted by the sizes of the partitions before. No task sees more
-    than one range.
+def numbered(df: DataFrame, order, name="row", within=()) -> DataFrame:
+    """Add 1-based row numbers in ``order``, over all rows or inside each group of ``within``.
+
+    Rows are range-partitioned and sorted by group and order and fixed by a checkpoint
+    with their place in the partition; the place of a group's first row there and the
+    sizes of the group's parts before give the number. No task sees more than one range
+    and rows move once, so a group that holds most rows is dealt to most tasks. ``order``
+    has unique keys inside a group.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    fixed = cut_lineage(ranged)
-    # One row per partition, so the unpartitioned window below stays tiny.
-    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        fixed.groupBy("__part").count()
-        .select("__part", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("__before"))
+    keys = [*within, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    fixed = cut_lineage(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    # One row per partition and group in it, so the window below stays tiny.
+    running = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        fixed.groupBy(*within, "__part").agg(F.count(F.lit(1)).alias("size"), F.min("__place").alias("first"))
+        .select(*within, "__part", (F.coalesce(F.sum("size").over(running), F.lit(0)) + 1 - F.col("first")).alias("__shift"))
     )
-    inside = Window.partitionBy("__part").orderBy(*order)
     return (
-        fixed.join(small_side(offsets), "__part")
-        .withColumn(name, F.row_number().over(inside).cast("long") + F.col("__before"))
-        .drop("__part", "__before")
+        null_safe_join(fixed, small_side(parts), ["__part", *within], "inner")
+        .withColumn(name, F.col("__place") + F.col("__shift"))
+        .drop("__part", "__place", "__shift")
     )
 
 

@@ -9,6 +9,15 @@ def test_row_numbers_follow_the_order(make):
     assert rows(scaling.numbered(data, ["k"])) == [(f"k{i:04d}", i + 1) for i in range(1000)]
 
 
+def test_row_numbers_inside_groups(make):
+    data = make([(None if i % 3 else "g", (i * 7919) % 1000) for i in range(1000)], "g string, k int")
+    found = rows(scaling.numbered(data, ["k"], "n", ["g"]), "g", "n", "k")
+    for group in ("g", None):
+        keys = sorted((i * 7919) % 1000 for i in range(1000) if (i % 3 == 0) == (group == "g"))
+        assert [r[1:] for r in found if r[0] == group] == list(enumerate(keys, 1))
+    assert rows(scaling.numbered(data.limit(0), ["k"], "n", ["g"])) == []
+
+
 def test_null_safe_join(make):
     left = make([("a", None, 1), ("b", "x", 2), (None, None, 3)], "p string, q string, n int")
     right = make([("a", None, 10), (None, None, 30)], "p string, q string, m int")

@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from shoalkit.operators import abundance, events, metrics, spatial
+from pyspark.sql import functions as F
+
+from shoalkit.operators import abundance, events, locations, metrics, spatial
 from tests.conftest import COUNTS, DEPLOYMENTS, LIFE, deployment, rows
 
 
@@ -57,6 +59,29 @@ def test_hot_sample_and_campaign(make):
     assert found == {k: (len(v), sum(v) / len(v)) for k, v in grid.items()}
 
 
+def test_ranks_of_one_large_group_come_from_many_tasks(spark, make):
+    rng = random.Random(7)
+    # All names but a few in one method; many equal totals, and names in no order.
+    names = [(None if i % 50 == 0 else "video", f"Genus s{i:05d} (c)", rng.randint(0, 40) if i % 9 else None) for i in range(6000)]
+    rng.shuffle(names)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = locations.species_by_method(make(names, "method string, display_name string, total_number long"))
+        # Rows stay in the ranges they were dealt to, so these are the rows of each task.
+        parts = ranked.groupBy(F.spark_partition_id().alias("part")).count().collect()
+        found = ranked.select("method", "order_index", "display_name", "total_number").collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert sum(r["count"] for r in parts) == 6000 and max(r["count"] for r in parts) <= 4 * 6000 / 16
+    for method in ("video", None):
+        expected = sorted((n for n in names if n[0] == method), key=lambda n: (n[2] is None, n[2] or 0, n[1]))
+        got = sorted((r["order_index"], r["display_name"], r["total_number"]) for r in found if r["method"] == method)
+        assert got == [(i + 1, n[1], n[2]) for i, n in enumerate(expected)]
+
+
 def test_hot_cell_with_salted_index(make):
     rng = random.Random(6)
     box = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
