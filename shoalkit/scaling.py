@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A join side is broadcast only below this bound, a polygon index below that many entries.
+# A join side is broadcast only below this bound, an index of polygons or of parts below that many entries.
 BROADCAST_BYTES = 10 * 1024 * 1024
 BROADCAST_ROWS = 200_000
 
@@ -79,6 +79,9 @@ def numbered(df: DataFrame, order, name="row", within=()) -> DataFrame:
     sizes of the group's parts before give the number. No task sees more than one range
     and rows move once, so a group that holds most rows is dealt to most tasks. ``order``
     has unique keys inside a group.
+
+    The list of parts is broadcast up to ``BROADCAST_ROWS`` entries, so that rows stay in
+    their ranges. There are more only with many groups, which then are dealt by group.
     """
     keys = [*within, *order]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -89,8 +92,9 @@ def numbered(df: DataFrame, order, name="row", within=()) -> DataFrame:
         fixed.groupBy(*within, "__part").agg(F.count(F.lit(1)).alias("size"), F.min("__place").alias("first"))
         .select(*within, "__part", (F.coalesce(F.sum("size").over(running), F.lit(0)) + 1 - F.col("first")).alias("__shift"))
     )
+    few = parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return (
-        null_safe_join(fixed, small_side(parts), ["__part", *within], "inner")
+        null_safe_join(fixed, F.broadcast(parts) if few else parts, ["__part", *within], "inner")
         .withColumn(name, F.col("__place") + F.col("__shift"))
         .drop("__part", "__place", "__shift")
     )

@@ -75,7 +75,7 @@ def test_ranks_of_one_large_group_come_from_many_tasks(spark, make):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
-    assert sum(r["count"] for r in parts) == 6000 and max(r["count"] for r in parts) <= 4 * 6000 / 16
+    assert sum(r["count"] for r in parts) == 6000 and max(r["count"] for r in parts) <= 2 * 6000 / 16
     for method in ("video", None):
         expected = sorted((n for n in names if n[0] == method), key=lambda n: (n[2] is None, n[2] or 0, n[1]))
         got = sorted((r["order_index"], r["display_name"], r["total_number"]) for r in found if r["method"] == method)
