@@ -14,6 +14,7 @@ from shoalkit.plans.refresh import refresh
 from shoalkit.scaling import cut_lineage, temporary_folder
 from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
 from shoalkit.sources import bundle
+from shoalkit.sources.bucketed import read_bucketed
 from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import write_table
 from shoalkit.sources.shapefile import read_shapefile
@@ -58,6 +59,9 @@ WIDE_RINGS = {
 # The datum, by its EPSG code, from which the sites are shifted.
 OLD_DATUM = 4202
 
+# Buckets of the stored samples and their sums.
+BUCKETS = 8
+
 # Tables of the refresh made for a session and folder.
 _RUNS = {}
 
@@ -191,15 +195,22 @@ class Survey:
         if key not in _RUNS:
             folder = temporary_folder(self.spark, "refresh")
             out = os.path.join(folder, "out")
-            run = refresh(self.spark, folder, out, self.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
+            run = refresh(self.spark, folder, out, self.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES,
+                          buckets=BUCKETS)
             tables = dict(bundle.read_bundle(self.spark, out, run))
             run_dir = bundle.run_folder(out, run)
-            for name in ("campaign_lookup", "sample_taxa"):
-                tables[name] = self.spark.read.parquet(os.path.join(run_dir, name))
+            tables["campaign_lookup"] = self.spark.read.parquet(os.path.join(run_dir, "campaign_lookup"))
+            samples, tables["sample_taxa"] = (
+                read_bucketed(self.spark, run_dir, name) for name in ("samples", "sample_taxa"))
             tables["campaigns_csv"] = self.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
             tables["run_log"] = bundle.read_run_log(self.spark, out)
-            _RUNS[key] = tables
-        return _RUNS[key]
+            _RUNS[key] = tables, samples
+        return _RUNS[key][0]
+
+    @property
+    def served_samples(self):
+        """Samples with their events as the refresh stored them, in buckets."""
+        return self.served and _RUNS[self.spark.sparkContext.applicationId, self.folder][1]
 
     @cached_property
     def counts(self):

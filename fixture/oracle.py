@@ -532,6 +532,7 @@ SERVED = {
     "served_metric_timeseries": _timeseries(STRIP),
     "served_metric_map": _metric_map(STRIP),
     "served_top_species_view": _top_view("false", STRIP),
+    "served_metrics_long": ORACLE["metrics_long"],
     "served_sample_page": "SELECT sample_url, campaignid, bioregion, status, CAST(date AS VARCHAR) AS date, round(depth_m@six) AS depth_m, "
     + ", ".join(
         f"(SELECT round(m.value@six) FROM metrics m WHERE m.sample_url = dep.sample_url AND m.metric = '{name}') AS {name}"

@@ -144,6 +144,8 @@ QUERIES = {
     "served_metric_timeseries": lambda s: views.metric_timeseries(s.served["metrics"], STRIP, METRIC),
     "served_metric_map": lambda s: views.metric_map(s.served["metrics"], s.served["deployments"], STRIP, METRIC),
     "served_top_species_view": lambda s: views.top_species_view(s.served["top_species"], STRIP, 10),
+    "served_metrics_long": lambda s: metrics.metrics_of_samples(
+        s.served["sample_taxa"], s.served_samples.drop("longitude_dd", "latitude_dd"), s.life_history),
     "served_sample_page": lambda s: views.sample_page(s.served["metrics"], s.served["deployments"], SAMPLES),
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),

@@ -38,13 +38,12 @@ def cube_rows(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
     The result has one row per stratum and observed taxon, so it is small whatever
     the number of samples, and every ranking reads it instead of the counts.
     """
-    # One more row per sample carries the sample itself, so each is counted once.
-    samples = per_taxon.select("sample_url").distinct().withColumn("once", F.lit(1))
-    rows = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq").unionByName(samples, allowMissingColumns=True)
-    once = F.when(F.col("n_rows").isNull(), 1).otherwise(0)
+    # The first row of each sample carries the sample itself, so each is counted once.
+    first = F.row_number().over(Window.partitionBy("sample_url").orderBy(*TAXON)) == 1
+    rows = per_taxon.select("sample_url", *TAXON, "n_rows", "total", "total_sq", first.cast("int").alias("once"))
     return (
         _strata(deployments).join(rows, "sample_url", "full")
-        .where(F.col("ok") | F.col("once").isNotNull() | F.col("n_rows").isNotNull())
+        .where(F.col("ok") | F.col("n_rows").isNotNull())
         .groupBy(*STRATA, *TAXON)
         .agg(
             F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
@@ -52,7 +51,8 @@ def cube_rows(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
             F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
             # A decimal: sums of squares outgrow a long, and stay exact here.
             F.coalesce(F.sum(F.col("total_sq").cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias("total_sq"),
-            F.sum(once).alias("n_samples"),
+            # A sample without counts has one row here.
+            F.sum(F.coalesce("once", F.lit(1))).alias("n_samples"),
         )
     )
 

@@ -129,13 +129,25 @@ def metrics_long(
     ``community_temperature`` joined to the sample attributes, but comes from the sums
     of ``sample_taxa`` and one full outer join.
     """
+    return metrics_of_samples(per_taxon, samples_with_events(deployments, gap_days), life_history, null_counts, weight)
+
+
+def samples_with_events(deployments, gap_days=GAP_DAYS, more=()) -> DataFrame:
+    """Every sample with its attributes, sampling event and the columns ``more``; ``ok`` if its count succeeded."""
     ok = F.coalesce("successful_count", F.lit(False))
-    events = event_calendar(deployments, gap_days)
-    samples = (
+    return (
         deployments
-        .select("sample_url", "campaignid", "sample", "bioregion", "status", "date_time", "date", ok.alias("ok"))
-        .join(events, ["campaignid", "date"], "left")
+        .select("sample_url", "campaignid", "sample", "bioregion", "status", "date_time", "date", ok.alias("ok"), *more)
+        .join(event_calendar(deployments, gap_days), ["campaignid", "date"], "left")
     )
+
+
+def metrics_of_samples(per_taxon, samples, life_history, null_counts="poison", weight="count") -> DataFrame:
+    """``metrics_long`` from ``samples_with_events``, with coordinates if the samples have them.
+
+    Where both tables are stored in buckets by ``sample_url``, sums and join stay inside
+    a bucket and no row of them is shuffled.
+    """
     joined = (
         samples.join(sample_measures(per_taxon, life_history, null_counts, weight), "sample_url", "full")
         .withColumn("ok", F.coalesce("ok", F.lit(False)))
@@ -151,17 +163,18 @@ def metrics_long(
         entry("species_richness", F.coalesce("species_richness", F.lit(0.0)), F.col("ok")),
         entry("cti", F.col("cti"), F.lit(True)),
     )
+    places = [name for name in ("longitude_dd", "latitude_dd") if name in samples.columns]
     # Dates and events are those of successful samples only.
     dated = ["date_time", "date", "event_number", "start_date", "new_campaignid", "start_month"]
     return (
         joined.select(
             "sample_url", "bioregion", "status",
             *[F.when(F.col("ok"), F.col(name)).alias(name) for name in dated],
-            F.explode(entries).alias("entry"),
+            F.explode(entries).alias("entry"), *places,
         )
         .where((F.col("entry.metric") != "cti") | F.col("entry.value").isNotNull())
         .select("entry.campaignid", "entry.sample", "sample_url", "entry.metric", "entry.value",
-                "bioregion", "status", *dated)
+                "bioregion", "status", *dated, *places)
     )
 
 

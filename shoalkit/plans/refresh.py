@@ -13,9 +13,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
-from shoalkit.plans.views import attach_coordinates
 from shoalkit.scaling import numbered
 from shoalkit.session import build_session
+from shoalkit.sources.bucketed import BUCKETS, read_bucketed, write_bucketed
 from shoalkit.sources.bundle import files_fingerprint, finished_steps, log_step, log_success, run_folder, unfinished_run
 from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import read_landed, write_table
@@ -35,6 +35,10 @@ def by_region(df: DataFrame, *more) -> DataFrame:
     return df.repartitionByRange("bioregion", *more).sortWithinPartitions("bioregion", *more)
 
 
+# What the stored samples hold beside their attributes and events.
+SAMPLE_COLUMNS = ["year", "successful_count", "longitude_dd", "latitude_dd"]
+
+
 class Run:
     """One refresh under way: tables are written step by step, and each is logged when it is whole.
 
@@ -78,6 +82,7 @@ def write_csv(df: DataFrame, folder: str, name: str) -> None:
 def refresh(
     spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
     genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion", resume=False,
+    buckets=BUCKETS,
 ) -> str:
     """Rebuild every result table under a new run folder and log the run; returns its id.
 
@@ -85,6 +90,9 @@ def refresh(
     With ``resume`` the newest run goes on if it did not finish: tables that it wrote
     in full from the same inputs and settings stay, all others are written. Only ask for
     it when that run has ended, since two jobs must not write one folder.
+
+    Sums per taxon and samples are stored in ``buckets`` by sample, and metrics and
+    rankings join them bucket by bucket.
     """
     run_id = unfinished_run(spark, out_dir) if resume else None
     run = Run(spark, in_dir, out_dir, run_id or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
@@ -112,17 +120,20 @@ def refresh(
     run.step(
         "sample_taxa", ["counts_in_region", "landed life_history"],
         lambda: metrics.sample_taxa(taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)),
-        [genus, species])
-    per_taxon = stored("sample_taxa")
+        [genus, species, buckets], write_bucketed, key="sample_url", buckets=buckets)
+    run.step(
+        "samples", ["deployments"],
+        lambda: metrics.samples_with_events(deployments, more=SAMPLE_COLUMNS),
+        [buckets], write_bucketed, key="sample_url", buckets=buckets)
+    per_taxon, samples = (read_bucketed(spark, run.folder, name) for name in ("sample_taxa", "samples"))
     run.step(
-        "metrics", ["sample_taxa", "deployments", "landed life_history"],
+        "metrics", ["sample_taxa", "samples", "landed life_history"],
         lambda: by_region(
-            attach_coordinates(metrics.metrics_long(per_taxon, deployments, life_history, weight=weight), deployments),
-            "metric", "sample_url"),
+            metrics.metrics_of_samples(per_taxon, samples, life_history, weight=weight), "metric", "sample_url"),
         [weight], partition_by=["metric"], lookup=["sample_url"])
 
     # Rankings, all from the cube.
-    run.step("cube", ["sample_taxa", "deployments"], lambda: abundance.cube_rows(per_taxon, deployments))
+    run.step("cube", ["sample_taxa", "samples"], lambda: abundance.cube_rows(per_taxon, samples))
     cube = stored("cube")
     run.step("top_overall", ["cube"], lambda: abundance.top_overall(cube))
     run.step("top_region", ["cube"], lambda: abundance.top_by_region(cube))
