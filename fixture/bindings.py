@@ -236,9 +236,13 @@ class Survey:
     def cube(self):
         return abundance.grid_cube(self.per_taxon, self.deployments)
 
+    @cached_property
+    def rollup(self):
+        return cut_lineage(abundance.rollup(abundance.cube_rows(self.per_taxon, self.deployments)))
+
     @cached_property
     def top_overall(self):
-        return cut_lineage(abundance.top_overall(self.cube))
+        return cut_lineage(abundance.top_overall(self.rollup))
 
     @cached_property
     def top_region(self):
@@ -246,7 +250,7 @@ class Survey:
 
     @cached_property
     def top_species(self):
-        return abundance.top_species(self.cube, self.top_overall, self.top_region, self.life_history)
+        return abundance.top_species_of(self.rollup, cut_lineage(abundance.top_lists(self.rollup)), self.life_history)
 
     @cached_property
     def top_species_year(self):
@@ -290,10 +294,12 @@ class Survey:
 
     @cached_property
     def _seen(self):
-        named = taxa.add_common_names(self.counts, self.life_history)
+        # Names and sums come after the join, so that a filter on the location leaves few rows to them.
+        sites = self._sites.select("sample_url", "location", "method")
+        named = taxa.add_common_names(self.counts.join(sites, "sample_url"), self.life_history)
         return (
-            named.groupBy("sample_url", taxa.display_name().alias("display_name")).agg(F.sum("count").alias("count"))
-            .join(self._sites.select("sample_url", "location", "method"), "sample_url")
+            named.groupBy("sample_url", "location", "method", taxa.display_name().alias("display_name"))
+            .agg(F.sum("count").alias("count"))
         )
 
     def _by_method(self, df, name):

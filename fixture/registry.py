@@ -85,17 +85,17 @@ QUERIES = {
     "campaign_list": lambda s: campaign_list(s.deployments),
     # Zero-filled abundance
     "grid_size": lambda s: abundance.grid_size(s.counts, s.deployments),
-    "complete_counts": lambda s: abundance.complete_counts(s.counts, s.deployments, s.cube),
+    "complete_counts": lambda s: abundance.complete_counts(s.counts, s.deployments),
     "grid_rows": lambda s: grid.grid_rows(
         grid.compress_grid(s.counts, s.deployments), s.counts, REGION, ["Fished", None], s.small_taxa),
-    "abundance_overall": lambda s: abundance.mean_abundance(s.cube, []),
-    "abundance_region": lambda s: abundance.mean_abundance(s.cube, ["bioregion"]),
-    "abundance_status": lambda s: abundance.mean_abundance(s.cube, ["status"]),
+    "abundance_overall": lambda s: abundance.mean_abundance(s.rollup, []),
+    "abundance_region": lambda s: abundance.mean_abundance(s.rollup, ["bioregion"]),
+    "abundance_status": lambda s: abundance.mean_abundance(s.rollup, ["status"]),
     "abundance_region_status": lambda s: abundance.region_top_by(s.cube, s.top_region, ["bioregion", "status"]),
     "abundance_region_status_year": lambda s: abundance.region_top_by(s.cube, s.top_region, ["bioregion", "status", "year"]),
-    "top_species_overall": lambda s: abundance.top_overall(s.cube),
-    "top_species_region": lambda s: abundance.top_by_region(s.cube),
-    "top_species_overall_status": lambda s: abundance.top_overall_status(s.cube, s.top_overall),
+    "top_species_overall": lambda s: abundance.top_overall(s.rollup),
+    "top_species_region": lambda s: abundance.top_by_region(s.rollup),
+    "top_species_overall_status": lambda s: abundance.top_overall_status(s.rollup, s.top_overall),
     "top_species_region_status": lambda s: abundance.top_by_region_status(s.cube, s.top_region),
     "top_species_year": lambda s: s.top_species_year,
     "top_species": lambda s: s.top_species,

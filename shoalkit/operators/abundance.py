@@ -14,6 +14,9 @@ from shoalkit.schemas import TAXON
 
 STRATA = ["bioregion", "status", "year"]
 SUMS = ["n_rows", "n_with", "total", "total_sq"]
+# Groupings of the ranked lists and of their splits.
+SPLITS = ["bioregion", "status"]
+LEVELS = [[], ["bioregion"], ["status"], ["bioregion", "status"]]
 
 
 def _strata(deployments):
@@ -57,6 +60,32 @@ def cube_rows(per_taxon: DataFrame, deployments: DataFrame) -> DataFrame:
     )
 
 
+def rollup(cube: DataFrame) -> DataFrame:
+    """Sums of ``cube_rows`` at every grouping of the ranked lists, from one scan of the cube.
+
+    ``by_bioregion`` and ``by_status`` tell the grouping of a row, so that a missing
+    region is not taken for all regions. Every function here that reads a cube also
+    reads a rollup, and then only the rows of its grouping.
+    """
+    grouped = cube.groupingSets([[*keys, *TAXON] for keys in LEVELS], *SPLITS, *TAXON)
+    return grouped.agg(
+        *[(F.grouping(name) == 0).alias(f"by_{name}") for name in SPLITS],
+        *[F.sum(name).alias(name) for name in [*SUMS, "n_samples"]],
+    )
+
+
+def level(cube: DataFrame, keys) -> DataFrame:
+    """The rows of a rollup for one of its groupings; a cube as it is, since its sums add up to any."""
+    flags = [f"by_{name}" for name in SPLITS]
+    if not set(flags) <= set(cube.columns):
+        return cube
+    if list(keys) not in LEVELS:
+        raise ValueError(f"the rollup has no grouping by {keys}")
+    for name, flag in zip(SPLITS, flags):
+        cube = cube.where(F.col(flag) == F.lit(name in keys))
+    return cube.drop(*flags)
+
+
 def _observed(cube):
     return cube.where(F.col("family").isNotNull())
 
@@ -77,6 +106,7 @@ def grid_sums(cube: DataFrame, keys, cells=None) -> DataFrame:
     ``cells`` limits the taxa: a frame of taxa, with those of ``keys`` that it is
     specific to. Without it every taxon of the grid is listed in every group.
     """
+    cube = level(cube, keys)
     groups = group_sizes(cube, keys)
     observed = _observed(cube)
     shared = []
@@ -113,6 +143,15 @@ def _ranking():
     return [F.desc_nulls_last("average_abundance"), *[F.asc_nulls_last(name) for name in TAXON]]
 
 
+def top_lists(cube: DataFrame, n=50) -> DataFrame:
+    """``top_overall`` and ``top_by_region`` in one table, ranked in one window."""
+    overall = _tagged(mean_abundance(cube, []), "overall", False)
+    region = _tagged(mean_abundance(cube, ["bioregion"]), "bioregion", False)
+    rows = region.unionByName(overall, allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy("group", "bioregion").orderBy(*_ranking()))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+
+
 def top_overall(cube: DataFrame, n=50) -> DataFrame:
     """The ``n`` most abundant taxa."""
     return _tagged(mean_abundance(cube, []).orderBy(*_ranking()).limit(n), "overall", False)
@@ -154,10 +193,19 @@ def top_by_region_status_year(cube: DataFrame, top: DataFrame, life_history: Dat
 
 def top_species(cube: DataFrame, overall: DataFrame, region: DataFrame, life_history: DataFrame) -> DataFrame:
     """The two ranked lists and their splits by status in one table, with labels."""
-    rows = overall
-    for part in (region, top_overall_status(cube, overall), top_by_region_status(cube, region)):
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return add_labels(rows, life_history)
+    return _with_splits(cube, overall.unionByName(region, allowMissingColumns=True), overall, region, life_history)
+
+
+def top_species_of(cube: DataFrame, lists: DataFrame, life_history: DataFrame) -> DataFrame:
+    """``top_species`` from ``top_lists``."""
+    overall, region = (lists.where(F.col("group") == name) for name in ("overall", "bioregion"))
+    return _with_splits(cube, lists, overall, region, life_history)
+
+
+def _with_splits(cube, lists, overall, region, life_history):
+    for part in (top_overall_status(cube, overall), top_by_region_status(cube, region)):
+        lists = lists.unionByName(part, allowMissingColumns=True)
+    return add_labels(lists, life_history)
 
 
 def rows_per_region(top: DataFrame) -> DataFrame:
@@ -165,27 +213,50 @@ def rows_per_region(top: DataFrame) -> DataFrame:
     return top.where(F.col("group") == "bioregion").groupBy("bioregion", "by_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def complete_counts(counts: DataFrame, deployments: DataFrame, cube: DataFrame) -> DataFrame:
-    """The zero-filled grid as a frequency table: grid rows per region, status, taxon and count.
+def count_frequencies(counts: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Rows present per region, status, taxon and count, from one pass over the counts.
 
-    Equal grid rows are counted instead of repeated, so zeros cost one row per group
-    and taxon. Counts are summed up per sample before they meet the deployments.
+    ``n_with`` adds up over the counts of a taxon to the samples that have it, and
+    ``n_samples`` over all rows of a group to its samples, those without counts
+    included. Counts are summed up per sample before they meet the deployments.
     """
-    keys = ["bioregion", "status"]
     value = F.coalesce("count", F.lit(0)).cast("long").alias("count")
-    present = (
-        counts.where(F.col("family").isNotNull())
-        .groupBy("sample_url", *TAXON, value).agg(F.count(F.lit(1)).alias("n_rows"))
-        .join(deployments.select("sample_url", *keys), "sample_url", "left")
-        .groupBy(*keys, *TAXON, "count").agg(F.sum("n_rows").alias("n_rows"))
+    per_sample = counts.groupBy("sample_url", *TAXON, value).agg(F.count(F.lit(1)).alias("n_rows"))
+    # The first row of a sample carries the sample, the first of a taxon in it the presence.
+    inside = Window.partitionBy("sample_url").orderBy(*TAXON, "count")
+    taxon = F.struct(*TAXON)
+    rows = per_sample.withColumns({
+        "once": (F.row_number().over(inside) == 1).cast("int"),
+        "first": (~F.lag(taxon).over(inside).eqNullSafe(taxon)).cast("int"),
+    })
+    return (
+        _strata(deployments).drop("year").join(rows, "sample_url", "full")
+        .where(F.col("ok") | F.col("n_rows").isNotNull())
+        .groupBy(*SPLITS, *TAXON, "count")
+        .agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("first").alias("n_with"),
+            F.sum(F.coalesce("once", F.lit(1))).alias("n_samples"),
+        )
     )
+
+
+def complete_counts(counts: DataFrame, deployments: DataFrame) -> DataFrame:
+    """The zero-filled grid as a frequency table: grid rows per region, status, taxon and count.
+
+    Equal grid rows are counted instead of repeated, so zeros cost one row per group
+    and taxon. The frequencies of the rows present are checkpointed, and zeros and
+    result both come from them.
+    """
+    seen = cut_lineage(count_frequencies(counts, deployments))
     absent = (F.col("n_samples") - F.col("n_with")).cast("long")
+    none = F.lit(0).cast("long")
     zeros = (
-        grid_sums(cube, keys)
-        .select(*keys, *TAXON, F.lit(0).cast("long").alias("count"), absent.alias("n_rows"))
+        grid_sums(seen.withColumns({"total": none, "total_sq": none}), SPLITS)
+        .select(*SPLITS, *TAXON, none.alias("count"), absent.alias("n_rows"))
         .where(F.col("n_rows") > 0)
     )
-    return present.unionByName(zeros).groupBy(*keys, *TAXON, "count").agg(F.sum("n_rows").alias("n_rows"))
+    present = _observed(seen).select(*SPLITS, *TAXON, "count", "n_rows")
+    return present.unionByName(zeros).groupBy(*SPLITS, *TAXON, "count").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def grid_size(counts: DataFrame, deployments: DataFrame) -> DataFrame:

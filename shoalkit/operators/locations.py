@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shoalkit.functions import bubble_radius, slug
 from shoalkit.operators.histograms import density, histogram
 from shoalkit.operators.taxa import html_label, split_display_name
-from shoalkit.scaling import numbered, small_side
+from shoalkit.scaling import kept_with_maximum, numbered, small_side
 
 TABLES = [
     "deployment_locations", "deployment_locations_diver",
@@ -108,13 +108,13 @@ def species_by_method(top_species_location: DataFrame) -> DataFrame:
 
 
 def _bubbles(points: DataFrame, value: str) -> DataFrame:
+    # The largest value is noted while the points are written, so their joins run once.
     # One scan marks zeros instead of splitting the rows in two; other values
     # (missing or negative) are not drawn.
-    largest = points.agg(F.max(value)).scalar()
-    shown = points.where(F.col(value) >= 0)
+    shown, largest = kept_with_maximum(points.where(F.col(value) >= 0), value)
     return shown.withColumns({
         "is_zero": F.col(value) == 0,
-        "radius": bubble_radius(F.col(value), largest),
+        "radius": bubble_radius(F.col(value), F.lit(largest)),
     })
 
 

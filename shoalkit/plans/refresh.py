@@ -132,17 +132,17 @@ def refresh(
             metrics.metrics_of_samples(per_taxon, samples, life_history, weight=weight), "metric", "sample_url"),
         [weight], partition_by=["metric"], lookup=["sample_url"])
 
-    # Rankings, all from the cube.
+    # Rankings: the lists and their splits by status come from one scan of the cube.
     run.step("cube", ["sample_taxa", "samples"], lambda: abundance.cube_rows(per_taxon, samples))
-    cube = stored("cube")
-    run.step("top_overall", ["cube"], lambda: abundance.top_overall(cube))
-    run.step("top_region", ["cube"], lambda: abundance.top_by_region(cube))
-    overall, region = stored("top_overall"), stored("top_region")
-    ranked = ["cube", "top_overall", "top_region", "landed life_history"]
-    run.step("top_species", ranked, lambda: abundance.top_species(cube, overall, region, life_history))
+    run.step("rollup", ["cube"], lambda: abundance.rollup(stored("cube")))
+    run.step("top_lists", ["rollup"], lambda: abundance.top_lists(stored("rollup")))
     run.step(
-        "top_species_year", ranked,
-        lambda: by_region(abundance.top_by_region_status_year(cube, region, life_history), "year"))
+        "top_species", ["rollup", "top_lists", "landed life_history"],
+        lambda: abundance.top_species_of(stored("rollup"), stored("top_lists"), life_history))
+    run.step(
+        "top_species_year", ["cube", "top_lists", "landed life_history"],
+        lambda: by_region(abundance.top_by_region_status_year(
+            stored("cube"), stored("top_lists").where("group = 'bioregion'"), life_history), "year"))
 
     # Summaries.
     summed = per_taxon.withColumnRenamed("total", "count")  # same sums, far fewer rows

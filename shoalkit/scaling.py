@@ -4,7 +4,7 @@ row numbers and products without a single hot task."""
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # A join side is broadcast only below this bound, an index of polygons or of parts below that many entries.
@@ -55,6 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_with_maximum(df: DataFrame, name):
+    """``df`` written to the checkpoint folder and the largest value of a column, in one run.
+
+    The maximum is observed by the job that writes, so neither is computed twice;
+    it is None without rows or values.
+    """
+    seen = Observation()
+    kept = cut_lineage(df.observe(seen, F.max(name).alias("largest")))
+    return kept, seen.get.get("largest")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
     """Equi-join in which a missing key matches a missing key.
 

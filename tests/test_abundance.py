@@ -67,13 +67,53 @@ def test_moments_equal_the_grid(make, keys):
             assert row["se"] == pytest.approx(statistics.stdev(values) / math.sqrt(len(values)), abs=1e-12)
 
 
+@pytest.mark.parametrize("keys", abundance.LEVELS)
+def test_rollup_gives_the_means_of_the_cube(make, keys):
+    deployments, counts, _, _ = survey(make, 6)
+    cube = cube_of(counts, deployments)
+    assert rows(abundance.mean_abundance(abundance.rollup(cube), keys)) == rows(abundance.mean_abundance(cube, keys))
+
+
+def test_rollup_keeps_a_missing_region_apart_from_all(make):
+    deployments = events.prepare_deployments(
+        make([deployment("s1", region=None), deployment("s2"), deployment("s3", status=None)], DEPLOYMENTS))
+    rolled = abundance.rollup(cube_of(make([("s1", "F", "G", "a", 6)], COUNTS), deployments))
+    means = abundance.mean_abundance(rolled, ["bioregion"])
+    assert rows(means, "bioregion", "average_abundance", "n") == [("North", 0.0, 2), (None, 6.0, 1)]
+    assert rows(abundance.mean_abundance(rolled, []), "average_abundance", "n") == [(2.0, 3)]
+    assert rows(abundance.top_lists(rolled, 1), "group", "bioregion", "average_abundance") == [
+        ("bioregion", "North", 0.0), ("bioregion", None, 6.0), ("overall", None, 2.0)]
+    with pytest.raises(ValueError, match="no grouping"):
+        abundance.mean_abundance(rolled, ["year"])
+
+
+def test_lists_of_a_rollup_equal_those_of_the_cube_in_one_scan(make):
+    deployments, counts, _, _ = survey(make, 7)
+    life = make([(*t, "Actinopterygii", 1.0, "Name") for t in TAXA], LIFE)
+    cube = cube_of(counts, deployments)
+    rolled = abundance.rollup(cube)
+    assert rolled._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    expected = abundance.top_species(cube, abundance.top_overall(cube, 2), abundance.top_by_region(cube, 2), life)
+    found = abundance.top_species_of(rolled, abundance.top_lists(rolled, 2), life)
+    assert rows(found, *expected.columns) == rows(expected)
+
+
+def test_frequencies_without_counts_or_deployments(make):
+    none, no_sites = make([], COUNTS), events.prepare_deployments(make([], DEPLOYMENTS))
+    sites = events.prepare_deployments(make([deployment("s1")], DEPLOYMENTS))
+    assert rows(abundance.complete_counts(none, sites)) == []
+    stray = make([("x", "F", "G", "a", 2)], COUNTS)
+    assert rows(abundance.complete_counts(stray, no_sites)) == [(None, None, "F", "G", "a", 2, 1)]
+    assert rows(abundance.rollup(cube_of(none, no_sites))) == []
+
+
 def test_frequency_table_equals_the_grid(make):
     deployments, counts, items, raw = survey(make, 2)
     expected = {}
     for group, taxon, count in grid(items, raw):
         key = (group["bioregion"], group["status"], *taxon, count)
         expected[key] = expected.get(key, 0) + 1
-    table = abundance.complete_counts(counts, deployments, cube_of(counts, deployments))
+    table = abundance.complete_counts(counts, deployments)
     assert {tuple(r[:6]): r[6] for r in table.collect()} == expected
 
 

@@ -63,7 +63,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", [
     "depth_hist", "length_hist", "length_density", "metric_timeseries", "metric_mean_se", "metric_map", "region_kpis",
-    "bubble_map", "species_map", "metrics_long", "region_stats",
+    "metrics_long", "region_stats",
 ])
 def test_building_a_query_runs_no_job(spark, name):
     spark.sparkContext.setJobGroup(f"build-{name}", name)
@@ -71,6 +71,21 @@ def test_building_a_query_runs_no_job(spark, name):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")) == 0
 
 
+@pytest.mark.parametrize("name", ["bubble_map", "species_map"])
+def test_points_of_a_bubble_map_are_computed_once(spark, name, monkeypatch):
+    from shoalkit import scaling
+
+    written = []
+    monkeypatch.setattr(scaling, "cut_lineage", lambda df: written.append(df) or spark.createDataFrame(df.collect(), df.schema))
+    result = QUERIES[name](spark, SMALL)
+    # One table is written; what is left reads it and has neither a join nor a second plan.
+    assert len(written) == 1
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and "CollectMetrics" in plan
+    rest = result._jdf.queryExecution().toString()
+    assert "Join" not in rest and "scalar-subquery" not in rest and "Subquery" not in rest
+
+
 def test_served_map_is_one_pruned_scan_without_join(spark):
     plan = QUERIES["served_metric_map"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "metric#" in plan.split("PartitionFilters")[1]

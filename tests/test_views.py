@@ -163,6 +163,9 @@ def test_bubbles(make):
         (0.0, True, 5.0), (5.0, False, 35.0), (10.0, False, 60.0)]
     species = locations.species_bubbles(park, ["G a (A)"])
     assert rows(species, "sample_url", "display_name", "count", "radius") == [("s1", "G a (A)", 4, 60.0), ("s2", None, 0, 5.0)]
+    nowhere = locations.location_bundle(bundle(make), "Z")
+    assert rows(locations.metric_bubbles(nowhere, "Total abundance")) == []
+    assert rows(locations.species_bubbles(nowhere, ["G a (A)"])) == []
     picked = locations.default_species(park, 1)
     assert rows(locations.species_bubbles(park, picked), "sample_url", "count") == [("s1", 0), ("s2", 0)]
 
