@@ -48,13 +48,24 @@ def _event_labels():
     )
 
 
-def event_calendar(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
-    """Event of every dated (campaignid, date): number, start, identifier and month."""
+def event_starts(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
+    """Number and start of the event of every dated (campaignid, date)."""
     return _events(deployments.where(F.col("date").isNotNull()), gap_days).select(
-        "campaignid", "date", "event_number", "start_date", *_event_labels()
+        "campaignid", "date", "event_number", "start_date"
     )
 
 
+def event_calendar(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
+    """Event of every dated (campaignid, date): number, start, identifier and month."""
+    return event_starts(deployments, gap_days).select("*", *_event_labels())
+
+
+def with_event_labels(rows: DataFrame) -> DataFrame:
+    """Add identifier and month of the event to rows that have its start; both are missing without an event."""
+    identifier, month = _event_labels()
+    return rows.select("*", F.when(F.col("event_number").isNotNull(), identifier).alias("new_campaignid"), month)
+
+
 def campaign_lookup(deployments: DataFrame, gap_days=GAP_DAYS) -> DataFrame:
     """The calendar plus one event for every deployment without a date.
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalkit.functions import sum_or_missing
-from shoalkit.operators.events import GAP_DAYS, event_calendar
+from shoalkit.operators.events import GAP_DAYS, event_starts, with_event_labels
 from shoalkit.operators.taxa import unique_by_taxon
 from shoalkit.scaling import null_safe_join, small_side
 from shoalkit.schemas import TAXON
@@ -132,26 +132,38 @@ def metrics_long(
     return metrics_of_samples(per_taxon, samples_with_events(deployments, gap_days), life_history, null_counts, weight)
 
 
-def samples_with_events(deployments, gap_days=GAP_DAYS, more=()) -> DataFrame:
-    """Every sample with its attributes, sampling event and the columns ``more``; ``ok`` if its count succeeded."""
+def samples_with_events(deployments, gap_days=GAP_DAYS, more=(), arrange=lambda rows: rows) -> DataFrame:
+    """Every sample with its attributes, sampling event and the columns ``more``; ``ok`` if its count succeeded.
+
+    ``arrange`` deals out the rows. It gets them before the texts that follow from an
+    event's start are added, so no shuffle carries these.
+    """
     ok = F.coalesce("successful_count", F.lit(False))
-    return (
+    rows = (
         deployments
         .select("sample_url", "campaignid", "sample", "bioregion", "status", "date_time", "date", ok.alias("ok"), *more)
-        .join(event_calendar(deployments, gap_days), ["campaignid", "date"], "left")
+        .join(event_starts(deployments, gap_days), ["campaignid", "date"], "left")
     )
+    return with_event_labels(arrange(rows))
 
 
-def metrics_of_samples(per_taxon, samples, life_history, null_counts="poison", weight="count") -> DataFrame:
+def metrics_of_samples(
+    per_taxon, samples, life_history, null_counts="poison", weight="count", arrange=lambda rows: rows
+) -> DataFrame:
     """``metrics_long`` from ``samples_with_events``, with coordinates if the samples have them.
 
     Where both tables are stored in buckets by ``sample_url``, sums and join stay inside
-    a bucket and no row of them is shuffled.
+    a bucket and no row of them is shuffled. ``arrange`` deals out the rows while there
+    is one for each sample, before it becomes one for each metric.
     """
-    joined = (
+    dated = ["date_time", "date", "event_number", "start_date", "new_campaignid", "start_month"]
+    places = [name for name in ("longitude_dd", "latitude_dd") if name in samples.columns]
+    joined = arrange(
         samples.join(sample_measures(per_taxon, life_history, null_counts, weight), "sample_url", "full")
         .withColumn("ok", F.coalesce("ok", F.lit(False)))
         .where(F.col("ok") | F.col("species_richness").isNotNull())
+        .select("sample_url", "campaignid", "sample", "bioregion", "status", "ok", *dated, *places,
+                "total_abundance", "species_richness", "cti")
     )
 
     def entry(name, value, keep_ids):
@@ -163,9 +175,7 @@ def metrics_of_samples(per_taxon, samples, life_history, null_counts="poison", w
         entry("species_richness", F.coalesce("species_richness", F.lit(0.0)), F.col("ok")),
         entry("cti", F.col("cti"), F.lit(True)),
     )
-    places = [name for name in ("longitude_dd", "latitude_dd") if name in samples.columns]
     # Dates and events are those of successful samples only.
-    dated = ["date_time", "date", "event_number", "start_date", "new_campaignid", "start_month"]
     return (
         joined.select(
             "sample_url", "bioregion", "status",

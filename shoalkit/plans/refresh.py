@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
 from shoalkit.scaling import numbered
 from shoalkit.session import build_session
-from shoalkit.sources.bucketed import BUCKETS, read_bucketed, write_bucketed
+from shoalkit.sources.bucketed import buckets_for, dealt_by_bucket, read_bucketed, write_bucketed
 from shoalkit.sources.bundle import files_fingerprint, finished_steps, log_step, log_success, run_folder, unfinished_run
 from shoalkit.sources.geojson import read_polygons
 from shoalkit.sources.landed import read_landed, write_table
@@ -82,7 +82,7 @@ def write_csv(df: DataFrame, folder: str, name: str) -> None:
 def refresh(
     spark: SparkSession, in_dir: str, out_dir: str, regions_path: str, cell_size=0.25, weight="count",
     genus=taxa.MERGED_GENUS, species=taxa.MERGED_SPECIES, name_property="bioregion", resume=False,
-    buckets=BUCKETS,
+    buckets=None,
 ) -> str:
     """Rebuild every result table under a new run folder and log the run; returns its id.
 
@@ -92,7 +92,7 @@ def refresh(
     it when that run has ended, since two jobs must not write one folder.
 
     Sums per taxon and samples are stored in ``buckets`` by sample, and metrics and
-    rankings join them bucket by bucket.
+    rankings join them bucket by bucket. Unless told, their number follows the size of the counts.
     """
     run_id = unfinished_run(spark, out_dir) if resume else None
     run = Run(spark, in_dir, out_dir, run_id or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
@@ -100,36 +100,44 @@ def refresh(
         run.source(name)
     run.source("regions", regions_path)
     stored, life_history = run.stored, run.landed("life_history")
+    buckets = buckets or buckets_for(run.landed("counts"))
 
-    # What lies in a region, and the counts and lengths that belong to it.
+    # What lies in a region.
     run.step("bioregions", ["landed regions"], lambda: read_polygons(spark, regions_path, name_property), [name_property])
     run.step(
         "deployments_in_region", ["landed deployments", "bioregions"],
         lambda: spatial.assign_regions(run.landed("deployments"), stored("bioregions"), cell_size), [cell_size])
-    for name in ("counts", "lengths"):
-        run.step(
-            f"{name}_in_region", [f"landed {name}", "deployments_in_region"],
-            lambda: metrics.in_region(run.landed(name), stored("deployments_in_region")))
+    run.step(
+        "lengths_in_region", ["landed lengths", "deployments_in_region"],
+        lambda: metrics.in_region(run.landed("lengths"), stored("deployments_in_region")))
     run.step(
         "deployments", ["deployments_in_region"],
         lambda: by_region(events.prepare_deployments(stored("deployments_in_region")), "sample_url"), lookup=["sample_url"])
     deployments = stored("deployments")
     run.step("campaign_lookup", ["deployments"], lambda: events.campaign_lookup(deployments))
 
-    # Samples: sums per taxon, and the metrics.
-    run.step(
-        "sample_taxa", ["counts_in_region", "landed life_history"],
-        lambda: metrics.sample_taxa(taxa.fish_counts(stored("counts_in_region"), life_history, genus, species)),
-        [genus, species, buckets], write_bucketed, key="sample_url", buckets=buckets)
+    # Samples: sums per taxon, and the metrics. Counts move once: the join that keeps those
+    # of the regions deals them to the buckets.
+    def sums_in_region():
+        counts = taxa.fish_counts(run.landed("counts"), life_history, genus, species)
+        return metrics.sample_taxa(metrics.in_region(counts, stored("deployments_in_region").hint("merge")))
+
+    with dealt_by_bucket(spark, buckets):
+        run.step(
+            "sample_taxa", ["landed counts", "deployments_in_region", "landed life_history"], sums_in_region,
+            [genus, species, buckets], write_bucketed, key="sample_url", buckets=buckets, dealt=True)
     run.step(
         "samples", ["deployments"],
-        lambda: metrics.samples_with_events(deployments, more=SAMPLE_COLUMNS),
-        [buckets], write_bucketed, key="sample_url", buckets=buckets)
+        lambda: metrics.samples_with_events(
+            deployments, more=SAMPLE_COLUMNS, arrange=lambda rows: rows.repartition(buckets, "sample_url")),
+        [buckets], write_bucketed, key="sample_url", buckets=buckets, dealt=True)
     per_taxon, samples = (read_bucketed(spark, run.folder, name) for name in ("sample_taxa", "samples"))
     run.step(
         "metrics", ["sample_taxa", "samples", "landed life_history"],
-        lambda: by_region(
-            metrics.metrics_of_samples(per_taxon, samples, life_history, weight=weight), "metric", "sample_url"),
+        lambda: metrics.metrics_of_samples(
+            per_taxon, samples, life_history, weight=weight,
+            arrange=lambda rows: rows.repartitionByRange("bioregion", "sample_url"),
+        ).sortWithinPartitions("metric", "bioregion", "sample_url"),
         [weight], partition_by=["metric"], lookup=["sample_url"])
 
     # Rankings: the lists and their splits by status come from one scan of the cube.

@@ -6,14 +6,52 @@ session that reads a table enters it in its catalog as an external one.
 """
 
 import hashlib
+import math
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Buckets of a table unless told otherwise. One bucket is one task of a join, so some
-# terabytes need some thousands; tables that meet need the same number.
+from shoalkit.scaling import planned_bytes
+
+# Buckets of a table unless told otherwise, and where the size of its input is not known.
+# One bucket is one task of a join; tables that meet need the same number.
 BUCKETS = 64
+# Bytes of Parquet that a bucket is made of, some million rows, and the least and most
+# buckets; the planner takes no more.
+BUCKET_BYTES = 8 * 1024 * 1024
+LEAST_BUCKETS, MOST_BUCKETS = 8, 50_000
+
+
+def buckets_for(table: DataFrame) -> int:
+    """Buckets for what is made from a stored table, so that one fits a task whatever the table's size."""
+    size = planned_bytes(table)
+    if size is None:
+        return BUCKETS
+    return min(max(math.ceil(size / BUCKET_BYTES), LEAST_BUCKETS), MOST_BUCKETS)
+
+
+@contextmanager
+def dealt_by_bucket(spark: SparkSession, buckets: int):
+    """Joins and groupings run inside deal their rows to as many partitions as there are buckets.
+
+    A join on the key of a table then leaves every bucket in one task, and no second
+    shuffle is needed to write it. A key that holds very many rows is still split, and
+    shuffled once more, by the planner.
+    """
+    settings = {
+        "spark.sql.shuffle.partitions": str(buckets),
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _absolute(spark, path) -> str:
@@ -29,18 +67,19 @@ def _columns(schema) -> str:
     return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
 
 
-def write_bucketed(df: DataFrame, folder: str, name: str, key: str, buckets=BUCKETS) -> str:
+def write_bucketed(df: DataFrame, folder: str, name: str, key: str, buckets=BUCKETS, dealt=False) -> str:
     """Write one table in ``buckets`` files by the hash of ``key``, each sorted by it, replacing it.
 
     Rows without a key share a bucket. A key's rows lie in one bucket, so a fact table
     is summed up per key before it is written this way. A table without rows has a
-    layout and no files.
+    layout and no files. ``dealt`` tells that the rows of a bucket lie in one partition
+    already, so they are not shuffled; a bucket dealt to several has a file from each.
     """
     spark, path = df.sparkSession, _absolute(df.sparkSession, os.path.join(folder, name))
     entry = _entry(path)
     spark.sql(f"DROP TABLE IF EXISTS {entry}")
     (
-        df.repartition(buckets, key).write.format("parquet").mode("overwrite")
+        (df if dealt else df.repartition(buckets, key)).write.format("parquet").mode("overwrite")
         .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(entry)
     )
     spark.sql(f"DROP TABLE {entry}")  # the files stay
