@@ -41,6 +41,11 @@ def _per_sample(facts, deployments, *sums):
     )
 
 
+def sample_lengths(lengths: DataFrame) -> DataFrame:
+    """Number of lengths and the longest of each sample; the summaries give the same from it as from the lengths."""
+    return lengths.groupBy("sample_url").agg(F.sum("count").alias("count"), F.max("length_mm").alias("length_mm"))
+
+
 def region_sample_stats(deployments: DataFrame) -> DataFrame:
     return count_samples(deployments).groupBy("bioregion").agg(*_sample_figures())
 

@@ -107,9 +107,12 @@ def refresh(
     run.step(
         "deployments_in_region", ["landed deployments", "bioregions"],
         lambda: spatial.assign_regions(run.landed("deployments"), stored("bioregions"), cell_size), [cell_size])
+    # Summed up per sample first, so that neither shuffle nor table holds a row for each length.
     run.step(
-        "lengths_in_region", ["landed lengths", "deployments_in_region"],
-        lambda: metrics.in_region(run.landed("lengths"), stored("deployments_in_region")))
+        "lengths_in_region", ["landed lengths", "landed life_history", "deployments_in_region"],
+        lambda: metrics.in_region(
+            summaries.sample_lengths(taxa.fish_lengths(run.landed("lengths"), life_history)),
+            stored("deployments_in_region")))
     run.step(
         "deployments", ["deployments_in_region"],
         lambda: by_region(events.prepare_deployments(stored("deployments_in_region")), "sample_url"), lookup=["sample_url"])
@@ -154,8 +157,8 @@ def refresh(
 
     # Summaries.
     summed = per_taxon.withColumnRenamed("total", "count")  # same sums, far fewer rows
-    lengths = taxa.fish_lengths(stored("lengths_in_region"), life_history)
-    facts = ["deployments", "sample_taxa", "lengths_in_region", "landed life_history"]
+    lengths = stored("lengths_in_region")
+    facts = ["deployments", "sample_taxa", "lengths_in_region"]
     run.step("overview_stats", facts, lambda: summaries.overview_stats(deployments, summed, lengths))
     run.step("bioregion_stats", facts, lambda: summaries.region_stats(deployments, summed, lengths))
     run.step("campaigns_csv", ["deployments"], lambda: campaign_list(deployments).orderBy("row"), write=write_csv)

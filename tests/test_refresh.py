@@ -237,3 +237,19 @@ def test_geojson_without_the_name_is_an_error(spark, make, folder):
     # A feature without a name keeps its polygon; its deployments are in no region.
     path = written(folder, mixed=json.dumps(feature("A")) + "\n" + json.dumps(feature(None, EAST)))
     assert rows(geojson.read_polygons(spark, os.path.join(path, "mixed")), "bioregion") == [("A",), (None,)]
+
+
+def test_lengths_are_stored_summed_up_per_sample(spark, make, folder):
+    regions = land(make, folder)
+    more = [("s1", "F", "G", "b", 120.0, None), ("s1", "F", "G", "a", None, 4), ("s2", "F", "G", "a", 50.0, None), (None, "F", "G", "a", 990.0, 1)]
+    make(more, LENGTHS).write.mode("append").parquet(os.path.join(folder, "lengths"))
+    out = os.path.join(folder, "out")
+    run = refresh(spark, folder, out, regions, cell_size=1.0)
+    stored = spark.read.parquet(os.path.join(bundle.run_folder(out, run), "lengths_in_region"))
+    assert rows(stored) == [("s1", 5, 120.0), ("s2", None, 50.0)]
+    # The summaries equal those of the single lengths.
+    tables, life = bundle.read_bundle(spark, out), landed.read_landed(spark, folder, "life_history")
+    single = metrics.in_region(taxa.fish_lengths(landed.read_landed(spark, folder, "lengths"), life), tables["deployments"])
+    counts = taxa.fish_counts(metrics.in_region(landed.read_landed(spark, folder, "counts"), tables["deployments"]), life)
+    assert rows(tables["bioregion_stats"]) == rows(summaries.region_stats(tables["deployments"], counts, single))
+    assert rows(tables["overview_stats"]) == rows(summaries.overview_stats(tables["deployments"], counts, single))
