@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fixture.layers import shapefile
 from shoalkit.functions.datum import WGS84
 from shoalkit.operators import abundance, events, metrics, taxa
-from shoalkit.plans.refresh import refresh
+from shoalkit.plans.refresh import inputs_of, refresh
 from shoalkit.scaling import cut_lineage, temporary_folder
 from shoalkit.schemas import DEPLOYMENTS_RAW, TAXON
 from shoalkit.sources import bundle
@@ -59,7 +59,7 @@ WIDE_RINGS = {
 # The datum, by its EPSG code, from which the sites are shifted.
 OLD_DATUM = 4202
 
-# Tables of the refresh made for a session and folder.
+# For a session and folder: where its refresh lies, what is landed there, the run's id, and which tables are made.
 _RUNS = {}
 
 
@@ -149,16 +149,14 @@ class Survey:
             )
         )
 
-    def land(self, folder) -> str:
-        """Write the inputs of a refresh below ``folder``; returns the path of its regions."""
-        raw = [*DEPLOYMENTS_RAW.names]
-        tables = {
-            "deployments": self._raw_deployments.select(*raw), "counts": self.raw_counts,
-            "lengths": self.raw_lengths, "life_history": self.life_history,
-        }
-        for name, table in tables.items():
-            write_table(table, folder, name)
-        return self._layer(os.path.join(folder, "regions"), STRIP_RINGS)
+    def land(self, folder, name) -> None:
+        """Write an input of a refresh below ``folder``."""
+        if name == "regions":
+            self._layer(os.path.join(folder, name), STRIP_RINGS)
+        elif name == "deployments":
+            write_table(self._raw_deployments.select(*DEPLOYMENTS_RAW.names), folder, name)
+        else:
+            write_table({"counts": self.raw_counts, "lengths": self.raw_lengths, "life_history": self.life_history}[name], folder, name)
 
     def _layer(self, path, rings) -> str:
         """Write polygons as GeoJSON, a feature per line; returns the path."""
@@ -185,28 +183,53 @@ class Survey:
             stream.close()
         return read_shapefile(self.spark, path + ".shp", partition_bytes=200)
 
-    @property
-    def served(self):
-        """Tables of a refresh over this folder; one run serves all queries of a session."""
+    def _refreshed(self, *tables):
+        """Output folder and run id of a refresh over this folder that has made ``tables``, or all if none is named.
+
+        One run serves all queries of a session: each resumes it for what it reads and
+        nobody made before. A refresh that made all of them is finished.
+        """
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _RUNS:
-            folder = temporary_folder(self.spark, "refresh")
-            out = os.path.join(folder, "out")
-            run = refresh(self.spark, folder, out, self.land(folder), cell_size=1.0, genus=GENUS, species=SPECIES)
-            tables = dict(bundle.read_bundle(self.spark, out, run))
-            run_dir = bundle.run_folder(out, run)
-            tables["campaign_lookup"] = self.spark.read.parquet(os.path.join(run_dir, "campaign_lookup"))
-            samples, tables["sample_taxa"] = (
-                read_bucketed(self.spark, run_dir, name) for name in ("samples", "sample_taxa"))
-            tables["campaigns_csv"] = self.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
-            tables["run_log"] = bundle.read_run_log(self.spark, out)
-            _RUNS[key] = tables, samples
-        return _RUNS[key][0]
+            _RUNS[key] = {"folder": temporary_folder(self.spark, "refresh"), "landed": set(), "run": None, "made": set(), "whole": False}
+        state = _RUNS[key]
+        folder, out = state["folder"], os.path.join(state["folder"], "out")
+        if not state["whole"] and not (tables and state["made"].issuperset(tables)):
+            for name in inputs_of(*tables) if tables else ["deployments", "counts", "lengths", "life_history", "regions"]:
+                if name not in state["landed"]:
+                    self.land(folder, name)
+                    state["landed"].add(name)
+            state["run"] = refresh(
+                self.spark, folder, out, os.path.join(folder, "regions"), cell_size=1.0, genus=GENUS, species=SPECIES,
+                resume=True, tables=tables or None)
+            state["made"].update(tables)
+            state["whole"] = not tables
+        return out, state["run"]
+
+    def served_table(self, name) -> DataFrame:
+        """One table of a refresh over this folder."""
+        out, run = self._refreshed(name)
+        run_dir = bundle.run_folder(out, run)
+        if name in ("sample_taxa", "samples"):
+            return read_bucketed(self.spark, run_dir, name)
+        return self.spark.read.parquet(os.path.join(run_dir, name))
+
+    @property
+    def served(self):
+        """Tables of a whole refresh over this folder."""
+        out, run = self._refreshed()
+        tables = dict(bundle.read_bundle(self.spark, out, run))
+        run_dir = bundle.run_folder(out, run)
+        for name in ("campaign_lookup", "sample_taxa"):
+            tables[name] = self.served_table(name)
+        tables["campaigns_csv"] = self.spark.read.option("header", True).csv(os.path.join(run_dir, "campaigns_csv"))
+        tables["run_log"] = bundle.read_run_log(self.spark, out)
+        return tables
 
     @property
     def served_samples(self):
         """Samples with their events as the refresh stored them, in buckets."""
-        return self.served and _RUNS[self.spark.sparkContext.applicationId, self.folder][1]
+        return self.served_table("samples")
 
     @cached_property
     def counts(self):

@@ -133,20 +133,20 @@ QUERIES = {
     "metric_slug": lambda s: s.deployments.select("bioregion").distinct().withColumn("slug", slug(F.col("bioregion"))),
     # The batch job
     "refresh_tables": lambda s: locations.bundle_sizes(s.served),
-    "refresh_deployments": lambda s: s.served["deployments"],
-    "refresh_metrics": lambda s: s.served["metrics"],
-    "refresh_top_species": lambda s: s.served["top_species"],
-    "refresh_top_species_year": lambda s: s.served["top_species_year"],
-    "refresh_overview_stats": lambda s: s.served["overview_stats"],
-    "refresh_region_stats": lambda s: s.served["bioregion_stats"],
-    "refresh_campaign_lookup": lambda s: s.served["campaign_lookup"],
+    "refresh_deployments": lambda s: s.served_table("deployments"),
+    "refresh_metrics": lambda s: s.served_table("metrics"),
+    "refresh_top_species": lambda s: s.served_table("top_species"),
+    "refresh_top_species_year": lambda s: s.served_table("top_species_year"),
+    "refresh_overview_stats": lambda s: s.served_table("overview_stats"),
+    "refresh_region_stats": lambda s: s.served_table("bioregion_stats"),
+    "refresh_campaign_lookup": lambda s: s.served_table("campaign_lookup"),
     # Views on the tables of the batch job
-    "served_metric_timeseries": lambda s: views.metric_timeseries(s.served["metrics"], STRIP, METRIC),
-    "served_metric_map": lambda s: views.metric_map(s.served["metrics"], s.served["deployments"], STRIP, METRIC),
-    "served_top_species_view": lambda s: views.top_species_view(s.served["top_species"], STRIP, 10),
+    "served_metric_timeseries": lambda s: views.metric_timeseries(s.served_table("metrics"), STRIP, METRIC),
+    "served_metric_map": lambda s: views.metric_map(s.served_table("metrics"), s.served_table("deployments"), STRIP, METRIC),
+    "served_top_species_view": lambda s: views.top_species_view(s.served_table("top_species"), STRIP, 10),
     "served_metrics_long": lambda s: metrics.metrics_of_samples(
-        s.served["sample_taxa"], s.served_samples.drop("longitude_dd", "latitude_dd"), s.life_history),
-    "served_sample_page": lambda s: views.sample_page(s.served["metrics"], s.served["deployments"], SAMPLES),
+        s.served_table("sample_taxa"), s.served_samples.drop("longitude_dd", "latitude_dd"), s.life_history),
+    "served_sample_page": lambda s: views.sample_page(s.served_table("metrics"), s.served_table("deployments"), SAMPLES),
     # One location, two survey methods
     "location_bundle": lambda s: locations.bundle_sizes(_bundle(s)),
     "location_bubbles": lambda s: _place(s, "bubble_data"),

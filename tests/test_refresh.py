@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shoalkit.operators import abundance, events, metrics, spatial, summaries, taxa
 from shoalkit.plans import views
-from shoalkit.plans.refresh import refresh
+from shoalkit.plans.refresh import inputs_of, refresh
 from shoalkit.sources import bundle, geojson, landed
 from tests.conftest import COUNTS, DEPLOYMENTS, LENGTHS, LIFE, deployment, rows
 
@@ -253,3 +253,28 @@ def test_lengths_are_stored_summed_up_per_sample(spark, make, folder):
     counts = taxa.fish_counts(metrics.in_region(landed.read_landed(spark, folder, "counts"), tables["deployments"]), life)
     assert rows(tables["bioregion_stats"]) == rows(summaries.region_stats(tables["deployments"], counts, single))
     assert rows(tables["overview_stats"]) == rows(summaries.overview_stats(tables["deployments"], counts, single))
+
+
+def test_named_tables_are_made_with_what_they_need_and_no_more(spark, make, folder):
+    regions = land(make, folder)
+    out = os.path.join(folder, "out")
+    assert inputs_of("campaign_lookup") == ["deployments", "regions"]
+    assert inputs_of("metrics") == ["deployments", "counts", "life_history", "regions"]
+    run = refresh(spark, folder, out, regions, cell_size=1.0, tables=["campaign_lookup"])
+    before = written_at(spark, out, run)
+    assert set(before) == {"bioregions", "deployments_in_region", "deployments", "campaign_lookup"}
+    # Readers do not see the run before it is whole.
+    with pytest.raises(Exception):
+        bundle.latest_run(spark, out)
+    assert refresh(spark, folder, out, regions, cell_size=1.0, resume=True, tables=["metrics", "campaign_lookup"]) == run
+    assert set(written_at(spark, out, run)) == set(before) | {"sample_taxa", "samples", "metrics"}
+    assert refresh(spark, folder, out, regions, cell_size=1.0, resume=True) == run == bundle.latest_run(spark, out)
+    after = written_at(spark, out, run)
+    assert {name: after[name] for name in before} == before
+    whole = refresh(spark, folder, out, regions, cell_size=1.0)
+    assert set(written_at(spark, out, whole)) == set(after)
+    some, direct = bundle.read_bundle(spark, out, run), bundle.read_bundle(spark, out, whole)
+    for name in set(bundle.TABLES) - {"bioregions"}:
+        assert rows(some[name], *direct[name].columns) == rows(direct[name])
+    with pytest.raises(ValueError, match="makes no such"):
+        refresh(spark, folder, out, regions, cell_size=1.0, tables=["such"])
