@@ -76,8 +76,8 @@ class Run:
         """
         self._steps[name] = reads, build, settings, write, layout
 
-    def needed(self, tables=None) -> list:
-        """The steps that ``tables`` are made by (all by default), in order, and the inputs these read."""
+    def needed(self, tables=None) -> tuple:
+        """Two lists: the steps that make ``tables`` (all by default), in order, and the inputs these read."""
         unknown = set(tables or ()) - set(self._steps)
         if unknown:
             raise ValueError("the refresh makes no " + ", ".join(sorted(unknown)))
